@@ -27,8 +27,8 @@ from palimpsest.functions.tokens import token
 
 # Private-use characters mark matches while a text is being rewritten.  Texts that
 # contain them already are escaped with the third one for the duration.
-_OPEN, _CLOSE, _ESC = "", "", ""
-_ESCAPES = ((_ESC, _ESC + ""), (_OPEN, _ESC + ""), (_CLOSE, _ESC + ""))
+_OPEN, _CLOSE, _ESC = "\ue000", "\ue001", "\ue002"
+_ESCAPES = ((_ESC, _ESC + "\ue005"), (_OPEN, _ESC + "\ue003"), (_CLOSE, _ESC + "\ue004"))
 _AT_MARKS = f"[{_OPEN}{_CLOSE}]"
 
 MATCH_STRUCT = "array<struct<pattern:string,n:int>>"
