@@ -1,0 +1 @@
+"""Sensitive-data redaction, classification and restoration on Spark."""
