@@ -10,11 +10,20 @@ from __future__ import annotations
 
 import re
 
-WORD = "0-9A-Za-z_"
 _SPACE = r"\t\n\f\r "
-_BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-_NOT_AFTER_WORD = f"(?<![{WORD}])"
-_NOT_BEFORE_WORD = f"(?![{WORD}])"
+# Java's \w and \p{...} are ASCII by default and one table lookup, where several ranges
+# in a class are tried one by one.
+_RANGES = (
+    ("A-Za-z0-9_", r"\w"),
+    ("0-9A-Za-z_", r"\w"),
+    ("0-9a-fA-F", r"\p{XDigit}"),
+    ("A-Za-z0-9", r"\p{Alnum}"),
+    ("a-zA-Z0-9", r"\p{Alnum}"),
+    ("a-zA-Z", r"\p{Alpha}"),
+)
+_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_NOT_AFTER_WORD = r"(?<!\w)"
+_NOT_BEFORE_WORD = r"(?!\w)"
 _FLAGS = re.compile(r"^\(\?([ims]+)\)")
 
 
@@ -81,8 +90,10 @@ def to_java(regex: str, *, first: str = "", word_left: bool = False, word_right:
     if "m" in flags:
         java = java.replace(r"\z", "$")
         flags += "d"
-    guard = f"(?=[{first}])" if first else ""
-    return (f"(?{flags})" if flags else "") + guard + java
+    java = (f"(?=[{first}])" if first else "") + java
+    for ranges, table in _RANGES:
+        java = java.replace(ranges, table)
+    return (f"(?{flags})" if flags else "") + java
 
 
 def _capture_span(body: str) -> tuple[int, int]:

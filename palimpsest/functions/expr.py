@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Below this many keys a straight scan of the key array beats a binary search.
@@ -16,8 +16,12 @@ EMPTY_STRINGS = "array<string>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    An aggregation over no elements: its start value goes to its last step as it is,
+    where ``transform`` over one element would copy it.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def no_strings() -> Column:
@@ -56,10 +60,7 @@ def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column],
             )
 
         def scan(key: Column) -> Column:
-            return let(
-                F.array_position(keys, key).cast("int"),
-                lambda at: F.when(at > 0, F.element_at(values, at)),
-            )
+            return F.get(F.filter(values, lambda _, i: F.get(keys, i) == key), F.lit(0))
 
         return F.when(size == 0, body(scan)).otherwise(body(search))
 
@@ -67,3 +68,15 @@ def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column],
         F.sort_array(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
     )
     return let(table, with_table)
+
+
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that fulfil a condition on a costly column, which is worked out once.
+
+    A plain filter would be pushed below the projection, and the column's whole
+    expression be evaluated for the filter and again for the output.  A filter on
+    the output of a generator stays where it is.  ``explode`` itself gets a filter
+    on its input for the same reason, ``explode_outer`` does not.
+    """
+    kept = F.explode_outer(F.when(condition, F.array(F.lit(True))))
+    return df.select("*", kept.alias("_kept")).filter("_kept").drop("_kept")

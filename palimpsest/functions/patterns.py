@@ -43,18 +43,16 @@ class Pattern:
 
 
 # A word boundary seen from inside a run of word characters and dashes.
-_END_OF_RUN = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=-)(?=[0-9A-Za-z_]))"
+_END_OF_RUN = r"(?:(?<=\w)(?!\w)|(?<=-)(?=\w))"
 
 # An address can only start where a run of its characters starts (or right after
 # the previous match), because every later start in the run ends at the same "@".
 # Trying one start per run keeps long dotted runs linear, as they are in RE2.
-_EMAIL_JAVA = (
-    r"(\G(?!\A)|(?<![a-zA-Z0-9._%+\-])[.%+\-]*+(?=[0-9A-Za-z_]))"
-    r"([a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}(?![0-9A-Za-z_]))"
-)
+_EMAIL_JAVA = r"(\G(?!\A)|(?<![\w.%+\-])[.%+\-]*+(?=\w))([\w.%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}(?!\w))"
+
 # The same holds for a long run of letters, digits and dashes: if its first word
 # character cannot start a match, none can.
-_LONG_RUN_JAVA = r"((?<![A-Za-z0-9_\-])-*+)([A-Za-z0-9_][A-Za-z0-9_\-]{35,}" + _END_OF_RUN + ")"
+_LONG_RUN_JAVA = r"((?<![\w\-])-*+)(\w[\w\-]{35,}" + _END_OF_RUN + ")"
 
 # Names, order, categories, expressions and default state define
 # what is found, and have to stay exactly as they are for results to agree.
@@ -137,7 +135,7 @@ CATALOG: tuple[Pattern, ...] = (
         r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
         "IP",
         hint=":",
-        gate=":[0-9a-fA-F]{1,4}:",
+        gate=r"(?::\p{XDigit}{1,4}){7}",
         first="0-9a-fA-F",
         word_left=True,
         word_right=True,
@@ -147,7 +145,7 @@ CATALOG: tuple[Pattern, ...] = (
         r"\b(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}\b",
         "MAC",
         hint=":",
-        gate=":[0-9a-fA-F]{1,4}:",
+        gate=r"(?::\p{XDigit}{2}){5}",
         first="0-9a-fA-F",
         word_left=True,
         word_right=True,
@@ -163,7 +161,7 @@ CATALOG: tuple[Pattern, ...] = (
     Pattern("credit_card", r"\b(?:\d[ \-]?){13,16}\b", "CC", needs_digit=True, first="0-9", word_left=True),
     Pattern(
         "ssn_us", r"\b\d{3}-\d{2}-\d{4}\b", "SSN",
-        hint="-", needs_digit=True, first="0-9", word_left=True, word_right=True,
+        gate=r"-\d\d-\d{4}", first="0-9", word_left=True, word_right=True,
     ),
     Pattern(
         "phone",

@@ -126,7 +126,8 @@ def redaction_totals(audit: DataFrame, since: dt.datetime | None = None) -> Data
     return (
         entries(audit, since=since)
         .filter(has_redactions(F.col("redactions")))
-        .select(F.explode(counts).alias("pattern", "n"))
+        .select(F.explode_outer(counts).alias("pattern", "n"))
+        .filter("pattern IS NOT NULL")
         .groupBy("pattern")
         .agg(F.sum("n").alias("matches"), F.count("*").alias("entries"))
     )

@@ -1,4 +1,8 @@
-"""Finding values without rewriting: hits and counts per pattern on the text as it is."""
+"""Finding values without rewriting: hits and counts per pattern on the text as it is.
+
+The generators are the outer kind with a filter on their output, see
+:func:`palimpsest.functions.expr.keep_if`.
+"""
 
 from __future__ import annotations
 
@@ -42,12 +46,13 @@ def hits(df: DataFrame, text: str, keep: Sequence[str], patterns: Sequence[Patte
     """One row per match: the kept columns, ``pattern``, ``category``, ``pos`` (from 0,
     within the pattern) and ``value``.  Each pattern looks at the original text."""
     patterns = default_patterns() if patterns is None else patterns
-    per_pattern = df.select(*keep, F.inline(_found(F.col(text), patterns)))
-    return per_pattern.select(*keep, "pattern", "category", F.posexplode("found").alias("pos", "value"))
+    per_pattern = df.select(*keep, F.inline_outer(_found(F.col(text), patterns))).filter("pattern IS NOT NULL")
+    return per_pattern.select(*keep, "pattern", "category", F.posexplode_outer("found").alias("pos", "value"))
 
 
 def count_by_pattern(df: DataFrame, text: str, patterns: Sequence[Pattern] | None = None) -> DataFrame:
     """Matches and texts with matches per pattern, over the original texts."""
     patterns = default_patterns() if patterns is None else patterns
-    per_text = df.select(F.inline(_found(F.col(text), patterns))).select("pattern", F.size("found").alias("n"))
+    per_text = df.select(F.inline_outer(_found(F.col(text), patterns))).filter("pattern IS NOT NULL")
+    per_text = per_text.select("pattern", F.size("found").alias("n"))
     return per_text.groupBy("pattern").agg(F.sum("n").alias("matches"), F.count("*").alias("texts"))

@@ -25,11 +25,11 @@ from palimpsest.functions.expr import let, no_strings, with_lookup
 from palimpsest.functions.patterns import Pattern, default_patterns
 from palimpsest.functions.tokens import token
 
-# Private-use characters mark matches while a text is being rewritten.  Texts that
-# contain them already are escaped with the third one for the duration.
-_OPEN, _CLOSE, _ESC = "\ue000", "\ue001", "\ue002"
-_ESCAPES = ((_ESC, _ESC + "\ue005"), (_OPEN, _ESC + "\ue003"), (_CLOSE, _ESC + "\ue004"))
-_AT_MARKS = f"[{_OPEN}{_CLOSE}]"
+# A private-use character stands on both sides of a match while a text is being
+# rewritten, so a split at it gives text, value, text, ..., text.  Texts that have
+# it already are escaped with a second one for the duration.
+_MARK, _ESC = "\ue000", "\ue001"
+_ESCAPES = ((_ESC, _ESC + "\ue003"), (_MARK, _ESC + "\ue002"))
 
 MATCH_STRUCT = "array<struct<pattern:string,n:int>>"
 
@@ -73,11 +73,14 @@ def candidates(text: Column, patterns: Sequence[Pattern]) -> Column:
     )
 
 
-def _choose(number: Column, options: Sequence[Column]) -> Column:
-    chain = F.when(number == 1, options[0])
-    for i, option in enumerate(options[1:], 2):
-        chain = chain.when(number == i, option)
-    return chain
+def _choose(number: Column, options: Sequence[Column], first: int = 1) -> Column:
+    """The option of that number, found by halving."""
+    if len(options) == 1:
+        return options[0]
+    half = len(options) // 2
+    return F.when(number < first + half, _choose(number, options[:half], first)).otherwise(
+        _choose(number, options[half:], first + half)
+    )
 
 
 def _mark(text: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
@@ -86,13 +89,10 @@ def _mark(text: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
     def marked(p: Pattern) -> Column:
         regex, group = java_form(p)
         if group == 0:
-            done = F.regexp_replace(text, F.lit(regex), F.lit(f"{_OPEN}$0{_CLOSE}"))
+            done = F.regexp_replace(text, F.lit(regex), F.lit(f"{_MARK}$0{_MARK}"))
         else:
             tail = "" if p.java else "$3"
-            done = F.regexp_replace(text, F.lit(regex), F.lit(f"$1{_OPEN}$2{_CLOSE}{tail}"))
-        if p.group:
-            # an empty group is neither replaced nor counted
-            done = F.replace(done, F.lit(_OPEN + _CLOSE), F.lit(""))
+            done = F.regexp_replace(text, F.lit(regex), F.lit(f"$1{_MARK}$2{_MARK}{tail}"))
         # Looking first is cheaper than a replacement that copies the text for nothing.
         return F.when(text.rlike(regex), done)
 
@@ -103,7 +103,7 @@ def _escape(text: Column) -> Column:
     escaped = text
     for char, code in _ESCAPES:
         escaped = F.replace(escaped, F.lit(char), F.lit(code))
-    clash = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)) | F.contains(text, F.lit(_ESC))
+    clash = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_ESC))
     return F.when(clash, escaped).otherwise(text)
 
 
@@ -119,8 +119,8 @@ def _step(state: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
     category = F.element_at(F.array(*(F.lit(p.category) for p in patterns)), number)
 
     def rewritten(pieces: Column) -> Column:
-        # split at the marks: text, value, text, value, ..., text
-        found = F.filter(pieces, lambda _, i: i % 2 == 1)
+        # a group that took part with nothing in it is neither replaced nor counted
+        found = F.filter(pieces, lambda x, i: (i % 2 == 1) & (x != ""))
         used = F.size(F.filter(state["tokens"], lambda t: F.startswith(t, F.concat(F.lit("[TG:"), category, F.lit(":")))))
 
         def assembled(fresh: Column) -> Column:
@@ -133,7 +133,7 @@ def _step(state: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
                         m["values"],
                         m["tokens"],
                         lambda find: F.array_join(
-                            F.transform(pieces, lambda x, i: F.when(i % 2 == 1, find(x)).otherwise(x)), ""
+                            F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & (x != ""), find(x)).otherwise(x)), ""
                         ),
                     ).alias("text"),
                     m["values"].alias("values"),
@@ -149,8 +149,11 @@ def _step(state: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
 
     return let(
         _mark(state["text"], number, patterns),
-        lambda marked: F.when(F.contains(marked, F.lit(_OPEN)), let(F.split(marked, _AT_MARKS, -1), rewritten)).otherwise(
-            state
+        lambda marked: F.when(marked.isNull(), state).otherwise(
+            let(
+                F.split(marked, _MARK, -1),
+                lambda pieces: F.when(F.size(pieces) == 1, state).otherwise(rewritten(pieces)),
+            )
         ),
     )
 

@@ -1,7 +1,8 @@
 """Reports over redacted text: totals, before/after lines, round-trip checks.
 
 The functions take the struct column that :func:`palimpsest.operators.redact.redact`
-returns, so the text is scanned once, whatever is reported.
+returns, so the text is scanned once, whatever is reported.  Generators are the outer
+kind with a filter on their output, see :func:`palimpsest.functions.expr.keep_if`.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ TOTAL = "TOTAL"
 def mapping_rows(df: DataFrame, keep: Sequence[str], redacted: str = "redacted") -> DataFrame:
     """The mapping in long form: one row per token, in order of allocation."""
     zipped = F.arrays_zip(F.col(f"{redacted}.tokens").alias("token"), F.col(f"{redacted}.values").alias("value"))
-    return df.select(*keep, F.posexplode(zipped).alias("ord", "entry")).select(
+    rows = df.select(*keep, F.posexplode_outer(zipped).alias("ord", "entry")).filter("ord IS NOT NULL")
+    return rows.select(
         *keep,
         "ord",
         F.col("entry.token").alias("token"),
@@ -30,7 +32,7 @@ def mapping_rows(df: DataFrame, keep: Sequence[str], redacted: str = "redacted")
 
 def match_rows(df: DataFrame, keep: Sequence[str], redacted: str = "redacted") -> DataFrame:
     """Match counts in long form: one row per text and pattern that matched."""
-    return df.select(*keep, F.inline(f"{redacted}.matches"))
+    return df.select(*keep, F.inline_outer(f"{redacted}.matches")).filter("pattern IS NOT NULL")
 
 
 def corpus_summary(df: DataFrame, redacted: str = "redacted") -> DataFrame:
@@ -67,7 +69,8 @@ def changed_lines(
     if not all_lines:
         # an unchanged text has no changed lines: do not split it at all
         pairs = F.when(before != after, pairs)
-    lines = df.select(*keep, F.posexplode(pairs).alias("line", "pair")).select(
+    rows = df.select(*keep, F.posexplode_outer(pairs).alias("line", "pair")).filter("line IS NOT NULL")
+    lines = rows.select(
         *keep,
         (F.col("line") + 1).alias("line"),
         F.col("pair.before").alias("before"),

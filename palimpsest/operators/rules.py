@@ -191,18 +191,17 @@ def _for_agent(value: Column, rule_set: RuleSet, kind: str, agent: Column | None
     general = resolve(value, rule_set.of(kind))
     if agent is None:
         return general
+
+    def labelled(name: str) -> Column:
+        def add_label(v: Column) -> Column:
+            source = F.concat(v["source"], F.lit(f" (agent:{name})"))
+            return F.when(v.isNotNull(), F.struct(v["tier"].alias("tier"), source.alias("source")))
+
+        return let(resolve(value, rule_set.of(kind, name)), add_label)
+
     own = None
     for name in rule_set.agents(kind):
-        found = let(
-            resolve(value, rule_set.of(kind, name)),
-            lambda v, name=name: F.when(
-                v.isNotNull(),
-                F.struct(
-                    v["tier"].alias("tier"), F.concat(v["source"], F.lit(f" (agent:{name})")).alias("source")
-                ),
-            ),
-        )
-        own = F.when(agent == name, found) if own is None else own.when(agent == name, found)
+        own = F.when(agent == name, labelled(name)) if own is None else own.when(agent == name, labelled(name))
     return general if own is None else F.coalesce(own, general)
 
 

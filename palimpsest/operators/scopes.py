@@ -16,9 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.expr import keep_if
 from palimpsest.functions.patterns import Pattern
 from palimpsest.functions.tokens import has_token, token, token_category
-from palimpsest.operators.redact import MATCH_STRUCT, redact
+from palimpsest.operators.redact import redact
 from palimpsest.operators.restore import restore, restore_exact
 from palimpsest.session import written
 
@@ -27,12 +28,9 @@ from palimpsest.session import written
 STRETCH_ROWS = 1 << 16
 
 
-def _local_hits(df: DataFrame, scope: str, order: str, text: str, patterns: Sequence[Pattern] | None) -> DataFrame:
-    """The rows with hits, redacted each on its own."""
-    redacted = df.select(scope, order, redact(text, patterns).alias("r"))
-    kept = F.when(F.size("r.tokens") > 0, F.array("r")).otherwise(F.array().cast(redacted.select(F.array("r")).schema[0].dataType))
-    # exploding nothing drops a row without testing the redaction twice
-    return redacted.select(scope, order, F.explode(kept).alias("r"))
+def _local_hits(df: DataFrame, text: str, patterns: Sequence[Pattern] | None) -> DataFrame:
+    """The rows with hits, redacted each on its own, with the result in ``r``."""
+    return keep_if(df.select("*", redact(text, patterns).alias("r")), F.size("r.tokens") > 0)
 
 
 def _row_values(local: DataFrame, scope: str, order: str) -> DataFrame:
@@ -85,7 +83,7 @@ def redact_scopes(
     ``redacted`` and ``matches`` added, and the mapping ``(scope, token, category, n,
     value)`` with one row per distinct value of a scope.
     """
-    local = written(_local_hits(df, scope, order, text, patterns))
+    local = written(_local_hits(df, text, patterns))
     row_values = _row_values(local, scope, order)
     numbered = written(_numbered(row_values, scope, order))
 
@@ -99,20 +97,17 @@ def redact_scopes(
         .groupBy(scope, order)
         .agg(F.sort_array(F.collect_list(F.struct("own", "token"))).alias("pairs"))
     )
-    rows = df.join(
-        local.join(exchanged, [scope, order]).select(
-            scope,
-            order,
-            restore_exact(F.col("r.text"), F.col("pairs.own"), F.col("pairs.token")).alias("redacted"),
-            F.col("r.matches").alias("matches"),
-        ),
-        [scope, order],
-        "left",
-    ).select(
+    changed = local.join(exchanged, [scope, order]).select(
         *df.columns,
-        F.coalesce("redacted", text).alias("redacted"),
-        F.coalesce("matches", F.array().cast(MATCH_STRUCT)).alias("matches"),
+        restore_exact(F.col("r.text"), F.col("pairs.own"), F.col("pairs.token")).alias("redacted"),
+        F.col("r.matches").alias("matches"),
+    )
+    # Looking through the texts again costs less than moving all of them for a join.
+    looked_through = df.select("*", redact(text, patterns).alias("r"))
+    unchanged = keep_if(looked_through, F.size("r.tokens") == 0).select(
+        *df.columns, F.col("r.text").alias("redacted"), F.col("r.matches").alias("matches")
     )
+    rows = changed.unionByName(unchanged)
     mapping = numbered.select(
         scope,
         "token",

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expr import let
+from palimpsest.functions.expr import keep_if, let
 from palimpsest.functions.tiers import BLOCKED, LOCAL_ONLY, REDACTED, tier_name
 from palimpsest.operators.redact import match_total, redact_all
 from palimpsest.operators.requests import parse_blocks, rebuild_body
@@ -49,7 +49,8 @@ def _summaries(texts: Column, summarize: Summarizer) -> Column:
                 at += max(size, 1)  # an empty array is one NULL row once exploded
             yield pd.Series(out, index=batch.index, dtype=object)
 
-    return F.pandas_udf(per_batch, "array<string>", "scalar_iter")(texts)
+    # A model need not answer the same twice, and must not be asked twice.
+    return F.pandas_udf(per_batch, "array<string>").asNondeterministic()(texts)
 
 
 def process_requests(
@@ -171,14 +172,14 @@ def rejected(requests: DataFrame) -> DataFrame:
 
 def mappings(processed: DataFrame) -> DataFrame:
     """One row per request that has tokens, for restoring its response."""
-    return processed.select("request_id", "tokens", "values").filter(F.size("tokens") > 0)
+    return keep_if(processed.select("request_id", "tokens", "values"), F.size("tokens") > 0)
 
 
 def block_rows(processed: DataFrame) -> DataFrame:
     """One row per content block."""
-    return processed.select("request_id", "ts", "agent", "provider", F.posexplode("blocks").alias("idx", "b")).select(
-        "request_id", "ts", "agent", "provider", "idx", "b.*"
-    )
+    request = ["request_id", "ts", "agent", "provider"]
+    exploded = processed.select(*request, F.posexplode_outer("blocks").alias("idx", "b"))
+    return exploded.filter("idx IS NOT NULL").select(*request, "idx", "b.*")
 
 
 def audit_entries(processed: DataFrame) -> DataFrame:
