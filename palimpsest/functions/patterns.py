@@ -19,8 +19,9 @@ class Pattern:
     ``group`` > 0 tokenizes only that capture group and keeps its context.
     ``hint`` is a literal that occurs in every match, ``needs`` lists literals of
     which at least one does, and ``gate`` is a cheap Java regex that finds
-    something in every text with a match; a text that fails one of them can skip
-    the pattern.  ``first`` is the character class every match starts with;
+    something in every text with a match; ``needs_digits`` and ``needs_long_number``
+    stand for gates that several patterns share.  A text that fails one of them can
+    skip the pattern.  ``first`` is the character class every match starts with;
     ``word_left`` / ``word_right`` say that a match always starts / ends with a
     word character.  ``java`` may give an equivalent Java form
     ``(context)(value)`` by hand.  All of these only make scanning cheaper;
@@ -35,7 +36,8 @@ class Pattern:
     hint: str = ""
     needs: tuple[str, ...] = ()
     gate: str = ""
-    needs_digit: bool = False
+    needs_digits: bool = False
+    needs_long_number: bool = False
     first: str = ""
     word_left: bool = False
     word_right: bool = False
@@ -116,7 +118,7 @@ CATALOG: tuple[Pattern, ...] = (
         "IP",
         default=False,
         needs=("10.", "172.", "192."),
-        needs_digit=True,
+        needs_digits=True,
         first="1",
         word_left=True,
         word_right=True,
@@ -125,7 +127,7 @@ CATALOG: tuple[Pattern, ...] = (
         "ipv4",
         r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b",
         "IP",
-        needs_digit=True,
+        needs_digits=True,
         first="0-9",
         word_left=True,
         word_right=True,
@@ -158,16 +160,16 @@ CATALOG: tuple[Pattern, ...] = (
         needs=("postgres://", "mysql://", "mongodb://", "redis://"),
         word_left=True,
     ),
-    Pattern("credit_card", r"\b(?:\d[ \-]?){13,16}\b", "CC", needs_digit=True, first="0-9", word_left=True),
+    Pattern("credit_card", r"\b(?:\d[ \-]?){13,16}\b", "CC", needs_long_number=True, first="0-9", word_left=True),
     Pattern(
         "ssn_us", r"\b\d{3}-\d{2}-\d{4}\b", "SSN",
-        gate=r"-\d\d-\d{4}", first="0-9", word_left=True, word_right=True,
+        needs_long_number=True, gate=r"-\d\d-\d{4}", first="0-9", word_left=True, word_right=True,
     ),
     Pattern(
         "phone",
         r"(?:\+\d{1,3}[\s.\-]?\(?\d{1,4}\)?[\s.\-]?\d{3,5}[\s.\-]?\d{3,5}|\(?\b\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}\b)",
         "PHONE",
-        needs_digit=True,
+        needs_long_number=True,
         first="+(0-9",
         word_left=True,
         word_right=True,
@@ -187,14 +189,14 @@ CATALOG: tuple[Pattern, ...] = (
         r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]?){0,16}\b",
         "IBAN",
         default=False,
-        needs_digit=True,
+        needs_long_number=True,
         first="A-Z",
         word_left=True,
         word_right=True,
     ),
     Pattern(
         "passport", r"\b[A-Z]\d{8}\b", "PASSPORT",
-        default=False, needs_digit=True, first="A-Z", word_left=True, word_right=True,
+        default=False, needs_long_number=True, first="A-Z", word_left=True, word_right=True,
     ),
     Pattern("high_entropy_secret", r"\b[A-Za-z0-9_\-]{36,}\b", "SECRET", default=False, java=_LONG_RUN_JAVA),
     Pattern(
@@ -204,7 +206,7 @@ CATALOG: tuple[Pattern, ...] = (
         group=1,
         default=False,
         hint=":",
-        needs_digit=True,
+        needs_digits=True,
     ),
     Pattern(
         "passwd_username",
@@ -213,7 +215,7 @@ CATALOG: tuple[Pattern, ...] = (
         group=1,
         default=False,
         hint=":",
-        needs_digit=True,
+        needs_digits=True,
     ),
 )
 # End of fixed values.

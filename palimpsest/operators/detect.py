@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expr import let
 from palimpsest.functions.patterns import Pattern, default_patterns
-from palimpsest.operators.redact import can_match, java_form
+from palimpsest.operators.redact import can_match, java_form, with_shared_gates
 
 
 def find_values(text: Column, p: Pattern) -> Column:
@@ -25,10 +24,10 @@ def find_values(text: Column, p: Pattern) -> Column:
 def _found(text: Column, patterns: Sequence[Pattern]) -> Column:
     """``array<struct<pattern, category, found>>`` of the patterns with hits."""
 
-    def entries(has_digit: Column) -> Column:
+    def entries(gates: Column) -> Column:
         tested = (
             F.when(
-                can_match(text, has_digit, p),
+                can_match(text, gates, p),
                 F.struct(
                     F.lit(p.name).alias("pattern"),
                     F.lit(p.category).alias("category"),
@@ -39,7 +38,7 @@ def _found(text: Column, patterns: Sequence[Pattern]) -> Column:
         )
         return F.filter(F.array_compact(F.array(*tested)), lambda e: F.size(e["found"]) > 0)
 
-    return let(text.rlike("[0-9]"), entries)
+    return with_shared_gates(text, entries)
 
 
 def hits(df: DataFrame, text: str, keep: Sequence[str], patterns: Sequence[Pattern] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ passed through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -42,11 +42,26 @@ def java_form(p: Pattern) -> tuple[str, int]:
     return (split_on_group(regex), 2) if p.group else (regex, 0)
 
 
-def can_match(text: Column, has_digit: Column, p: Pattern) -> Column:
+# Seven digits with at most two separators between neighbours.
+_LONG_NUMBER = r"\d(?:[\s.()\-]{0,2}+\d){6}"
+
+
+def with_shared_gates(text: Column, body: Callable[[Column], Column]) -> Column:
+    """Run ``body`` with what the patterns' shared gates found in the text."""
+    gates = let(
+        text.rlike("[0-9]"),
+        lambda digits: F.struct(digits.alias("digits"), (digits & text.rlike(_LONG_NUMBER)).alias("long_number")),
+    )
+    return let(gates, body)
+
+
+def can_match(text: Column, gates: Column, p: Pattern) -> Column:
     """Whether the text fulfils what every match of the pattern needs."""
     tests = [F.lit(True)]
-    if p.needs_digit:
-        tests.append(has_digit)
+    if p.needs_digits:
+        tests.append(gates["digits"])
+    if p.needs_long_number:
+        tests.append(gates["long_number"])
     if p.hint:
         tests.append(F.contains(text, F.lit(p.hint)))
     if p.needs:
@@ -65,10 +80,10 @@ def candidates(text: Column, patterns: Sequence[Pattern]) -> Column:
     """
     if not patterns:
         return F.array().cast("array<int>")
-    return let(
-        text.rlike("[0-9]"),
-        lambda has_digit: F.array_compact(
-            F.array(*(F.when(can_match(text, has_digit, p), F.lit(i)) for i, p in enumerate(patterns, 1)))
+    return with_shared_gates(
+        text,
+        lambda gates: F.array_compact(
+            F.array(*(F.when(can_match(text, gates, p), F.lit(i)) for i, p in enumerate(patterns, 1)))
         ),
     )
 

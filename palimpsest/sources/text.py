@@ -35,6 +35,19 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    Looking through text is bound by the processor, so a table whose files give
+    fewer tasks than that is dealt out first.  A table with enough splits is left
+    alone: at scale nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def _location(path: str) -> str:
     bare = re.sub(r"^file:/*", "/", path.strip())
     return posixpath.normpath(bare)

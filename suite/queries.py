@@ -38,6 +38,7 @@ from palimpsest.plans.corpus import redact_corpus, redacted_texts
 from palimpsest.plans.presets import load_rules
 from palimpsest.session import working_folder, written
 from palimpsest.sources.audit_store import AuditStore, split_rotation
+from palimpsest.sources.text import spread
 from palimpsest.streaming import chunks as chunk_ops
 from palimpsest.streaming import streams
 from suite import derived
@@ -68,12 +69,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, name))
+
+
 def _columns(columns: dict[str, str]) -> list[str]:
     return [f"({expression}) AS {name}" for name, expression in columns.items()]
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").selectExpr("event_id", f"({derived.EVENT_LOG}) AS text")
+    return _texts(spark, sf_dir, "events").selectExpr("event_id", f"({derived.EVENT_LOG}) AS text")
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"({derived.TURN_TEXT}) AS text")
+    return _texts(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"({derived.TURN_TEXT}) AS text")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +107,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit('{"model":"m","messages":['), first, F.lit(","), second, F.lit(","), third, F.lit('],"stream":true}')
     )
-    return _table(spark, sf_dir, "conversations").select(
+    return _texts(spark, sf_dir, "conversations").select(
         F.expr(derived.REQUEST_ID).alias("request_id"),
         F.lit(dt.datetime(2024, 1, 1)).alias("ts"),
         F.lit("").alias("agent_header"),
@@ -118,7 +123,7 @@ def _processed(spark: SparkSession, sf_dir: str, summarize=None) -> DataFrame:
 
 def _redacted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_corpus(
-        _table(spark, sf_dir, "documents"), "text", ["doc_id", "lang", "source"], load_rules("training-data")
+        _texts(spark, sf_dir, "documents"), "text", ["doc_id", "lang", "source"], load_rules("training-data")
     )
 
 
@@ -130,7 +135,7 @@ def _redacted_logs(spark: SparkSession, sf_dir: str, patterns=None) -> DataFrame
 
 
 def detect_counts_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.count_by_pattern(_table(spark, sf_dir, "documents"), "text", all_patterns())
+    return detect.count_by_pattern(_texts(spark, sf_dir, "documents"), "text", all_patterns())
 
 
 def detect_counts_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,15 +143,15 @@ def detect_counts_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_hits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.hits(_table(spark, sf_dir, "documents"), "text", ["doc_id"], all_patterns())
+    return detect.hits(_texts(spark, sf_dir, "documents"), "text", ["doc_id"], all_patterns())
 
 
 def detect_hits_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.hits(_table(spark, sf_dir, "pages"), "html", ["page_id"], all_patterns())
+    return detect.hits(_texts(spark, sf_dir, "pages"), "html", ["page_id"], all_patterns())
 
 
 def mask_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", mask("text", all_patterns()).alias("masked"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", mask("text", all_patterns()).alias("masked"))
 
 
 def mask_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +167,7 @@ def redact_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = redact_corpus(_table(spark, sf_dir, "pages"), "html", ["page_id"], default_patterns())
+    pages = redact_corpus(_texts(spark, sf_dir, "pages"), "html", ["page_id"], default_patterns())
     return redacted_texts(pages, ["page_id"])
 
 
@@ -293,7 +298,7 @@ def classify_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"({derived.MESSAGE_0}) AS content")
+    return _texts(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"({derived.MESSAGE_0}) AS content")
 
 
 def extract_text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,7 +487,7 @@ def audit_store_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark)
-    documents = _table(spark, sf_dir, "documents")
+    documents = _texts(spark, sf_dir, "documents")
     documents.write.parquet(f"{folder}/in")
     docs = streams.stream_table(spark, f"{folder}/in", documents.schema)
     redacted = docs.select("doc_id", redact("text", all_patterns()).alias("redacted"))
