@@ -95,29 +95,25 @@ def summary(audit: DataFrame, since: dt.datetime | None = None) -> DataFrame:
     """Entry counts by tier, by agent, by provider and in total, in long form.
 
     ``dimension`` is ``tier``, ``agent``, ``provider`` or ``total``; ``redacted`` counts
-    entries with redactions.  All counts come from one aggregation over all
-    matching entries.  Counting the combinations first keeps the rows that are
-    multiplied for the three groupings few.
+    entries with redactions.  All matching entries are counted, by combination first,
+    so that only the few combinations are multiplied for the groupings.
     """
     combos = (
         entries(audit, since=since)
         .groupBy("tier", "agent", "provider")
         .agg(F.count("*").alias("n"), F.count_if(has_redactions(F.col("redactions"))).alias("r"))
     )
-    grouped = combos.groupingSets(
-        [["tier"], ["agent"], ["provider"], []], "tier", "agent", "provider"
-    ).agg(F.sum("n").alias("entries"), F.sum("r").alias("redacted"), F.grouping_id().alias("g"))
-    # grouping ids: a bit is set for each column that is NOT part of the grouping
-    dimension = (
-        F.when(F.col("g") == 0b011, "tier").when(F.col("g") == 0b101, "agent").when(F.col("g") == 0b110, "provider")
+    sums = (F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum("r"), F.lit(0)).alias("redacted"))
+    grouped = combos.groupingSets([["tier"], ["agent"], ["provider"]], "tier", "agent", "provider").agg(
+        *sums, F.grouping_id().alias("g")
     )
-    key = F.coalesce("tier", "agent", "provider", F.lit(""))
+    # grouping ids: a bit is set for each column that is NOT part of the grouping
+    dimension = F.when(F.col("g") == 0b011, "tier").when(F.col("g") == 0b101, "agent").otherwise("provider")
+    # the total is there even without entries, which no grouping set gives
+    total = combos.agg(*sums).select(F.lit("total").alias("dimension"), F.lit("").alias("key"), "entries", "redacted")
     return grouped.select(
-        F.coalesce(dimension, F.lit("total")).alias("dimension"),
-        key.alias("key"),
-        F.coalesce("entries", F.lit(0)).alias("entries"),
-        F.coalesce("redacted", F.lit(0)).alias("redacted"),
-    )
+        dimension.alias("dimension"), F.coalesce("tier", "agent", "provider").alias("key"), "entries", "redacted"
+    ).unionByName(total)
 
 
 def redaction_totals(audit: DataFrame, since: dt.datetime | None = None) -> DataFrame:

@@ -65,16 +65,16 @@ def check_output(inputs: list[str], output: str) -> None:
             raise ValueError(f"output {output} overlaps input {path}")
 
 
-def write_texts(df: DataFrame, output: str, text: str = "text") -> None:
-    """Write a string column as text files, one row per file part, nothing added.
+def write_texts(df: DataFrame, inputs: list[str], output: str, text: str = "text") -> None:
+    """Write a string column as text files; a text without a final newline gets one.
 
-    Rows are separated by nothing, so a row's bytes come out as they are only if
-    each row keeps its own newlines; use :func:`write_corpus` to keep rows apart.
+    :func:`write_corpus` keeps every text exactly as it is.
     """
-    df.select(F.col(text).alias("value")).write.text(output, lineSep="")
+    check_output(inputs, output)
+    df.select(F.regexp_replace(text, r"\n\z", "").alias("value")).write.text(output)
 
 
 def write_corpus(df: DataFrame, inputs: list[str], output: str, mode: str = "errorifexists") -> None:
-    """Write Parquet, after making sure that no input is overwritten."""
+    """Write Parquet, texts byte for byte, after making sure that no input is overwritten."""
     check_output(inputs, output)
     df.write.mode(mode).parquet(output)

@@ -64,13 +64,16 @@ def realign_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"response_id": [key[0]] * len(seqs), "seq": seqs, "text": texts})
 
-    return chunks.groupBy("response_id").applyInPandasWithState(
+    released = chunks.groupBy("response_id").applyInPandasWithState(
         release,
         _ALIGNED,
         "held string, last_seq bigint",
         "append",
         GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
+    # Rows from Python workers cannot be shuffled as they are (for a join with a large
+    # mapping, say); an expression over them makes them rows that can.
+    return released.select("response_id", "seq", F.coalesce("text", F.lit("")).alias("text"))
 
 
 # Stretches of a response that a batch job handles on their own.

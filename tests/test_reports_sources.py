@@ -78,9 +78,11 @@ def test_texts_keep_their_newlines(spark, tmp_path):
     texts = read_texts(spark, str(tmp_path / "in"))
     assert {r["text"] for r in texts.collect()} == {"x a@b.com\r\n\n", "no newline"}
     one = redacted_texts(redact_corpus(texts.filter(F.col("path").endswith("a.txt")), "text", ["path"]), ["path"]).coalesce(1)
-    write_texts(one, str(tmp_path / "out"))
+    write_corpus(one, [str(tmp_path / "in")], str(tmp_path / "exact"))
+    assert spark.read.parquet(str(tmp_path / "exact")).first()["text"] == "x [TG:EMAIL:1]\r\n\n"
+    write_texts(one.withColumn("text", F.concat("text", F.lit("end"))), [str(tmp_path / "in")], str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("part-*")
-    assert part.read_bytes() == b"x [TG:EMAIL:1]\r\n\n"
+    assert part.read_bytes() == b"x [TG:EMAIL:1]\r\n\nend\n"
 
 
 def test_outputs_never_overlap_inputs(spark, tmp_path):

@@ -114,8 +114,7 @@ def test_idle_responses_are_released(spark, tmp_path):
         ops.realign_stream(stream, idle_ms=300).writeStream.format("memory").queryName("idle").trigger(processingTime="300 milliseconds").start()
     )
     try:
-        for _ in range(60):
-            query.processAllAvailable()
+        for _ in range(40):
             rows = spark.table("idle").select("seq", "text").collect()
             if len(rows) == 2:
                 break
