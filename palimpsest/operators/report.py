@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.tokens import tokens_in
 from palimpsest.operators.restore import restore
 
 TOTAL = "TOTAL"
@@ -83,3 +84,14 @@ def changed_lines(
 def round_trips(text: Column, redacted: Column) -> Column:
     """Whether restoring the redacted text gives the text back."""
     return restore(redacted["text"], redacted["tokens"], redacted["values"]) == text
+
+
+def unresolved_rows(texts: DataFrame, scope: Sequence[str], text: str, mapping: DataFrame) -> DataFrame:
+    """Tokens in texts that a long-form mapping lacks: one row per scope and token,
+    with the number of times it occurs.
+
+    Counting comes before the join, so a token that fills a corpus is one row in it.
+    """
+    found = texts.select(*scope, F.explode_outer(tokens_in(F.col(text))).alias("token")).filter("token IS NOT NULL")
+    counted = found.groupBy(*scope, "token").agg(F.count("*").alias("n"))
+    return counted.join(mapping.select(*scope, "token"), [*scope, "token"], "left_anti")

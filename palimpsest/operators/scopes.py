@@ -26,6 +26,9 @@ from palimpsest.session import written
 # First appearances are ranked within stretches of this many rows of a scope; the
 # ranks before a stretch are added up from one count per stretch.
 STRETCH_ROWS = 1 << 16
+# Tasks that the rows with one and the same value are spread over, before any
+# further splitting of skewed partitions at run time.
+SPREAD = 32
 
 
 def _local_hits(df: DataFrame, text: str, patterns: Sequence[Pattern] | None) -> DataFrame:
@@ -89,7 +92,7 @@ def redact_scopes(
 
     # A value may be in very many rows of a scope: the row number spreads those over
     # tasks, and the matching token is repeated for each part.
-    parts = 32
+    parts = SPREAD
     spread = row_values.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
     tokens = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     exchanged = (

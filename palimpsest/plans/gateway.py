@@ -21,6 +21,9 @@ from palimpsest.operators.restore import restore, restore_json
 from palimpsest.operators.rules import RuleSet, classify_block
 from palimpsest.operators.traffic import detect_agent, resolve_provider
 
+REQUEST_SCHEMA = (
+    "request_id string, ts timestamp, agent_header string, user_agent string, path string, body string"
+)
 DENIED = "[access denied: blocked content]"
 LOCAL_FAILED = "[local-only content could not be processed]"
 LOCAL_MISSING = "[local-only content withheld: no local model]"

@@ -13,7 +13,6 @@ from pyspark.sql.utils import AnalysisException
 
 from palimpsest.operators.audit import AUDIT_SCHEMA, entries
 
-_COLUMNS = [f.name for f in AUDIT_SCHEMA.fields]
 _STORED = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("date", T.DateType())])
 _ROTATION = "since timestamp, until timestamp, archive string"
 # One row per rotation ever made; a list this long is a mistake, not a history.
@@ -50,7 +49,8 @@ class AuditStore:
         return f"{self.root}/rotations"
 
     def _with_date(self, new: DataFrame) -> DataFrame:
-        return new.select(*_COLUMNS).withColumn("date", F.to_date("ts"))
+        typed = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields))
+        return typed.withColumn("date", F.to_date("ts"))
 
     def append(self, new: DataFrame) -> None:
         """Add entries.  One shuffle by date keeps the number of files small, and

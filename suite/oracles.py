@@ -406,6 +406,9 @@ FROM routed r LEFT JOIN json USING (request_id, idx)""",
     + r""", found AS (SELECT event_id, list_filter(regexp_extract_all(t, '\[TG:[A-Z]+:[0-9]+\]'),
   lambda x: list_position(mt, x) % 2 = 0) AS u FROM folded)
 SELECT event_id, unnest(range(len(u)))::INT AS pos, unnest(u) AS token FROM found""",
+    "unresolved_corpus": LOG_FOLD
+    + r""", found AS (SELECT event_id, unnest(regexp_extract_all(t, '\[TG:[A-Z]+:[0-9]+\]')) AS token FROM folded)
+SELECT event_id, token, count(*) AS n FROM found WHERE token LIKE '%1]' GROUP BY event_id, token""",
     "audit_recent": f"WITH {_AUDIT}, r AS (SELECT * FROM audit ORDER BY ts DESC, id DESC LIMIT 500) SELECT * EXCLUDE (ts) FROM r",
     "audit_by_agent_since": f"""WITH {_AUDIT} SELECT id, agent, tier, target, notes FROM audit
 WHERE agent = 'agent-1' AND ts >= TIMESTAMP '2024-01-20'""",

@@ -434,6 +434,14 @@ def unresolved_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redacted_logs(spark, sf_dir).select("event_id", F.posexplode(unresolved_tokens(r["text"], known)).alias("pos", "token"))
 
 
+def unresolved_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a mapping table that has lost every token with an odd number."""
+    logs = _redacted_logs(spark, sf_dir)
+    texts = logs.select("event_id", F.col("redacted.text").alias("text"))
+    mapping = report.mapping_rows(logs, ["event_id"]).filter("token NOT LIKE '%1]'")
+    return report.unresolved_rows(texts, ["event_id"], "text", mapping)
+
+
 # --- audit ---
 
 
@@ -615,6 +623,7 @@ QUERIES: dict[str, Query] = {
     "restore_fuzzy_spellings": restore_fuzzy_spellings,
     "restore_event_lines": restore_event_lines,
     "unresolved_tokens": unresolved_in_texts,
+    "unresolved_corpus": unresolved_corpus,
     "audit_recent": audit_recent,
     "audit_by_agent_since": audit_by_agent_since,
     "audit_summary": audit_summary,
