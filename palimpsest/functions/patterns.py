@@ -56,6 +56,13 @@ _EMAIL_JAVA = r"(\G(?!\A)|(?<![\w.%+\-])[.%+\-]*+(?=\w))([\w.%+\-]++@[a-zA-Z0-9.
 # character cannot start a match, none can.
 _LONG_RUN_JAVA = r"((?<![\w\-])-*+)(\w[\w\-]{35,}" + _END_OF_RUN + ")"
 
+# And for host names, whose runs may be entered after a dash if a capital letter or
+# an underscore stands before them.
+_HOST_JAVA = (
+    r"((?:\G(?!\A)|(?<![a-z0-9\-])(?:(?<=\w)[a-z0-9]*+-)?+)-*+(?<!\w))"
+    r"([a-z0-9][a-z0-9\-]*+\.(?:local|internal|lan)(?!\w))"
+)
+
 # Names, order, categories, expressions and default state define
 # what is found, and have to stay exactly as they are for results to agree.
 CATALOG: tuple[Pattern, ...] = (
@@ -64,6 +71,8 @@ CATALOG: tuple[Pattern, ...] = (
         r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----.*?-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----",
         "KEY",
         hint="-----BEGIN ",
+        needs=("PRIVATE KEY-----",),
+        gate="-----END ",
     ),
     Pattern(
         "jwt",
@@ -180,9 +189,7 @@ CATALOG: tuple[Pattern, ...] = (
         "HOST",
         default=False,
         needs=(".local", ".internal", ".lan"),
-        first="a-z0-9",
-        word_left=True,
-        word_right=True,
+        java=_HOST_JAVA,
     ),
     Pattern(
         "iban",
