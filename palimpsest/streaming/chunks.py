@@ -84,25 +84,34 @@ def realign(chunks: DataFrame) -> DataFrame:
     """The same for a finished archive of chunks, without state.
 
     What is held before a chunk only depends on the last 64 characters before it,
-    so each chunk looks back that far.  ``seq`` counts the chunks of a response
-    without gaps; a long response is cut into stretches, each with the chunks before
-    it as context, so that no task has to go through a whole response.
+    so each chunk looks back over 64 chunks.  ``seq`` counts the chunks of a response
+    without gaps, and only the last of them may be empty.  A long response is cut
+    into stretches, each with the chunks around it as context, so that no task has to
+    go through a whole response.  A response's last chunk releases what is held,
+    whether it is marked as the last or the response broke off.
     """
     stretch = F.floor(F.col("seq") / STRETCH_CHUNKS)
-    is_context = F.col("seq") % STRETCH_CHUNKS >= STRETCH_CHUNKS - MAX_TAIL
-    copies = F.when(is_context, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
-    rows = chunks.filter(F.length("chunk") > 0).withColumn("stretch", F.explode(copies))
-    look_back = Window.partitionBy("response_id", "stretch").orderBy("seq").rowsBetween(-MAX_TAIL, -1)
-    before = F.right(F.array_join(F.collect_list(F.right("chunk", F.lit(MAX_TAIL))).over(look_back), ""), F.lit(MAX_TAIL))
+    place = F.col("seq") % STRETCH_CHUNKS
+    copies = F.array_compact(
+        F.array(
+            stretch,
+            F.when(place >= STRETCH_CHUNKS - MAX_TAIL, stretch + 1),
+            F.when(place == 0, stretch - 1),
+        )
+    )
+    rows = chunks.withColumn("chunk", F.coalesce("chunk", F.lit(""))).withColumn("stretch", F.explode(copies))
+    in_order = Window.partitionBy("response_id", "stretch").orderBy("seq")
+    tails = F.collect_list(F.right("chunk", F.lit(MAX_TAIL))).over(in_order.rowsBetween(-MAX_TAIL, -1))
     tail = rf"({TAIL_REGEX})\z"
 
     def held(text: Column) -> Column:
         return F.regexp_extract(F.right(text, F.lit(MAX_TAIL)), tail, 1)
 
     joined = F.concat("held", "chunk")
-    kept = F.when(F.coalesce("is_last", F.lit(False)), F.lit("")).otherwise(held(F.concat("before", "chunk")))
+    kept = F.when(F.col("next").isNull(), F.lit("")).otherwise(held(F.concat("before", "chunk")))
     return (
-        rows.withColumn("before", before)
+        rows.withColumn("before", F.right(F.array_join(tails, ""), F.lit(MAX_TAIL)))
+        .withColumn("next", F.lead("seq").over(in_order))
         .filter(F.col("stretch") == stretch)
         .withColumn("held", held(F.col("before")))
         .select("response_id", "seq", F.substr(joined, F.lit(1), F.length(joined) - F.length(kept)).alias("text"))

@@ -84,6 +84,9 @@ def test_random_chunks_batch(spark, monkeypatch):
     long = ["[TG", ":IP:", "1", "] "] * 100
     rows += chunk_rows("long", long)
     texts["long"] = "".join(long)
+    rows += [("cut", 0, "a [TG:IP:", False), ("end", 0, "b [TG:IP:", False), ("end", 1, "", True)]
+    rows += [("edge", i, c, False) for i, c in enumerate("x" * 66 + "[TG:IP:1]" + "y" * 66)]
+    texts |= {"cut": "a [TG:IP:", "end": "b [TG:IP:", "edge": "x" * 66 + "[TG:IP:1]" + "y" * 66}
     names = [(k, *MAPPING[0][1:]) for k in texts]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = ops.restore_chunks(ops.realign(df), mapping(spark, names), restore).collect()
