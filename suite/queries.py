@@ -24,8 +24,6 @@ from palimpsest.operators.redact import mask, match_total, redact
 from palimpsest.operators.requests import parse_blocks
 from palimpsest.operators.restore import restore, restore_event_line, restore_exact, restore_fuzzy, unresolved_tokens
 from palimpsest.operators.rules import (
-    PROJECT,
-    USER,
     Config,
     classification_report,
     classify_command,

@@ -23,7 +23,7 @@ FOUR = [
     ("1", 1, "claude", "anthropic", "redacted", '{"ips":2}'),
     ("2", 2, "claude", "anthropic", "public", None),
     ("3", 3, "codex", "openai", "blocked", "null"),
-    ("4", 30, "codex", "ollama", "local-only", '{"ips":5,"email":1}'),
+    ("4", 30, "codex", "mistral", "local-only", '{"ips":5,"email":1}'),
 ]
 
 
@@ -33,7 +33,7 @@ def test_summary(spark):
     assert [got[("tier", t)] for t in ("redacted", "public", "blocked", "local-only")] == [(1, 1), (1, 0), (1, 0), (1, 1)]
     assert got[("agent", "claude")] == (2, 1) and got[("provider", "anthropic")] == (2, 1)
     since = {(r["dimension"], r["key"]): r["entries"] for r in ops.summary(entries(spark, FOUR), NOW - dt.timedelta(hours=24)).collect()}
-    assert since[("total", "")] == 3 and ("provider", "ollama") not in since
+    assert since[("total", "")] == 3 and ("provider", "mistral") not in since
     empty = ops.summary(entries(spark, [])).collect()
     assert [tuple(r) for r in empty] == [("total", "", 0, 0)]
 
