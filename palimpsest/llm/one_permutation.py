@@ -28,7 +28,7 @@ BINS = 2**BIN_BITS
 LOW_BITS = 4
 LANES = 64 // LOW_BITS
 #: Probes for a full bin before all full bins are ranked.
-PROBES = 12
+PROBES = 20
 _SHIFT = 64 - BIN_BITS
 _ONE_A_LANE = int("1" * LANES, 16)
 
