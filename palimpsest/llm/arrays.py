@@ -42,7 +42,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, bytes, and the rows' offsets in them; about ``PART`` bytes each, no text divided."""
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
