@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import texts
@@ -194,3 +195,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 def held_out(id_column: str = "doc_id"):
     """True for ids whose label is never learnt: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def probability(model: Model, text: Column) -> Column:
+    """The score of a text column, a null text as an empty one."""
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        found = np.array([model.features(t) for t in texts], dtype=float).reshape(-1, 2)
+        return pd.Series(model.probability(found))
+
+    return of(F.coalesce(text, F.lit("")))

@@ -54,7 +54,9 @@ def _chunks(text: Column) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def drop_repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_repeated_chunks(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Every document without the multi-line chunks that stand earlier in the table.
 
     Only hashes and positions are exchanged to find what repeats; of a repeated chunk
@@ -62,6 +64,8 @@ def drop_repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column
     compared.  Counts combine before the exchange, and a chunk that is everywhere is
     one row on the joins' other side, so its many places can be split over tasks.
 
+    Columns named in ``carry`` come along as the struct ``carried``.
+
     Null and empty texts have no chunk; a null id comes before all others; rows equal
     in id and text are one document; an empty table gives an empty one.  Other
     columns are not looked at.  Returns doc_id, text (what is left), n_lines,
@@ -120,7 +124,11 @@ def drop_repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column
         )
         return let(F.split(text, "\n"), lambda lines: let(compared, lambda equal: by_lines(lines, equal)))
 
-    joined = plain.join(removals, same(plain, removals), "left").select(
-        plain["doc_id"], left(plain["text"], F.col("removals")).alias("r")
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(None).cast("string").alias("none"))
+    whole = docs.select(
+        F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), carried.alias("carried")
+    ).withColumn("th", F.xxhash64("text"))
+    joined = whole.join(removals, same(whole, removals), "left").select(
+        whole["doc_id"], left(whole["text"], F.col("removals")).alias("r"), "carried"
     )
-    return joined.select("doc_id", "r.*")
+    return joined.select("doc_id", "r.*", *(["carried"] if carry else []))
