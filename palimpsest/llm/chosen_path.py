@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     whole = ["n", "x", "s"]
     usable = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = usable.groupBy(*whole).agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join's two sides are dealt out for it alone and a hot class can be split.
+    classes = space.written(usable.groupBy(*whole).agg(F.min("doc_id").alias("rep")))
     member = space.written(usable.select("doc_id", *whole).join(classes, whole).select("doc_id", "n", "rep"))
     reps = usable.join(classes.select(*whole, F.col("rep").alias("doc_id")), ["doc_id", *whole], "left_semi").dropDuplicates(["doc_id", *whole])
     reps = space.written(reps.select("doc_id", "n", "keys", "sketch"))
