@@ -29,6 +29,7 @@ LOW_BITS = 4
 LANES = 64 // LOW_BITS
 #: Probes for a full bin before all full bins are ranked.
 PROBES = 20
+_NULL_ID = -(1 << 63)
 _SHIFT = 64 - BIN_BITS
 _ONE_A_LANE = int("1" * LANES, 16)
 
@@ -135,7 +136,7 @@ def compare_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column:
     first.  Successors are found among ids alone, sorted in ranges; then each next
     text travels once, cut to what is needed.
 
-    A null id comes first; rows equal in id and text are one document, others with
+    Ids are whole numbers.  A null id comes first; rows equal in id and text are one document, others with
     one id are ordered by a hash of their text; a single document is its own
     successor.  Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
@@ -167,16 +168,17 @@ def compare_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column:
         )
     )
     successors = space.written(following)
-    plain = texts(docs, id_column, text_column).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # One key without nulls for both joins and the last grouping, so that texts are dealt out by it once.
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(_NULL_ID))
+    plain = texts(docs, id_column, text_column).select(key("doc_id").alias("k"), F.xxhash64("text").alias("th"), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    brought = plain.join(
-        successors, plain["doc_id"].eqNullSafe(F.col("next_id")) & (plain["th"] == F.col("next_th"))
-    ).select(
-        "before_id", "before_th", "n_chars", "packed", "near_next", half.alias("half"), F.left("text", half).alias("tail")
-    )
+    after = successors.withColumns({"k": key("next_id"), "th": F.col("next_th")})
+    brought = plain.join(after, ["k", "th"]).select(
+        key("before_id").alias("k"), F.col("before_id").alias("doc_id"), F.col("before_th").alias("th"), "n_chars", "packed", "near_next", half.alias("half"), F.left("text", half).alias("tail"),
+    )
     edited = (
-        plain.join(brought, plain["doc_id"].eqNullSafe(F.col("before_id")) & (plain["th"] == F.col("before_th")))
-        .dropDuplicates(["doc_id", "th"])
+        plain.join(brought, ["k", "th"])
+        .dropDuplicates(["k", "th"])
         .select(
             "doc_id", "n_chars", "packed", "near_next",
             F.concat(F.left("text", (F.col("n_chars") - F.col("half")).cast("int")), "tail").alias("edited"),
