@@ -78,7 +78,8 @@ def drop_repeated_chunks(
     )
     place = F.struct("doc_id", "th", "j")
     chunks = space.written(found)
-    repeated = (
+    # Written, so that the join deals both sides out for itself and a hot chunk can be split.
+    repeated = space.written(
         chunks.groupBy("h", "size").agg(F.min(place).alias("source"), F.max(place).alias("final"))
         .filter(~F.col("source").eqNullSafe(F.col("final")))
         .drop("final")
