@@ -72,7 +72,8 @@ def entries(
         column, day = F.col("ts"), F.to_date(F.lit(bound))
         audit = audit.filter(column >= bound if at_least else column <= bound)
         if "date" in audit.columns:
-            audit = audit.filter(F.col("date") >= day if at_least else F.col("date") <= day)
+            # A day more: the store may have been written under another time zone.
+            audit = audit.filter(F.col("date") >= F.date_sub(day, 1) if at_least else F.col("date") <= F.date_add(day, 1))
     return audit
 
 

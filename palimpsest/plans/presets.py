@@ -201,11 +201,29 @@ TRAINING_DATA = Config(
         "**/docker-compose.yml",
         "**/docker-compose.yaml",
     ),
-    redact=tuple(
-        f"**/*.{ending}"
-        for ending in (
-            "py js ts go rs java rb sh yaml yml json toml xml sql csv md txt rst log jsonl parquet tsv".split()
-        )
+    redact=(
+        "**/*.py",
+        "**/*.js",
+        "**/*.ts",
+        "**/*.go",
+        "**/*.rs",
+        "**/*.java",
+        "**/*.rb",
+        "**/*.sh",
+        "**/*.yaml",
+        "**/*.yml",
+        "**/*.json",
+        "**/*.toml",
+        "**/*.xml",
+        "**/*.sql",
+        "**/*.csv",
+        "**/*.md",
+        "**/*.txt",
+        "**/*.rst",
+        "**/*.log",
+        "**/*.jsonl",
+        "**/*.parquet",
+        "**/*.tsv",
     ),
     patterns=dict.fromkeys(
         (
