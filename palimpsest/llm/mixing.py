@@ -25,6 +25,8 @@ TOTAL = 1.5
 MAX_USES = 2
 #: Steps of the seeded order within which documents are added up one by one.
 STEPS = 65536
+#: Steps that are first summed up together, so that no running sum goes over more rows than this.
+BLOCK = 256
 #: Documents that may be added to close the gap a pattern's last step leaves.
 CLOSING = 3
 
@@ -116,9 +118,9 @@ def mix(
     ``sources`` is an array column with the sources a document belongs to; by default
     that of its ``source``.  Sources are ordered by code point, null last; like
     patterns they are few enough for the driver, which sees sums alone.  In a pattern
-    the documents come in the order of a seeded hash, whole; sums of the order's steps
-    find the step where the amount is reached, and only this step's documents are
-    added up one by one.  Up to ``CLOSING`` further documents, chosen by size, close
+    the documents come in the order of a seeded hash, whole; sums of the order's blocks,
+    then of a block's steps, find the step where the amount is reached, and only this
+    step's documents are added up one by one.  Up to ``CLOSING`` further documents, chosen by size, close
     the remaining gap.
 
     A null or empty text has no words and is not taken; a null source is a source of
@@ -164,17 +166,25 @@ def mix(
     own = F.coalesce("sources", F.array().cast("array<string>"))
     planned = sized.join(F.broadcast(plan), key(own) == key(F.col("own"))).drop("own")
     pattern = "members"
-    steps = planned.groupBy(pattern, "rest", "step").agg(F.sum("size").alias("n"))
-    run = F.sum("n").over(Window.partitionBy(pattern).orderBy("step"))
-    # The step in which the amount is reached, and the sum before it: one row a pattern.
-    reached = (
-        steps.select(pattern, "rest", "step", "n", run.alias("sum"))
-        .filter(F.col("sum") >= F.col("rest"))
-        .groupBy(pattern)
-        .agg(F.min_by(F.struct("step", (F.col("sum") - F.col("n")).alias("before")), "step").alias("at"))
-        .select(F.col(pattern).alias("at_members"), F.col("at.step").alias("at_step"), F.col("at.before").alias("before"))
-    )
-    limits = spark.createDataFrame(reached.collect(), reached.schema)
+
+    def reached(sums: DataFrame, at: str, before: Column) -> DataFrame:
+        """The first place of each pattern where its amount is reached, and the sum before: one row a pattern."""
+        run = before + F.sum("n").over(Window.partitionBy(pattern).orderBy(at))
+        first = (
+            sums.select(pattern, "rest", at, "n", run.alias("sum"))
+            .filter(F.col("sum") >= F.col("rest"))
+            .groupBy(pattern)
+            .agg(F.min_by(F.struct(at, (F.col("sum") - F.col("n")).alias("before")), at).alias("at"))
+            .select(F.col(pattern).alias("at_members"), F.col(f"at.{at}").alias(f"at_{at}"), F.col("at.before").alias("before"))
+        )
+        return spark.createDataFrame(first.collect(), first.schema)
+
+    blocked = planned.withColumn("block", F.floor(F.col("step") / BLOCK).cast("int"))
+    by_block = blocked.groupBy(pattern, "rest", "block").agg(F.sum("size").alias("n"))
+    block = reached(by_block, "block", F.lit(0))
+    inside = (F.col(pattern) == F.col("at_members")) & (F.col("block") == F.col("at_block"))
+    steps = blocked.join(F.broadcast(block), inside).groupBy(pattern, "rest", "before", "step").agg(F.sum("size").alias("n"))
+    limits = reached(steps, "step", F.col("before"))
     marked = planned.join(F.broadcast(limits), F.col(pattern) == F.col("at_members"), "left").drop("at_members")
     last = F.coalesce(F.col("step") == F.col("at_step"), F.lit(False))
     one_by_one = F.sum("size").over(Window.partitionBy(pattern).orderBy("order", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, 0))
