@@ -56,6 +56,12 @@ def parse_since(text: str, now: dt.datetime) -> dt.datetime | None:
     return now - dt.timedelta(seconds=-seconds if text[0] == "-" else seconds)
 
 
+def utc_date(moment: Column) -> Column:
+    """The date in UTC, whatever the session's time zone."""
+    days = F.floor(F.unix_seconds(moment) / 86400).cast("int")
+    return F.date_add(F.lit(dt.date(1970, 1, 1)), days)
+
+
 def entries(
     audit: DataFrame, agent: str = "", since: dt.datetime | None = None, until: dt.datetime | None = None
 ) -> DataFrame:
@@ -69,10 +75,10 @@ def entries(
     for bound, at_least in ((since, True), (until, False)):
         if bound is None:
             continue
-        column, day = F.col("ts"), F.to_date(F.lit(bound))
+        column, day = F.col("ts"), utc_date(F.lit(bound))
         audit = audit.filter(column >= bound if at_least else column <= bound)
         if "date" in audit.columns:
-            # A day more: the store may have been written under another time zone.
+            # A day more: a table from elsewhere may have its dates in another time zone.
             audit = audit.filter(F.col("date") >= F.date_sub(day, 1) if at_least else F.col("date") <= F.date_add(day, 1))
     return audit
 

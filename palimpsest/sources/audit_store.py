@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from concurrent.futures import Future
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,12 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from palimpsest.operators.audit import AUDIT_SCHEMA, entries
+from palimpsest.operators.audit import AUDIT_SCHEMA, entries, utc_date
 
-_STORED = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("date", T.DateType())])
-_ROTATION = "since timestamp, until timestamp, archive string"
-# One row per rotation ever made; a list this long is a mistake, not a history.
-_MAX_ROTATIONS = 100_000
+# ``appended`` is the moment of appending; ``ts`` is the entry's own.
+_COLUMNS = [*AUDIT_SCHEMA.fields, T.StructField("appended", T.TimestampType()), T.StructField("date", T.DateType())]
+#: What a file stream of a store's entries has to declare.
+STORED = T.StructType([*_COLUMNS, T.StructField("batch", T.StringType())])
+_TAKEN = "file string, since timestamp, until timestamp"
 
 
 def split_rotation(audit: DataFrame, since: dt.datetime | None, until: dt.datetime) -> tuple[DataFrame, DataFrame]:
@@ -29,12 +32,13 @@ def split_rotation(audit: DataFrame, since: dt.datetime | None, until: dt.dateti
 
 @dataclass(frozen=True)
 class AuditStore:
-    """Entries live under ``root/entries``, partitioned by date.
+    """Entries live under ``root/entries``, in a folder for each append, by UTC date.
 
-    Rotation archives a period and notes it under ``root/rotations``; reading
-    leaves noted periods out.  No entry file is ever rewritten or deleted, so
-    rotating costs as much as its archive, and a rotation that fails before the
-    note is written changes nothing.
+    Rotation archives a period and notes under ``root/rotations`` which files it
+    read; reading leaves out the noted files' entries of that period.  No entry file is
+    ever rewritten, so rotating costs as much as its archive, an entry that is appended
+    later is kept whatever its time stamp, and a rotation that fails before the note is
+    written changes nothing.
     """
 
     spark: SparkSession
@@ -48,65 +52,99 @@ class AuditStore:
     def _rotations(self) -> str:
         return f"{self.root}/rotations"
 
-    def _with_date(self, new: DataFrame) -> DataFrame:
+    def _write(self, new: DataFrame, batch: str) -> None:
+        """One shuffle by date keeps the number of files small, and splits a busy date
+        over several writers."""
+        now = F.current_timestamp()
         typed = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields))
-        return typed.withColumn("date", F.to_date("ts"))
+        stamped = typed.withColumn("ts", F.coalesce("ts", now)).withColumn("appended", now)
+        (
+            stamped.withColumn("date", utc_date(F.col("ts")))
+            .hint("rebalance", "date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("date")
+            .parquet(f"{self._entries}/batch={batch}")
+        )
+
+    def _is_whole(self, batch: str) -> bool:
+        context = self.spark.sparkContext
+        marker = context._jvm.org.apache.hadoop.fs.Path(f"{self._entries}/batch={batch}/_SUCCESS")
+        return marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker)
 
     def append(self, new: DataFrame) -> None:
-        """Add entries.  One shuffle by date keeps the number of files small, and
-        splits a busy date over several writers."""
-        dated = self._with_date(new)
-        dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(self._entries)
+        """Add entries; one without a time stamp gets the moment of appending."""
+        self._write(new, uuid.uuid4().hex)
 
     def append_stream(self, new: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Add the entries of a stream, each exactly once."""
-        return (
-            self._with_date(new)
-            .writeStream.partitionBy("date")
+        """Add the entries of a stream, each once, beside other writers.
+
+        A micro-batch has a folder named after the query and its number: one that is
+        tried again replaces what a failed attempt left, and one that was written
+        whole is not written a second time.
+        """
+        started: Future[str] = Future()
+
+        def write(batch: DataFrame, number: int) -> None:
+            name = f"{started.result()}-{number}"
+            if not self._is_whole(name):
+                self._write(batch, name)
+
+        query = (
+            new.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
-            .format("parquet")
-            .start(self._entries)
+            .start()
         )
+        started.set_result(query.id)
+        return query
 
-    def _rotated(self) -> list[tuple[dt.datetime | None, dt.datetime]]:
+    def _taken(self) -> DataFrame | None:
         try:
-            noted = self.spark.read.schema(_ROTATION).json(self._rotations)
-            rows = noted.limit(_MAX_ROTATIONS + 1).collect()
+            return self.spark.read.schema(_TAKEN).parquet(self._rotations)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return None
             raise
-        if len(rows) > _MAX_ROTATIONS:
-            raise ValueError("too many rotations")
-        return [(r["since"], r["until"]) for r in rows]
+
+    def _current(self) -> DataFrame:
+        stored = self.spark.read.schema(STORED).parquet(self._entries)
+        # a writer gives the files of all its dates the same name
+        current = stored.withColumn("file", F.concat_ws("/", "batch", "date", "_metadata.file_name"))
+        taken = self._taken()
+        if taken is None:
+            return current
+        noted = taken.select(F.col("file").alias("noted"), "since", "until")
+        inside = (F.col("ts") <= F.col("until")) & (F.col("since").isNull() | (F.col("ts") >= F.col("since")))
+        return current.join(noted, (F.col("file") == F.col("noted")) & inside, "left_anti")
 
     def read(self) -> DataFrame:
         """All entries that have not been rotated out."""
-        current = self.spark.read.schema(_STORED).parquet(self._entries)
-        for since, until in self._rotated():
-            current = split_rotation(current, since, until)[1]
-        return current
+        return self._current().select(*(f.name for f in _COLUMNS))
 
-    def export(self, path: str, since: dt.datetime | None = None, until: dt.datetime | None = None) -> int:
-        """Write all matching entries as JSON lines, uncapped; return how many."""
+    def _export(self, found: DataFrame, path: str) -> int:
         seen = Observation()
         (
-            entries(self.read(), since=since, until=until)
-            .drop("date")
+            found.select(*(f.name for f in _COLUMNS if f.name != "date"))
             .observe(seen, F.count(F.lit(1)).alias("n"))
-            .write.json(path)
+            .write.option("timeZone", "UTC")
+            .json(path)
         )
         return seen.get["n"]
 
+    def export(self, path: str, since: dt.datetime | None = None, until: dt.datetime | None = None) -> int:
+        """Write all matching entries as JSON lines, uncapped, in UTC; return how many."""
+        return self._export(entries(self._current(), since=since, until=until), path)
+
     def rotate(self, path: str, since: dt.datetime | None = None, now: dt.datetime | None = None) -> int:
         """Export the entries from ``since`` up to now and take exactly those out.
 
-        Older entries and entries that arrive later stay.  Entries must be appended
-        with a time stamp of the moment they are appended.
+        Older entries, and whatever is appended after this began, stay.
         """
         until = now or dt.datetime.now()
-        count = self.export(path, since, until)
-        note = self.spark.createDataFrame([(since, until, path)], _ROTATION)
-        note.coalesce(1).write.mode("append").json(self._rotations)
+        # Both jobs go over the files that were listed when this was made.
+        found = entries(self._current(), since=since, until=until)
+        count = self._export(found, path)
+        bounds = (F.lit(since).cast("timestamp").alias("since"), F.lit(until).alias("until"))
+        found.select("file").distinct().select("file", *bounds).write.mode("append").parquet(self._rotations)
         return count

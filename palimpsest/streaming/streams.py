@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.audit import AUDIT_SCHEMA, entries, recent
+from palimpsest.sources.audit_store import STORED
 
 TAIL_INTERVAL = "2 seconds"
 TAIL_HISTORY = dt.timedelta(minutes=5)
@@ -42,8 +43,7 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
 
 def audit_tail(spark: SparkSession, entries_path: str, agent: str = "") -> DataFrame:
     """Entries as they are appended, each once."""
-    schema = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("date", T.DateType())])
-    return entries(spark.readStream.schema(schema).parquet(entries_path), agent)
+    return entries(spark.readStream.schema(STORED).parquet(entries_path), agent)
 
 
 def audit_history(audit: DataFrame, agent: str, now: dt.datetime) -> DataFrame:

@@ -83,6 +83,46 @@ def test_rotation_takes_exactly_what_it_archives(spark, tmp_path):
     assert store.export(str(tmp_path / "none")) == 0
 
 
+def test_batch_and_stream_writers_share_a_store(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path / "store"))
+    store.append(entries(spark, FOUR[:1]))
+    entries(spark, FOUR[1:2]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ops.AUDIT_SCHEMA).parquet(str(tmp_path / "in"))
+    store.append_stream(stream, str(tmp_path / "cp")).awaitTermination()
+    store.append(entries(spark, FOUR[2:]))
+    assert sorted(r["id"] for r in store.read().collect()) == ["1", "2", "3", "4"]
+
+
+def test_rotation_keeps_what_is_appended_later_with_an_older_stamp(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path / "store"))
+    store.append(entries(spark, FOUR))
+    assert store.rotate(str(tmp_path / "first"), NOW - dt.timedelta(hours=24), NOW) == 3
+    store.append(entries(spark, [("late", 2, "a", "p", "public", None)]))
+    assert sorted(r["id"] for r in store.read().collect()) == ["4", "late"]
+    assert store.rotate(str(tmp_path / "second"), None, NOW) == 2 and store.read().count() == 0
+
+
+def test_a_store_written_under_another_time_zone_loses_nothing(spark, tmp_path):
+    store, zone = AuditStore(spark, str(tmp_path / "store")), "spark.sql.session.timeZone"
+    found = entries(spark, [(str(i), i / 2, "a", "p", "public", None) for i in range(96)])
+    before = spark.conf.get(zone)
+    spark.conf.set(zone, "America/Los_Angeles")
+    try:
+        store.append(found)
+    finally:
+        spark.conf.set(zone, before)
+    since = NOW - dt.timedelta(hours=20)
+    assert store.read().filter("date = to_date(ts)").count() == 96
+    assert ops.entries(store.read(), since=since).count() == 41
+    assert store.rotate(str(tmp_path / "archive"), since, NOW) == 41 and store.read().count() == 55
+
+
+def test_entries_without_a_stamp_get_one(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path / "store"))
+    store.append(entries(spark, FOUR).withColumn("ts", F.lit(None).cast("timestamp")))
+    assert store.read().filter("ts = appended").count() == 4
+
+
 def test_split_rotation(spark):
     archived, retained = split_rotation(entries(spark, FOUR), NOW - dt.timedelta(hours=2), NOW - dt.timedelta(hours=1))
     assert {r["id"] for r in archived.collect()} == {"1", "2"} and {r["id"] for r in retained.collect()} == {"3", "4"}
