@@ -31,7 +31,7 @@ def no_strings() -> Column:
 def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
     """Run ``body`` with a function that finds a key's value (NULL if absent).
 
-    ``keys`` and ``values`` are parallel arrays.  Few keys are scanned.  Many are
+    ``keys`` and ``values`` are parallel arrays; of equal keys the first counts.  Few keys are scanned.  Many are
     sorted once and searched by halving, so that a text with a million distinct
     values costs n log n and not n squared.
     """
@@ -64,8 +64,11 @@ def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column],
 
         return F.when(size == 0, body(scan)).otherwise(body(search))
 
-    table = F.when(F.size(keys) <= _SCAN_LIMIT, F.array().cast("array<struct<k:string,v:string>>")).otherwise(
-        F.sort_array(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
+    # the position decides between equal keys, as it does in a scan
+    placed = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    entry = lambda at, v: F.struct(at["k"].alias("k"), at["i"].alias("i"), v.alias("v"))
+    table = F.when(F.size(keys) <= _SCAN_LIMIT, F.array().cast("array<struct<k:string,i:int,v:string>>")).otherwise(
+        F.sort_array(F.zip_with(placed, values, entry))
     )
     return let(table, with_table)
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from palimpsest.functions.expr import let, with_lookup
 from palimpsest.functions.tokens import TOKEN_REGEX, has_token, token_category, tokens_in
 
-# Values that embed tokens which embed tokens ...: deeper nesting is left as it is.
+# Rounds for values that embed tokens which embed tokens ..., in any order.  What is
+# nested deeper is undone in the reverse order of allocation, which always ends.
 MAX_NESTING = 10
 
-_OPEN, _MID, _CLOSE = "\ue000", "\ue002", "\ue001"
+# A JSON string with its quotes; possessive, so that a long one needs no deep stack.
+_JSON_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _QUOTE = "[\"'`]?"
 
 
@@ -51,15 +53,31 @@ def restore(text: Column, tokens: Column, values: Column) -> Column:
     """Replace every known token by its value, including tokens inside values.
 
     The inverse of redaction.  Each round undoes one level of nesting and a text
-    without tokens left costs nothing more.
+    without tokens left costs nothing more.  A value embeds tokens allocated before its
+    own, so nesting deeper than the rounds is undone from the last such value to the first.
     """
 
+    def deeper(t: Column, nesting: Column, find) -> Column:
+        def put_back(done: Column, at: Column) -> Column:
+            return F.replace(done, F.get(tokens, at), F.get(values, at))
+
+        return _replace_tokens(F.aggregate(F.reverse(nesting), t, put_back), find)
+
     def rounds(find) -> Column:
-        return F.aggregate(
+        undone = F.aggregate(
             F.sequence(F.lit(0), F.lit(MAX_NESTING)),
             text,
             lambda t, _: F.when(has_token(t), _replace_tokens(t, find)).otherwise(t),
         )
+        indexes = F.sequence(F.lit(0), F.size(tokens) - 1)
+        nesting = F.filter(indexes, lambda i: has_token(F.get(values, i)))
+        return let(
+            undone,
+            lambda t: F.when(
+                has_token(t),
+                let(nesting, lambda n: F.when(F.size(n) > MAX_NESTING, deeper(t, n, find)).otherwise(t)),
+            ).otherwise(t),
+        )
 
     return F.when(
         has_token(text) & (F.size(tokens) > 0), with_lookup(tokens, values, rounds)
@@ -76,19 +94,17 @@ def restore_fuzzy(text: Column, tokens: Column, values: Column) -> Column:
 
     def one_category(t: Column, category: Column, find) -> Column:
         regex = F.concat(F.lit(f"{_QUOTE}TG[:_]"), category, F.lit(f"[:_]([0-9]+){_QUOTE}"))
-        marked = F.regexp_replace(t, regex, F.lit(f"{_OPEN}$0{_MID}$1{_CLOSE}"))
+        parts = F.struct(
+            F.split(t, regex, -1).alias("gaps"),
+            F.regexp_extract_all(t, regex, F.lit(0)).alias("spelled"),
+            F.regexp_extract_all(t, regex, F.lit(1)).alias("numbers"),
+        )
 
-        def resolved(piece: Column) -> Column:
-            number = F.split_part(piece, F.lit(_MID), F.lit(2))
-            known = find(F.concat(F.lit("[TG:"), category, F.lit(":"), number, F.lit("]")))
-            return F.coalesce(known, F.split_part(piece, F.lit(_MID), F.lit(1)))
+        def with_gap(p: Column, gap: Column, i: Column) -> Column:
+            known = find(F.concat(F.lit("[TG:"), category, F.lit(":"), F.get(p["numbers"], i), F.lit("]")))
+            return F.concat(gap, F.coalesce(known, F.get(p["spelled"], i), F.lit("")))
 
-        return let(
-            F.split(marked, f"[{_OPEN}{_CLOSE}]", -1),
-            lambda pieces: F.array_join(
-                F.transform(pieces, lambda x, i: F.when(i % 2 == 1, resolved(x)).otherwise(x)), ""
-            ),
-        )
+        return let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda gap, i: with_gap(p, gap, i)), ""))
 
     def both(find) -> Column:
         exact = F.when(has_token(text), _replace_tokens(text, find)).otherwise(text)
@@ -99,12 +115,8 @@ def restore_fuzzy(text: Column, tokens: Column, values: Column) -> Column:
             lambda t, c: F.when(t.rlike("TG[:_]"), one_category(t, c, find)).otherwise(t),
         )
 
-    # Marks only have to be told apart from text while a category is handled; a text
-    # that has these private-use characters itself is restored exactly only.
-    marked_already = text.rlike(f"[{_OPEN}{_MID}{_CLOSE}]")
     return (
         F.when(F.size(tokens) == 0, text)
-        .when(marked_already, restore_exact(text, tokens, values))
         .when(text.rlike("TG[:_]"), with_lookup(tokens, values, both))
         .otherwise(text)
     )
@@ -116,31 +128,34 @@ def restore_json(body: Column, tokens: Column, values: Column, restorer=restore)
     Restored values are escaped again, so the result stays valid JSON.  A body
     that is not a JSON object is restored as plain text.
     """
-    backslash, quote = "\ue000", "\ue001"
-    plain = F.replace(F.replace(body, F.lit("\\\\"), F.lit(backslash)), F.lit('\\"'), F.lit(quote))
 
-    def string_value(raw: Column) -> Column:
-        raw = F.replace(F.replace(raw, F.lit(quote), F.lit('\\"')), F.lit(backslash), F.lit("\\\\"))
-        decoded = F.get_json_object(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "$.v")
-        encoded = F.to_json(F.struct(restorer(decoded, tokens, values).alias("v")))
+    def encoded(value: Column) -> Column:
         # {"v":"..."} without its frame
-        inner = F.substr(encoded, F.lit(7), F.length(encoded) - 8)
-        return F.when(F.contains(raw, F.lit("TG")), inner).otherwise(raw)
+        return let(F.to_json(F.struct(value.alias("v"))), lambda e: F.substr(e, F.lit(6), F.length(e) - 6))
 
-    def rebuilt(pieces: Column) -> Column:
-        # with escapes out of the way, every second piece is inside a pair of quotes
-        def piece(x: Column, i: Column) -> Column:
-            is_value = (i % 2 == 1) & ~F.startswith(F.ltrim(F.get(pieces, i + 1)), F.lit(":"))
-            kept = F.replace(F.replace(x, F.lit(quote), F.lit('\\"')), F.lit(backslash), F.lit("\\\\"))
-            return F.when(is_value, string_value(x)).otherwise(kept)
+    def string_value(raw: Column) -> Column:
+        decoded = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+        return let(
+            decoded,
+            lambda d: let(restorer(d, tokens, values), lambda r: F.when(r != d, encoded(r)).otherwise(raw)),
+        )
 
-        return F.array_join(F.transform(pieces, piece), '"')
+    def piece(p: Column, gap: Column, i: Column) -> Column:
+        raw = F.get(p["strings"], i)
+        is_key = F.get(p["gaps"], i + 1).rlike(r"\A\s*:")
+        kept = F.when(F.contains(raw, F.lit("TG")) & ~is_key, string_value(raw)).otherwise(raw)
+        return F.concat(gap, F.coalesce(kept, F.lit("")))
 
+    # in valid JSON a quote is either escaped or an end of a string
+    parts = F.struct(
+        F.split(body, _JSON_STRING, -1).alias("gaps"),
+        F.regexp_extract_all(body, F.lit(_JSON_STRING), F.lit(0)).alias("strings"),
+    )
+    rebuilt = let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda gap, i: piece(p, gap, i)), ""))
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json(body)), F.lit("OBJECT"))
-    clean = ~body.rlike(f"[{backslash}{quote}]")
     return (
         F.when((F.size(tokens) == 0) | ~F.contains(body, F.lit("TG")), body)
-        .when(is_object & clean, let(F.split(plain, '"', -1), rebuilt))
+        .when(is_object, rebuilt)
         .otherwise(restorer(body, tokens, values))
     )
 

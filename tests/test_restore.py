@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from palimpsest.operators.restore import (
@@ -50,7 +52,7 @@ def test_many_tokens_use_the_search(spark):
 
 def test_fuzzy(spark):
     texts = ['"TG:IP:1"', "`TG:IP:1`", "TG:IP:1", "TG_IP_1", "'TG:EMAIL:1'", "TG:IP:7", "[TG:IP:1]", " TG:IP:1 [TG:IP:1]"]
-    want = ["203.0.113.42"] * 4 + ["admin@example.com", "TG:IP:7", "203.0.113.42", " TG:IP:1 203.0.113.42"]
+    want = ["203.0.113.42"] * 4 + ["admin@example.com", "TG:IP:7", "203.0.113.42", " 203.0.113.42 203.0.113.42"]
     assert run(spark, restore_fuzzy, texts) == want
     # the exact phase leaves an inner token, whose inside the fuzzy phase then finds
     assert run(spark, restore_fuzzy, ["[TG:DBURL:1]"]) == ["pg://[admin@example.com]/x"]
@@ -88,3 +90,29 @@ def test_token_helpers(spark):
         sanitize_for_log(F.col("t")).alias("log"),
     ).first()
     assert row["has"] and row["all"] == ["[TG:IP:12]"] and row["c"] == "IP" and row["n"] == 12 and row["log"] == "a [TG:IP:12] b"
+
+
+def test_equal_tokens_mean_the_first_at_any_size(spark):
+    for extra in (0, 30, 40):
+        keys = ["[TG:A:1]", "[TG:A:1]"] + [f"[TG:B:{i}]" for i in range(extra)]
+        vals = ["zzz", "aaa"] + ["b"] * extra
+        df = spark.createDataFrame([("[TG:A:1]", keys, vals)], "t string, k array<string>, v array<string>")
+        assert df.select(restore_exact(F.col("t"), F.col("k"), F.col("v"))).first()[0] == "zzz"
+
+
+def test_deep_nesting_is_undone(spark):
+    chain = {"[TG:A:1]": "end"} | {f"[TG:A:{i}]": f"<[TG:A:{i - 1}]>" for i in range(2, 31)}
+    assert run(spark, restore, ["[TG:A:30]"], chain) == ["<" * 29 + "end" + ">" * 29]
+
+
+def test_private_use_characters_change_nothing(spark):
+    assert run(spark, restore_fuzzy, ["\ue000 TG_IP_1 \ue001\ue002"]) == ["\ue000 203.0.113.42 \ue001\ue002"]
+    body = '{"TG:IP:1": "\ue000\\\\ [TG:A:1] \ue001", "[TG:A:1]"\n: ["\\" [TG:A:1]", 1, {"k": "\\u0041TG"}]}'
+    (got,) = run(spark, restore_json, [body], {"[TG:A:1]": 'a"\ue000\n'})
+    value = 'a"\ue000\n'
+    assert json.loads(got) == {
+        "TG:IP:1": f"\ue000\\ {value} \ue001", "[TG:A:1]": [f'" {value}', 1, {"k": "ATG"}]
+    }
+    assert '"\\u0041TG"' in got
+    long = '{"v": "' + "x\\n" * 200_000 + '[TG:A:1]"}'
+    assert run(spark, restore_json, [long], {"[TG:A:1]": "z"})[0].endswith('z"}')
