@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+from palimpsest.functions.tokens import MAX_CATEGORY
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -281,4 +283,6 @@ def custom_pattern(name: str, regex: str, category: str = "", group: int = 0) ->
     category = category or "REDACTED"
     if not (category.isascii() and category.isalpha() and category.isupper()):
         raise ValueError(f"a token category consists of capital letters A-Z: {category!r}")
+    if len(category) > MAX_CATEGORY:
+        raise ValueError(f"a token category has at most {MAX_CATEGORY} letters: {category!r}")
     return replace(Pattern(name, regex), category=category, group=group)

@@ -10,6 +10,10 @@ TOKEN_PREFIX = "[TG:"
 TOKEN_REGEX = r"\[TG:[A-Z]+:[0-9]+\]"
 # End of fixed values.
 
+# A token has at most so many characters: frame, category and a number of ten digits.
+MAX_TOKEN = 64
+MAX_CATEGORY = MAX_TOKEN - len("[TG::]") - 10
+
 
 def token(category: Column, number: Column) -> Column:
     return F.concat(F.lit(TOKEN_PREFIX), category, F.lit(":"), number.cast("string"), F.lit("]"))

@@ -2,7 +2,8 @@
 
 A token may be split over chunks.  Realigning the chunks, so that none ends
 inside a token, is all that needs state; restoring itself is the same expression
-as for whole texts.  The held tail is at most 64 characters per response.
+as for whole texts.  The held tail is at most 64 characters per response, which is
+longer than any token: ``functions/patterns.py`` bounds the categories.
 """
 
 from __future__ import annotations
@@ -14,22 +15,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.functions.tokens import MAX_TOKEN
 from palimpsest.operators.restore import restore_fuzzy
 
-MAX_TAIL = 64
-# A start of a token at the end of a text, down to the bare bracket.
-TAIL_REGEX = r"(?:\[|\[T|\[TG|\[TG:[A-Z]*:?[0-9]*)"
+MAX_TAIL = MAX_TOKEN
+_QUOTE = "[\"'`]?"
+# A spelling that the fuzzy restorer takes: more digits or a closing quote may follow.
+_SPELLED = f"{_QUOTE}TG[:_][A-Z]+[:_][0-9]+{_QUOTE}"
+# A start of a token or of a spelling, down to the bare bracket, quote or letter.
+_STARTED = rf"(?:{_QUOTE}(?:TG[:_][A-Z]+[:_][0-9]*|TG[:_][A-Z]*|TG?)?|\[(?:TG:[A-Z]*:?[0-9]*|TG?)?)"
+# What is held at the end of a text, possibly nothing.
+TAIL_REGEX = f"(?:{_SPELLED})?{_STARTED}"
 
 CHUNK_SCHEMA = "response_id string, seq bigint, chunk string, is_last boolean"
 _ALIGNED = "response_id string, seq bigint, text string"
 
 
-def realign_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+#: A response that sends nothing for so long is taken to have broken off.
+IDLE_MS = 600_000
+
+
+def realign_stream(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Move the start of a split token to the next chunk of its response.
 
     ``chunks`` is a stream ``(response_id, seq, chunk, is_last)``.  A row with
-    ``is_last`` releases what is held; with ``idle_ms`` so does a response that
-    sends nothing for that long.  Empty texts are not emitted.
+    ``is_last`` releases what is held; so does a response that sends nothing for
+    ``idle_ms`` (None: waits for ever), with the number of its last chunk.  A chunk that
+    comes in a later batch than one with a higher number passes through on its own: what
+    is held neither joins it nor is lost.  Empty texts are not emitted.
+
+    With a time-to-live Spark goes on with batches without data.  For a run over what
+    is there use :func:`palimpsest.streaming.streams.run_available`, which ends.
     """
     tail_regex, max_tail = TAIL_REGEX, MAX_TAIL
 
@@ -47,16 +63,19 @@ def realign_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         ended, seqs, texts = False, [], []
         for seq, chunk, is_last in zip(rows["seq"], rows["chunk"], rows["is_last"]):
-            text, held = held + (chunk or ""), ""
-            last_seq, ended = int(seq), ended or bool(is_last)
-            start = re.search(tail_regex + r"\Z", text[-max_tail:]) if not is_last else None
-            if start:
-                cut = len(text) - len(start.group())
-                text, held = text[:cut], text[cut:]
+            chunk, ended = chunk or "", ended or bool(is_last)
+            if seq < last_seq:
+                if chunk:
+                    seqs.append(int(seq))
+                    texts.append(chunk)
+                continue
+            text, last_seq = held + chunk, int(seq)
+            tail = "" if is_last else re.search(tail_regex + r"\Z", text[-max_tail:]).group()
+            text, held = text[:len(text) - len(tail)], tail
             if text:
                 seqs.append(last_seq)
                 texts.append(text)
-        if ended:
+        if ended and not held:
             state.remove()
         else:
             state.update((held, last_seq))
@@ -80,18 +99,46 @@ def realign_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
 STRETCH_CHUNKS = 1 << 12
 
 
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """The chunks that have text, with their place ``n`` in the response: from 0, without gaps.
+
+    Ranks are taken within stretches of ``seq``; the counts of the stretches before are
+    added, so that no task goes through a whole response.
+    """
+    rows = chunks.filter(F.length("chunk") > 0).select(
+        "response_id", "seq", "chunk", F.floor(F.col("seq") / STRETCH_CHUNKS).alias("part")
+    )
+    before = Window.partitionBy("response_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy("response_id", "part")
+        .agg(F.count("*").alias("size"))
+        .select(
+            F.col("response_id").alias("of"),
+            F.col("part").alias("of_part"),
+            F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
+        )
+    )
+    rank = F.row_number().over(Window.partitionBy("response_id", "part").orderBy("seq", "chunk"))
+    same = F.col("response_id").eqNullSafe(F.col("of")) & F.col("part").eqNullSafe(F.col("of_part"))
+    return (
+        rows.withColumn("rank", rank)
+        .join(offsets, same)
+        .select("response_id", "seq", "chunk", (F.col("offset") + F.col("rank") - 1).alias("n"))
+    )
+
+
 def realign(chunks: DataFrame) -> DataFrame:
     """The same for a finished archive of chunks, without state.
 
-    What is held before a chunk only depends on the last 64 characters before it,
-    so each chunk looks back over 64 chunks.  ``seq`` counts the chunks of a response
-    without gaps, and only the last of them may be empty.  A long response is cut
-    into stretches, each with the chunks around it as context, so that no task has to
-    go through a whole response.  A response's last chunk releases what is held,
-    whether it is marked as the last or the response broke off.
+    What is held before a chunk only depends on the last 64 characters before it, so
+    each chunk looks back over 64 chunks that have text.  Empty chunks and gaps in
+    ``seq`` do not matter.  A long response is cut into stretches, each with the chunks
+    around it as context, so that no task has to go through a whole response.  A
+    response's last chunk releases what is held, whether it is marked as the last or the
+    response broke off.
     """
-    stretch = F.floor(F.col("seq") / STRETCH_CHUNKS)
-    place = F.col("seq") % STRETCH_CHUNKS
+    stretch = F.floor(F.col("n") / STRETCH_CHUNKS)
+    place = F.col("n") % STRETCH_CHUNKS
     copies = F.array_compact(
         F.array(
             stretch,
@@ -99,8 +146,8 @@ def realign(chunks: DataFrame) -> DataFrame:
             F.when(place == 0, stretch - 1),
         )
     )
-    rows = chunks.withColumn("chunk", F.coalesce("chunk", F.lit(""))).withColumn("stretch", F.explode(copies))
-    in_order = Window.partitionBy("response_id", "stretch").orderBy("seq")
+    rows = _numbered(chunks).withColumn("stretch", F.explode(copies))
+    in_order = Window.partitionBy("response_id", "stretch").orderBy("n")
     tails = F.collect_list(F.right("chunk", F.lit(MAX_TAIL))).over(in_order.rowsBetween(-MAX_TAIL, -1))
     tail = rf"({TAIL_REGEX})\z"
 
@@ -111,7 +158,7 @@ def realign(chunks: DataFrame) -> DataFrame:
     kept = F.when(F.col("next").isNull(), F.lit("")).otherwise(held(F.concat("before", "chunk")))
     return (
         rows.withColumn("before", F.right(F.array_join(tails, ""), F.lit(MAX_TAIL)))
-        .withColumn("next", F.lead("seq").over(in_order))
+        .withColumn("next", F.lead("n").over(in_order))
         .filter(F.col("stretch") == stretch)
         .withColumn("held", held(F.col("before")))
         .select("response_id", "seq", F.substr(joined, F.lit(1), F.length(joined) - F.length(kept)).alias("text"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.audit import AUDIT_SCHEMA, entries, recent
+from palimpsest.session import settings
 from palimpsest.sources.audit_store import STORED
 
 TAIL_INTERVAL = "2 seconds"
@@ -30,14 +31,18 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, fil
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
-    """Write what is there to Parquet and stop; the next run goes on after it."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(output)
-    )
+    """Write what is there to Parquet and stop; the next run goes on after it.
+
+    No batches without data: a stream with a time-to-live would always ask for another.
+    """
+    with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start(output)
+        )
     query.awaitTermination()
 
 

@@ -417,9 +417,13 @@ WHERE agent = 'agent-1' AND ts >= TIMESTAMP '2024-01-20'""",
     "audit_rotate_retained": f"""WITH {_AUDIT} SELECT {_PART} AS part, tier, count(*) AS n, min(id) AS first_id, max(id) AS last_id
 FROM audit GROUP BY ALL""",
     "audit_store_rotation": f"""WITH {_AUDIT} SELECT {_PART} AS part, tier, count(*) AS n, count(*) FILTER ({_HAS}) AS redacted FROM audit GROUP BY ALL""",
+    "audit_mixed_append": f"WITH {_AUDIT} SELECT id, agent, tier, target FROM audit",
+    "audit_rotate_late": f"WITH {_AUDIT} SELECT CASE WHEN tier = 'redacted' THEN 'retained' ELSE {_PART} END AS part, id, tier FROM audit",
+    "audit_since_partitioned": f"WITH {_AUDIT} SELECT id, agent, tier, target FROM audit WHERE ts >= TIMESTAMP '2024-01-20'",
     "stream_redact": _fold("documents", "doc_id", "text", ALL) + "SELECT doc_id, t AS text FROM folded",
     "stream_chunk_restore": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
     "chunk_restore": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
+    "chunk_restore_irregular": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
     "stream_audit_tail": f"WITH {_AUDIT} SELECT id, tier, target FROM audit WHERE agent = 'agent-2'",
 }
 ORACLES["audit_redaction_totals"] = f"""WITH {_AUDIT}, r AS (SELECT json_extract(redactions, '$') AS j FROM audit WHERE {_HAS}),
@@ -428,3 +432,7 @@ SELECT pattern, sum(json_extract(j, '$.' || pattern)::BIGINT)::BIGINT AS matches
 ORACLES["stream_route"] = ORACLES["gateway_audit"].replace(
     "SELECT r.request_id || '-'", "SELECT id, tier, redactions FROM (SELECT r.request_id || '-'"
 ) + ")"
+ORACLES["chunk_restore_fuzzy"] = (
+    ORACLES["restore_fuzzy_spellings"].replace("SELECT event_id, array_to_string", "SELECT event_id::VARCHAR AS response_id, array_to_string")
+    + " WHERE len(mt) > 0"
+)

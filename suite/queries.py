@@ -34,7 +34,7 @@ from palimpsest.operators.scopes import redact_scopes
 from palimpsest.plans import gateway
 from palimpsest.plans.corpus import redact_corpus, redacted_texts
 from palimpsest.plans.presets import load_rules
-from palimpsest.session import working_folder, written
+from palimpsest.session import settings, working_folder, written
 from palimpsest.sources.audit_store import AuditStore, split_rotation
 from palimpsest.sources.text import spread
 from palimpsest.streaming import chunks as chunk_ops
@@ -488,6 +488,45 @@ def audit_store_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stamped_store(spark: SparkSession) -> tuple[str, AuditStore]:
+    folder = working_folder(spark)
+    return folder, AuditStore(spark, f"{folder}/store")
+
+
+def audit_mixed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch, stream and batch again append to one store."""
+    folder, store = _stamped_store(spark)
+    audit = written(_audit(spark, sf_dir))
+    store.append(audit.filter("tier = 'public'"))
+    audit.filter("tier = 'redacted'").write.parquet(f"{folder}/in")
+    stream = streams.stream_table(spark, f"{folder}/in", audit.schema)
+    store.append_stream(stream, f"{folder}/checkpoint").awaitTermination()
+    store.append(audit.filter("tier NOT IN ('public', 'redacted')"))
+    return store.read().select("id", "agent", "tier", "target")
+
+
+def audit_rotate_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with old stamps that are appended after a rotation stay."""
+    folder, store = _stamped_store(spark)
+    audit = written(_audit(spark, sf_dir))
+    store.append(audit.filter("tier <> 'redacted'"))
+    store.rotate(f"{folder}/archive", ROTATE_SINCE, ROTATE_UNTIL)
+    store.append(audit.filter("tier = 'redacted'"))
+    archive = spark.read.schema(store.read().drop("date").schema).json(f"{folder}/archive")
+    kept = store.read().select(F.lit("retained").alias("part"), "id", "tier")
+    return kept.unionByName(archive.select(F.lit("archived").alias("part"), "id", "tier"))
+
+
+def audit_since_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store written under another time zone, filtered by date."""
+    _, store = _stamped_store(spark)
+    # an instant before the zone changes, whatever type the table has
+    audit = written(_audit(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    with settings(spark, {"spark.sql.session.timeZone": "America/Los_Angeles"}):
+        store.append(audit)
+    return audit_ops.entries(store.read(), since=AUDIT_SINCE).select("id", "agent", "tier", "target")
+
+
 # --- streams ---
 
 
@@ -561,6 +600,32 @@ def chunk_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(chunk_ops.restore_chunks(chunk_ops.realign(_chunks(redacted)), mapping, restore))
 
 
+def chunk_restore_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with gaps, and more empty chunks in the middle of a token than are looked back over."""
+    redacted, mapping = _redacted_turns(spark, sf_dir)
+    chunks = _chunks(redacted).withColumn("seq", F.col("seq") * 1000)
+    empty = chunks.filter("seq = 0").select(
+        "response_id", F.explode(F.sequence(F.lit(1), F.lit(70)).cast("array<bigint>")).alias("seq"),
+        F.lit("").alias("chunk"), F.lit(False).alias("is_last"),
+    )
+    return _whole(chunk_ops.restore_chunks(chunk_ops.realign(chunks.unionByName(empty)), mapping, restore))
+
+
+def chunk_restore_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reformatted tokens in chunks of 7 characters, with the default restorer."""
+    r = F.col("redacted")
+    answers = written(
+        _redacted_logs(spark, sf_dir).select(
+            F.col("event_id").cast("string").alias("response_id"), "redacted", _reformatted(r["tokens"]).alias("t")
+        )
+    )
+    chunks = answers.select("response_id", "t", F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 7))).alias("seq")).select(
+        "response_id", "seq", F.substr("t", (F.col("seq") * 7 + 1).cast("int"), F.lit(7)).alias("chunk"), F.lit(False).alias("is_last")
+    )
+    mapping = answers.select(F.col("response_id").alias("request_id"), "redacted.tokens", "redacted.values")
+    return _whole(chunk_ops.restore_chunks(chunk_ops.realign(chunks), mapping))
+
+
 def stream_audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark)
     store = AuditStore(spark, f"{folder}/store")
@@ -629,9 +694,14 @@ QUERIES: dict[str, Query] = {
     "audit_redaction_totals": audit_redaction_totals,
     "audit_rotate_retained": audit_rotate_retained,
     "audit_store_rotation": audit_store_rotation,
+    "audit_mixed_append": audit_mixed_append,
+    "audit_rotate_late": audit_rotate_late,
+    "audit_since_partitioned": audit_since_partitioned,
     "stream_redact": stream_redact,
     "stream_route": stream_route,
     "stream_chunk_restore": stream_chunk_restore,
     "chunk_restore": chunk_restore,
+    "chunk_restore_irregular": chunk_restore_irregular,
+    "chunk_restore_fuzzy": chunk_restore_fuzzy,
     "stream_audit_tail": stream_audit_tail,
 }

@@ -104,6 +104,40 @@ def test_random_chunks_stream(spark, tmp_path):
     assert _joined(spark.read.parquet(str(tmp_path / "out")).collect()) == _whole(texts)
 
 
+def test_empty_chunks_and_gaps_lose_nothing(spark):
+    rows = [("r", 0, "x [TG:I", False), *[("r", i, "", False) for i in range(1, 71)], ("r", 71, "P:1] y", True)]
+    rows += [("g", 4095, "x [TG:I", False), ("g", 4097, "P:1", False), ("g", 90_000, "] y", False)]
+    rows += [(None, 5, "n [T", False), (None, 9, "G:IP:1]", False), ("s", 1, None, False), ("s", None, "q", False)]
+    names = [(k, *MAPPING[0][1:]) for k in ("r", "g")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in sorted(ops.restore_chunks(ops.realign(df), mapping(spark, names), restore).collect(), key=lambda r: r["seq"] or 0):
+        got[r["response_id"]] = got.get(r["response_id"], "") + r["text"]
+    assert got == {"r": "x 203.0.113.42 y", "g": "x 203.0.113.42 y", None: "n [TG:IP:1]", "s": "q"}
+
+
+def test_spellings_split_at_every_place(spark):
+    tokens, values = [f"[TG:IP:{i}]" for i in (1, 12)], ["10.0.0.1", "10.9.9.9"]
+    texts = ["a TG_IP_12 b", '"TG:IP:1""TG_IP_12"', "`TG_IP_1` [TG:IP:12]", 'TG_IP_9"TG_IP_12 x', "T TG T[", "[TG_IP_12", "TG_IP_1"]
+    rows, whole = [], {}
+    for n, text in enumerate(texts):
+        for cut in range(1, len(text)):
+            rows += [(f"{n}-{cut}", 0, text[:cut], False), (f"{n}-{cut}", 1, text[cut:], False)]
+        rows += [(f"{n}-c", i, c, False) for i, c in enumerate(text)]
+    one = spark.createDataFrame([(n, t, tokens, values) for n, t in enumerate(texts)], "n int, t string, k array<string>, v array<string>")
+    for r in one.select("n", restore_fuzzy(F.col("t"), F.col("k"), F.col("v")).alias("t")).collect():
+        whole[r["n"]] = r["t"]
+    names = [(k, tokens, values) for k in {r[0] for r in rows}]
+    got = _joined(ops.restore_chunks(ops.realign(spark.createDataFrame(rows, SCHEMA)), mapping(spark, names)).collect())
+    assert got == {k: whole[int(k.split("-")[0])] for k in got} and len(got) == len(names)
+
+
+def test_late_chunks_pass_and_nothing_held_is_lost(spark, tmp_path):
+    batches = [[("r", 0, "a ", False), ("r", 2, "b [TG:I", False)], [("r", 1, "late ", False)], [("r", 3, "P:1] c", True), ("r", 4, "T", False)]]
+    got = by_seq(streamed(spark, tmp_path, batches))
+    assert got == [(0, "a "), (1, "late "), (2, "b "), (3, "203.0.113.42 c")]  # the T is held until more comes or time is up
+
+
 def test_without_mapping_nothing_changes(spark):
     df = spark.createDataFrame(chunk_rows("other", ["a [TG:I", "P:1] b"]), SCHEMA)
     got = ops.restore_chunks(ops.realign(df), mapping(spark)).collect()
