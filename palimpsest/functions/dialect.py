@@ -24,6 +24,16 @@ _RANGES = (
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _NOT_AFTER_WORD = r"(?<!\w)"
 _NOT_BEFORE_WORD = r"(?!\w)"
+# RE2's names of ASCII classes; Java's are the same, capitalized, but for ``word``.
+_POSIX = {
+    name: rf"\p{{{java}}}"
+    for name, java in (
+        ("alnum", "Alnum"), ("alpha", "Alpha"), ("ascii", "ASCII"), ("blank", "Blank"), ("cntrl", "Cntrl"),
+        ("digit", "Digit"), ("graph", "Graph"), ("lower", "Lower"), ("print", "Print"), ("punct", "Punct"),
+        ("space", "Space"), ("upper", "Upper"), ("xdigit", "XDigit"),
+    )
+} | {"word": r"\w"}
+_POSIX_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
 _FLAGS = re.compile(r"^\(\?([ims]+)\)")
 
 
@@ -58,9 +68,19 @@ def _java_body(body: str, word_left: bool, word_right: bool, any_case: bool) ->
         elif c == "\\":
             out.append(pair)
             i += 2
+        elif c == "[" and in_class and (posix := _POSIX_CLASS.match(body, i)):
+            negated, name = posix.groups()
+            if name not in _POSIX:
+                raise ValueError(f"no such class: {posix.group()}")
+            java = _POSIX[name]
+            out.append(java.swapcase()[:2] + java[2:] if negated else java)
+            i = posix.end()
         elif c == "[" and in_class:
             out.append(r"\[")
             i += 1
+        elif body.startswith("(?P<", i) and not in_class:
+            out.append("(?<")
+            i += 4
         else:
             if c == "[":
                 in_class = True
@@ -132,7 +152,12 @@ def check_regex(regex: str, group: int) -> None:
     """Refuse what the tokenizer cannot give a meaning to."""
     if group not in (0, 1):
         raise ValueError("group must be 0 (whole match) or 1")
-    compiled = re.compile(regex)
+    to_java(regex)
+    named = re.search(r"\(\?P?<([A-Za-z0-9]*_\w*)>", regex)
+    if named:
+        raise ValueError(f"a group's name consists of letters and digits: {named.group(1)!r}")
+    # the classes' names make no sense to Python, which only looks at groups and empty matches
+    compiled = re.compile(_POSIX_CLASS.sub("0", regex).replace(r"\z", r"\Z"))
     if group and compiled.groups != 1:
         raise ValueError("a group pattern needs exactly one capture group")
     if not group and compiled.match("") is not None:

@@ -296,3 +296,16 @@ def test_custom_patterns(spark):
     for bad in (lambda: custom_pattern("x", "a*"), lambda: custom_pattern("x", "a", "lower"), lambda: custom_pattern("x", "ab", "X", group=1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_custom_patterns_in_re2_syntax(spark):
+    from palimpsest.functions.patterns import custom_pattern
+
+    df = spark.createDataFrame([("id 4711-AB x",)], "t string")
+    for regex in (r"[[:digit:]]{4}-[[:upper:]]+", r"(?P<n>[0-9]+)-AB", r"[^[:space:][:alpha:]]{4}-A[[:^digit:]]"):
+        got = df.select(redact("t", [custom_pattern("ids", regex, "ID")])["text"]).first()[0]
+        assert got == "id [TG:ID:1] x", regex
+    assert df.select(redact("t", [custom_pattern("end", r"x\z", "ID")])["text"]).first()[0] == "id 4711-AB [TG:ID:1]"
+    for refused in ("[[:digits:]]+", "(?P<a_b>x)"):
+        with pytest.raises(ValueError):
+            custom_pattern("ids", refused, "ID")
