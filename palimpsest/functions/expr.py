@@ -28,12 +28,28 @@ def no_strings() -> Column:
     return F.array().cast(EMPTY_STRINGS)
 
 
-def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+def lookup_table(keys: Column, values: Column) -> Column:
+    """The sorted table that :func:`with_lookup` searches; empty for few keys, which it scans.
+
+    A mapping that serves many rows has it worked out once, beside its arrays.
+    """
+    # the position decides between equal keys, as it does in a scan
+    placed = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    entry = lambda at, v: F.struct(at["k"].alias("k"), at["i"].alias("i"), v.alias("v"))
+    return F.when(F.size(keys) <= _SCAN_LIMIT, F.array().cast("array<struct<k:string,i:int,v:string>>")).otherwise(
+        F.sort_array(F.zip_with(placed, values, entry))
+    )
+
+
+def with_lookup(
+    keys: Column, values: Column, body: Callable[[Callable[[Column], Column]], Column], table: Column | None = None
+) -> Column:
     """Run ``body`` with a function that finds a key's value (NULL if absent).
 
     ``keys`` and ``values`` are parallel arrays; of equal keys the first counts.  Few keys are scanned.  Many are
     sorted once and searched by halving, so that a text with a million distinct
-    values costs n log n and not n squared.
+    values costs n log n and not n squared.  ``table`` is their :func:`lookup_table`
+    if it is at hand.
     """
 
     def with_table(table: Column) -> Column:
@@ -64,13 +80,7 @@ def with_lookup(keys: Column, values: Column, body: Callable[[Callable[[Column],
 
         return F.when(size == 0, body(scan)).otherwise(body(search))
 
-    # the position decides between equal keys, as it does in a scan
-    placed = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    entry = lambda at, v: F.struct(at["k"].alias("k"), at["i"].alias("i"), v.alias("v"))
-    table = F.when(F.size(keys) <= _SCAN_LIMIT, F.array().cast("array<struct<k:string,i:int,v:string>>")).otherwise(
-        F.sort_array(F.zip_with(placed, values, entry))
-    )
-    return let(table, with_table)
+    return let(lookup_table(keys, values), with_table) if table is None else with_table(table)
 
 
 def keep_if(df: DataFrame, condition: Column) -> DataFrame:

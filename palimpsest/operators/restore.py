@@ -3,6 +3,8 @@
 A mapping is a pair of parallel arrays ``tokens`` and ``values``, as the redact
 operators return it.  Every function here finds the tokens of a text in one pass
 and looks them up, so the cost grows with the text and not with text x mapping.
+Where one mapping serves many texts, its lookup table (``functions/expr.py``) may be
+given as well, and is not built again for each of them.
 """
 
 from __future__ import annotations
@@ -38,18 +40,18 @@ def _replace_tokens(text: Column, find) -> Column:
     )
 
 
-def restore_exact(text: Column, tokens: Column, values: Column) -> Column:
+def restore_exact(text: Column, tokens: Column, values: Column, table: Column | None = None) -> Column:
     """Replace every known token by its value, in one pass.
 
     Tokens inside restored values stay; unknown tokens stay.
     """
     return F.when(
         has_token(text) & (F.size(tokens) > 0),
-        with_lookup(tokens, values, lambda find: _replace_tokens(text, find)),
+        with_lookup(tokens, values, lambda find: _replace_tokens(text, find), table),
     ).otherwise(text)
 
 
-def restore(text: Column, tokens: Column, values: Column) -> Column:
+def restore(text: Column, tokens: Column, values: Column, table: Column | None = None) -> Column:
     """Replace every known token by its value, including tokens inside values.
 
     The inverse of redaction.  Each round undoes one level of nesting and a text
@@ -80,11 +82,18 @@ def restore(text: Column, tokens: Column, values: Column) -> Column:
         )
 
     return F.when(
-        has_token(text) & (F.size(tokens) > 0), with_lookup(tokens, values, rounds)
+        has_token(text) & (F.size(tokens) > 0), with_lookup(tokens, values, rounds, table)
     ).otherwise(text)
 
 
-def restore_fuzzy(text: Column, tokens: Column, values: Column) -> Column:
+def categories_of(tokens: Column) -> Column:
+    """The categories of a mapping, in alphabetical order."""
+    return F.array_sort(F.array_distinct(F.transform(tokens, token_category)))
+
+
+def restore_fuzzy(
+    text: Column, tokens: Column, values: Column, table: Column | None = None, categories: Column | None = None
+) -> Column:
     """Exact restore, then the spellings a model tends to turn tokens into.
 
     ``TG:CAT:N`` and ``TG_CAT_N``, bare or in quotes or backticks, are replaced
@@ -108,16 +117,15 @@ def restore_fuzzy(text: Column, tokens: Column, values: Column) -> Column:
 
     def both(find) -> Column:
         exact = F.when(has_token(text), _replace_tokens(text, find)).otherwise(text)
-        categories = F.array_sort(F.array_distinct(F.transform(tokens, token_category)))
         return F.aggregate(
-            categories,
+            categories_of(tokens) if categories is None else categories,
             exact,
             lambda t, c: F.when(t.rlike("TG[:_]"), one_category(t, c, find)).otherwise(t),
         )
 
     return (
         F.when(F.size(tokens) == 0, text)
-        .when(text.rlike("TG[:_]"), with_lookup(tokens, values, both))
+        .when(text.rlike("TG[:_]"), with_lookup(tokens, values, both, table))
         .otherwise(text)
     )
 

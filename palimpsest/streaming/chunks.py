@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.functions.expr import lookup_table
 from palimpsest.functions.tokens import MAX_TOKEN
-from palimpsest.operators.restore import restore_fuzzy
+from palimpsest.operators.restore import categories_of, restore, restore_exact, restore_fuzzy
 
 MAX_TAIL = MAX_TOKEN
 _QUOTE = "[\"'`]?"
@@ -169,11 +170,24 @@ def realign(chunks: DataFrame) -> DataFrame:
 def restore_chunks(aligned: DataFrame, mapping: DataFrame, restorer=restore_fuzzy) -> DataFrame:
     """Restore realigned chunks with ``mapping (request_id, tokens, values)``.
 
-    A response without a mapping passes through.  Works on streams and tables.
+    A response without a mapping passes through.  Works on streams and tables.  A
+    mapping's lookup table and categories are worked out before the join, once for a
+    response and not for each of its chunks; a restorer other than this package's is
+    called without them.
     """
-    by_response = mapping.select(F.col("request_id").alias("response_id"), "tokens", "values")
+    text, tokens, values, table = (F.col(c) for c in ("text", "tokens", "values", "table"))
+    by_response = mapping.select(
+        F.col("request_id").alias("response_id"),
+        "tokens",
+        "values",
+        lookup_table(F.col("tokens"), F.col("values")).alias("table"),
+        categories_of(F.col("tokens")).alias("categories"),
+    )
+    if restorer is restore_fuzzy:
+        done = restore_fuzzy(text, tokens, values, table, F.col("categories"))
+    elif restorer in (restore, restore_exact):
+        done = restorer(text, tokens, values, table)
+    else:
+        done = restorer(text, tokens, values)
     joined = aligned.join(by_response, "response_id", "left")
-    restored = F.when(
-        F.col("tokens").isNotNull(), restorer(F.col("text"), F.col("tokens"), F.col("values"))
-    ).otherwise(F.col("text"))
-    return joined.select("response_id", "seq", restored.alias("text"))
+    return joined.select("response_id", "seq", F.when(tokens.isNotNull(), done).otherwise(text).alias("text"))
