@@ -20,6 +20,7 @@ from palimpsest.operators.requests import parse_blocks, rebuild_body
 from palimpsest.operators.restore import restore, restore_json
 from palimpsest.operators.rules import RuleSet, classify_block
 from palimpsest.operators.traffic import detect_agent, resolve_provider
+from palimpsest.session import Workspace
 
 REQUEST_SCHEMA = (
     "request_id string, ts timestamp, agent_header string, user_agent string, path string, body string"
@@ -52,7 +53,7 @@ def _summaries(texts: Column, summarize: Summarizer) -> Column:
                 at += max(size, 1)  # an empty array is one NULL row once exploded
             yield pd.Series(out, index=batch.index, dtype=object)
 
-    # A model need not answer the same twice, and must not be asked twice.
+    # A model need not answer the same twice: no expression over the answers may ask again.
     return F.pandas_udf(per_batch, "array<string>").asNondeterministic()(texts)
 
 
@@ -61,12 +62,20 @@ def process_requests(
     rule_set: RuleSet,
     summarize: Summarizer | None = None,
     prefix: str = "Local summary",
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Classify and transform requests ``(request_id, ts, agent_header, user_agent, path, body)``.
 
     Requests to an unknown provider are left out, see :func:`rejected`.  One row per
     request: ``request_id, ts, agent, provider, new_body, blocked, tokens, values``
     and ``blocks``, an array with tier, source, reason, matches and new content.
+
+    With a summarizer, or a ``space`` for it, the result is written as a table first:
+    bodies, mappings and audit entries are then read from the same answers, and no
+    block is asked about, classified or redacted once more for each of them.  The table
+    holds values in clear; it goes with the space, or with the session if none is
+    given.  A stream has a single sink: write the whole result there, and derive the
+    outputs from that.
     """
     patterns = rule_set.enabled_patterns()
     known = requests.filter(resolve_provider(F.col("path")).isNotNull()).select(
@@ -155,7 +164,7 @@ def process_requests(
         F.transform("judged", outcome).alias("all_blocks"),
     )
     contents = F.transform("all_blocks", lambda b: b["new_content"])
-    return finished.select(
+    processed = finished.select(
         "request_id",
         "ts",
         "agent",
@@ -166,6 +175,9 @@ def process_requests(
         "values",
         F.filter("all_blocks", lambda b: b["tier"].isNotNull()).alias("blocks"),
     )
+    if requests.isStreaming or not (summarize or space):
+        return processed
+    return (space or Workspace(requests.sparkSession)).written(processed)
 
 
 def rejected(requests: DataFrame) -> DataFrame:
