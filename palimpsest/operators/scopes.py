@@ -3,7 +3,8 @@
 A scope such as a conversation may be larger than any one task can hold, so its
 rows are never brought together.  Each row is redacted on its own, the distinct
 values of all rows are numbered over the scope, and the rows' own tokens are
-then exchanged for the scope's.  Only rows with hits take part in a shuffle.
+then exchanged for the scope's.  Texts are looked through once, and only rows with
+hits take part in a shuffle.
 
 The result is what redacting the scope's rows one after the other gives: numbers
 follow the first appearance by row, then by pattern, then by position.
@@ -16,24 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expr import keep_if
 from palimpsest.functions.patterns import Pattern
 from palimpsest.functions.tokens import has_token, token, token_category
 from palimpsest.operators.redact import redact
 from palimpsest.operators.restore import restore, restore_exact
-from palimpsest.session import written
+from palimpsest.operators.stored import part_of
+from palimpsest.session import Workspace
 
 # First appearances are ranked within stretches of this many rows of a scope; the
 # ranks before a stretch are added up from one count per stretch.
 STRETCH_ROWS = 1 << 16
-# Tasks that the rows with one and the same value are spread over, before any
-# further splitting of skewed partitions at run time.
-SPREAD = 32
-
-
-def _local_hits(df: DataFrame, text: str, patterns: Sequence[Pattern] | None) -> DataFrame:
-    """The rows with hits, redacted each on its own, with the result in ``r``."""
-    return keep_if(df.select("*", redact(text, patterns).alias("r")), F.size("r.tokens") > 0)
 
 
 def _row_values(local: DataFrame, scope: str, order: str) -> DataFrame:
@@ -42,20 +35,25 @@ def _row_values(local: DataFrame, scope: str, order: str) -> DataFrame:
         "r.values",
         lambda v: F.when(has_token(v), restore(v, F.col("r.tokens"), F.col("r.values"))).otherwise(v),
     )
-    pairs = F.arrays_zip(F.col("r.tokens").alias("own"), plain.alias("plain"), F.col("r.values").alias("value"))
+    pairs = F.arrays_zip(F.col("r.tokens").alias("own"), plain.alias("plain"))
     return local.select(scope, order, F.posexplode(pairs).alias("idx", "p")).select(
-        scope, order, "idx", F.col("p.own").alias("own"), F.col("p.plain").alias("plain"), F.col("p.value").alias("value")
+        scope, order, "idx", F.col("p.own").alias("own"), F.col("p.plain").alias("plain"), part_of(order).alias("part")
     )
 
 
 def _numbered(row_values: DataFrame, scope: str, order: str) -> DataFrame:
-    """``(scope, plain, token)``: every distinct value of a scope with its token."""
+    """``(scope, plain, token, parts)``: every distinct value of a scope with its token
+    and the parts its rows are in."""
     firsts = (
         row_values.groupBy(scope, "plain")
-        .agg(F.min(F.struct(F.col(order).alias("at"), "idx", token_category(F.col("own")).alias("category"))).alias("f"))
+        .agg(
+            F.min(F.struct(F.col(order).alias("at"), "idx", token_category(F.col("own")).alias("category"))).alias("f"),
+            F.collect_set("part").alias("parts"),
+        )
         .select(
             scope,
             "plain",
+            "parts",
             F.col("f.at").alias("at"),
             F.col("f.idx").alias("idx"),
             F.col("f.category").alias("category"),
@@ -73,41 +71,47 @@ def _numbered(row_values: DataFrame, scope: str, order: str) -> DataFrame:
     return (
         firsts.withColumn("rank", F.row_number().over(within))
         .join(offsets, [*group, "stretch"])
-        .select(scope, "plain", token(F.col("category"), F.col("offset") + F.col("rank")).alias("token"))
+        .select(scope, "plain", "parts", token(F.col("category"), F.col("offset") + F.col("rank")).alias("token"))
     )
 
 
 def redact_scopes(
-    df: DataFrame, scope: str, order: str, text: str, patterns: Sequence[Pattern] | None = None
+    df: DataFrame,
+    scope: str,
+    order: str,
+    text: str,
+    patterns: Sequence[Pattern] | None = None,
+    space: Workspace | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Redact rows that share a mapping per scope.
 
     ``order`` is a whole number, unique within its scope.  Returns the rows with
     ``redacted`` and ``matches`` added, and the mapping ``(scope, token, category, n,
     value)`` with one row per distinct value of a scope.
+
+    The rows' own results are tables in ``space``, which hold values in clear and go with
+    it, or with the session if none is given.
     """
-    local = written(_local_hits(df, text, patterns))
-    row_values = _row_values(local, scope, order)
-    numbered = written(_numbered(row_values, scope, order))
-
-    # A value may be in very many rows of a scope: the row number spreads those over
-    # tasks, and the matching token is repeated for each part.
-    parts = SPREAD
-    spread = row_values.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    tokens = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    space = space or Workspace(df.sparkSession)
+    local = space.written(df.select("*", redact(text, patterns).alias("r")))
+    hits = local.filter(F.size("r.tokens") > 0)
+    row_values = space.written(_row_values(hits, scope, order))
+    numbered = space.written(_numbered(row_values, scope, order))
+
+    # A value may be in very many rows of a scope: these are dealt out to parts, and the
+    # token goes to the parts where its value occurs.
+    tokens = numbered.select(scope, "plain", "token", F.explode("parts").alias("part"))
     exchanged = (
-        spread.join(tokens, [scope, "plain", "part"])
+        row_values.join(tokens, [scope, "plain", "part"])
         .groupBy(scope, order)
         .agg(F.sort_array(F.collect_list(F.struct("own", "token"))).alias("pairs"))
     )
-    changed = local.join(exchanged, [scope, order]).select(
+    changed = hits.join(exchanged, [scope, order]).select(
         *df.columns,
         restore_exact(F.col("r.text"), F.col("pairs.own"), F.col("pairs.token")).alias("redacted"),
         F.col("r.matches").alias("matches"),
     )
-    # Looking through the texts again costs less than moving all of them for a join.
-    looked_through = df.select("*", redact(text, patterns).alias("r"))
-    unchanged = keep_if(looked_through, F.size("r.tokens") == 0).select(
+    unchanged = local.filter(F.size("r.tokens") == 0).select(
         *df.columns, F.col("r.text").alias("redacted"), F.col("r.matches").alias("matches")
     )
     rows = changed.unionByName(unchanged)
