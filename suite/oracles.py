@@ -422,6 +422,16 @@ FROM audit GROUP BY ALL""",
     "audit_since_partitioned": f"WITH {_AUDIT} SELECT id, agent, tier, target FROM audit WHERE ts >= TIMESTAMP '2024-01-20'",
     "stream_redact": _fold("documents", "doc_id", "text", ALL) + "SELECT doc_id, t AS text FROM folded",
     "stream_chunk_restore": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
+    "restore_corpus": "SELECT doc_id, text FROM documents",
+    "restore_corpus_logs": f"SELECT event_id, text FROM {LOGS}",
+    "restore_conversation_scope": f"SELECT conv_id, turn, text FROM {_TURNS}",
+    "route_summaries_restored": f"""WITH {_JUDGED}
+SELECT request_id, idx, true AS own, 'summarized by local model' AS notes FROM acted WHERE tier = 2""",
+    "route_landed_requests": f"""WITH r AS (SELECT {derived.REQUEST_ID} AS request_id FROM conversations)
+SELECT request_id, 'team' AS agent, CASE WHEN ends_with(request_id, '1') THEN 0 ELSE 3 END::INT AS n,
+ CASE WHEN ends_with(request_id, '1') THEN true END AS as_it_was FROM r WHERE NOT ends_with(request_id, '2')
+UNION ALL SELECT 'malformed', '', count(*)::INT, true FROM r WHERE ends_with(request_id, '2')""",
+    "text_files_roundtrip": f"SELECT conv_id || '/' || turn AS name, text FROM {_TURNS}",
     "chunk_restore": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
     "chunk_restore_irregular": f"SELECT {derived.REQUEST_ID} AS response_id, text FROM {_TURNS}",
     "stream_audit_tail": f"WITH {_AUDIT} SELECT id, tier, target FROM audit WHERE agent = 'agent-2'",

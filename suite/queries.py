@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,12 +32,14 @@ from palimpsest.operators.rules import (
     content_tier,
 )
 from palimpsest.operators.scopes import redact_scopes
+from palimpsest.operators.stored import restore_stored
 from palimpsest.plans import gateway
 from palimpsest.plans.corpus import redact_corpus, redacted_texts
 from palimpsest.plans.presets import load_rules
-from palimpsest.session import settings, working_folder, written
+from palimpsest.session import Workspace, settings, working_folder, written
 from palimpsest.sources.audit_store import AuditStore, split_rotation
-from palimpsest.sources.text import spread
+from palimpsest.sources.requests import malformed_count, read_requests
+from palimpsest.sources.text import read_texts, spread, write_text_files
 from palimpsest.streaming import chunks as chunk_ops
 from palimpsest.streaming import streams
 from suite import derived
@@ -369,6 +372,57 @@ def route_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.block_rows(_processed(spark, sf_dir, last_words)).select("request_id", "idx", "tier", "new_content")
 
 
+def route_summaries_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that never answers twice the same: what a summary's token stands for is what
+    the body, the mapping and the audit entries all come from."""
+
+    def answer(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: f"{t[-60:]} seen by {uuid.uuid4().hex}@example.com")
+
+    processed = _processed(spark, sf_dir, answer)
+    mapping = gateway.mappings(processed)
+    blocks = gateway.block_rows(processed).filter("summarized").select("request_id", "idx", "new_content")
+    restored = blocks.join(mapping, "request_id").select(
+        "request_id", "idx", restore(F.col("new_content"), F.col("tokens"), F.col("values")).alias("text")
+    )
+    again = gateway.mappings(processed).select("request_id", F.col("values").alias("known"))
+    audited = gateway.audit_entries(processed).select("id", "notes")
+    seen = F.regexp_extract("text", r"seen by ([0-9a-f]{32}@example\.com)", 1)
+    own = restored.join(again, "request_id").withColumn("id", F.concat_ws("-", "request_id", F.col("idx").cast("string")))
+    return own.join(audited, "id").select("request_id", "idx", F.array_contains("known", seen).alias("own"), "notes")
+
+
+def route_landed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from JSON lines: whole ones, ones whose body is cut, and lines that are cut."""
+    folder = working_folder(spark)
+    requests = _requests(spark, sf_dir)
+    body = F.when(F.endswith("request_id", F.lit("1")), F.substr("body", F.lit(1), F.length("body") - 2)).otherwise(F.col("body"))
+    headers = F.create_map(F.lit("user-agent"), F.col("user_agent"), F.lit("X-AGENT"), F.lit("team"))
+    line = F.to_json(F.struct("request_id", "ts", "path", headers.alias("headers"), body.alias("body")))
+    cut = F.when(F.endswith("request_id", F.lit("2")), F.substr(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+    requests.select(cut.alias("value")).write.text(f"{folder}/in")
+    landed = read_requests(spark, f"{folder}/in")
+    processed = gateway.process_requests(landed, load_rules("server", home=HOME))
+    same = landed.filter("malformed IS NULL").select("request_id", "body").join(
+        processed.select("request_id", "agent", "new_body", F.size("blocks").alias("n")), "request_id"
+    )
+    routed = same.select("request_id", "agent", "n", (F.col("body") == F.col("new_body")).alias("as_it_was"))
+    kept = malformed_count(landed).select(
+        F.lit("malformed").alias("request_id"), F.lit("").alias("agent"), F.col("malformed").cast("int").alias("n"), F.lit(True).alias("as_it_was")
+    )
+    passed = routed.withColumn("as_it_was", F.when(F.col("n") == 0, F.col("as_it_was")))
+    return passed.unionByName(kept)
+
+
+def text_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn to a file of its own and back, byte for byte."""
+    folder = working_folder(spark)
+    turns = _turns(spark, sf_dir).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.concat("turn", F.lit(".txt"))).alias("name"), "text")
+    write_text_files(turns, [sf_dir], f"{folder}/texts", "name")
+    back = read_texts(spark, f"{folder}/texts/*")
+    return back.select(F.regexp_extract("path", r"(\d+/\d+)\.txt$", 1).alias("name"), "text")
+
+
 def gateway_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.audit_entries(_processed(spark, sf_dir)).select(
         "id", "agent", "provider", "action", "target", "tier", "redactions", "approved", "notes"
@@ -425,6 +479,31 @@ def restore_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("event_id", restore_event_line(F.col("line"), r["tokens"], r["values"]).alias("line"))
 
 
+def _stored_corpus(corpus: DataFrame, key: str) -> DataFrame:
+    space = Workspace(corpus.sparkSession)
+    corpus = space.written(corpus)
+    texts = space.written(corpus.select(key, F.col("redacted.text").alias("text")))
+    return restore_stored(texts, [key], "text", space.written(report.mapping_rows(corpus, [key])), space=space)
+
+
+def restore_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents from what is stored of them: redacted texts and the long-form mapping."""
+    return _stored_corpus(_redacted_docs(spark, sf_dir), "doc_id")
+
+
+def restore_corpus_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for logs, whose values have tokens in them."""
+    return _stored_corpus(_redacted_logs(spark, sf_dir), "event_id")
+
+
+def restore_conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations redacted with all patterns, from stored turns and the scopes' mapping."""
+    space = Workspace(spark)
+    rows, mapping = redact_scopes(_turns(spark, sf_dir), "conv_id", "turn", "text", all_patterns(), space)
+    texts = space.written(rows.select("conv_id", "turn", F.col("redacted").alias("text")))
+    return restore_stored(texts, ["conv_id", "turn"], "text", space.written(mapping), ["conv_id"], space)
+
+
 def unresolved_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens left over if every second mapping entry is lost."""
     r = F.col("redacted")
@@ -678,6 +757,9 @@ QUERIES: dict[str, Query] = {
     "route_requests": route_requests,
     "route_mappings": route_mappings,
     "route_summaries": route_summaries,
+    "text_files_roundtrip": text_files_roundtrip,
+    "route_landed_requests": route_landed_requests,
+    "route_summaries_restored": route_summaries_restored,
     "gateway_audit": gateway_audit,
     "restore_responses": restore_responses,
     "restore_exact": _restored(restore_exact),
@@ -685,6 +767,9 @@ QUERIES: dict[str, Query] = {
     "restore_matcher": _restored(restore_fuzzy),
     "restore_fuzzy_spellings": restore_fuzzy_spellings,
     "restore_event_lines": restore_event_lines,
+    "restore_conversation_scope": restore_conversation_scope,
+    "restore_corpus_logs": restore_corpus_logs,
+    "restore_corpus": restore_corpus,
     "unresolved_tokens": unresolved_in_texts,
     "unresolved_corpus": unresolved_corpus,
     "audit_recent": audit_recent,

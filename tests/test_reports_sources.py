@@ -5,7 +5,7 @@ from palimpsest.operators import report
 from palimpsest.plans.corpus import redact_corpus, redacted_texts
 from palimpsest.plans.presets import load_rules
 from palimpsest.session import working_folder, written
-from palimpsest.sources.text import check_output, read_corpus, read_texts, spread, write_corpus, write_texts
+from palimpsest.sources.text import check_output, read_corpus, read_texts, spread, write_corpus, write_text_files, write_texts
 
 
 @pytest.fixture()
@@ -97,6 +97,38 @@ def test_outputs_never_overlap_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
 
 
+def test_outputs_are_compared_as_the_file_system_sees_them(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "in")
+    given = str(tmp_path / "in")
+    monkeypatch.chdir(tmp_path)
+    for bad in (f"file:{given}", f"file://{given}/x", str(tmp_path / "link"), str(tmp_path / "link/x"), "/"):
+        with pytest.raises(ValueError):
+            check_output([given], bad)
+    with pytest.raises(ValueError):
+        check_output(["s3://bucket/x"], "s3a://bucket/x/y")
+    check_output(["s3://bucket/x"], "s3a://other/x")
+    working = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    with pytest.raises(ValueError):
+        check_output([f"{working}/some"], "some")
+
+
+def test_text_files_are_byte_exact_and_named(spark, tmp_path):
+    rows = [("a/x.txt", "no newline"), ("a/y.txt", "two\r\n\n"), ("z", ""), ("n", None), ("ü.txt", "ü\u2028\0")]
+    df = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    out = str(tmp_path / "out")
+    assert write_text_files(df, [str(tmp_path / "in")], out, "name") == 5
+    assert write_text_files(df, [], out, "name") == 5
+    found = {str(f.relative_to(out)): f.read_bytes() for f in (tmp_path / "out").rglob("*") if f.is_file() and not f.name.startswith(".")}
+    assert found == {k: (v or "").encode() for k, v in rows}
+    for bad in ("../x", "/x", "a/../../x", "", None, "a/"):
+        with pytest.raises(ValueError):
+            write_text_files(spark.createDataFrame([(bad, "t")], "name string, text string"), [], out, "name")
+    with pytest.raises(ValueError):
+        write_text_files(spark.createDataFrame([("q", "1"), ("q", "2")], "name string, text string"), [], out, "name")
+    assert write_text_files(df.limit(0), [], out, "name") == 0
+
+
 def test_corpus_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b\nc')], "id int, text string")
     df.write.parquet(str(tmp_path / "p"))
