@@ -9,7 +9,10 @@ comparing, and full sets decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +28,63 @@ from palimpsest.session import Workspace
 SHINGLE = 3
 #: Similarity of linked sets, per cent.
 PERCENT = 85
-#: Trees, and the tokens chosen on a path after which nodes are looked at.  At the
-#: similarity asked for, a pair is missed in all trees with probability 1e-10 if its
-#: nodes are small after one token, 1e-5 after three, 0.003 after six.
-TREES = 12
+#: The tokens chosen on a path after which nodes are looked at.
 LEVELS = (1, 3, 6)
+#: So often, at most, a pair of the similarity asked for is missed in all trees if its nodes
+#: are small only after the last level.  At 85 % that takes 12 trees, at 80 % it takes 19.
+MISSED = 0.0035
 #: Documents in a node that is compared; larger ones at the last level are compared block by block.
 NODE = 1000
-#: Sketches of TREES * LEVELS[-1] bytes must agree in so many: five deviations below what PERCENT lets expect.
-AGREE = 46
 
-_DRAWS = TREES * LEVELS[-1]
-_SEEDS = mix(np.arange(1, _DRAWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-_ODD = mix(_SEEDS) | np.uint64(1)
 
+@dataclass(frozen=True)
+class Likeness:
+    """Words in a shingle, the similarity of linked sets in per cent, and what follows from it."""
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or not 0 < self.percent <= 100:
+            raise ValueError("a shingle has a word or more, a similarity is over 0 and at most 100 per cent")
+
+    @cached_property
+    def trees(self) -> int:
+        met = (self.percent / 100) ** LEVELS[-1]
+        return 1 if met == 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
+
+    @cached_property
+    def draws(self) -> int:
+        return self.trees * LEVELS[-1]
+
+    @cached_property
+    def agree(self) -> int:
+        """Bytes of sketches that must agree: five deviations below what the similarity lets expect."""
+        same = self.percent / 100 + (1 - self.percent / 100) / 256
+        return max(0, math.floor(self.draws * same - 5 * math.sqrt(self.draws * same * (1 - same))))
+
+    @cached_property
+    def seeds(self) -> np.ndarray:
+        return mix(np.arange(1, self.draws + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
+def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For parts of a column: its first row, the sorted distinct shingles of all rows, and the rows' offsets."""
     for first, end, data, offsets in text_parts(column):
         data = lower_ascii(data)
         starts, ends, at = words_of(data, offsets)
         h = word_hashes(data, starts, ends)
-        # Sums of hashes times powers, over three words, or what a shorter text has.
-        padded = np.concatenate([h, np.zeros(SHINGLE, dtype=np.uint64)])
+        # Sums of hashes times powers, over a shingle's words, or what a shorter text has.
+        padded = np.concatenate([h, np.zeros(shingle, dtype=np.uint64)])
         s = padded[: len(h)].copy()
-        for k in range(1, SHINGLE):
+        for k in range(1, shingle):
             s = mix(s) + padded[k : len(h) + k]
         s = mix(s)
         found, sizes = [], [0]
         for row in range(end - first):
             lo, hi = int(at[row]), int(at[row + 1])
-            if hi - lo >= SHINGLE:
-                own = np.unique(s[lo : hi - SHINGLE + 1])
+            if hi - lo >= shingle:
+                own = np.unique(s[lo : hi - shingle + 1])
             elif hi > lo:
                 x = np.uint64(hi - lo)
                 whole = np.array([x], dtype=np.uint64)
@@ -70,138 +98,154 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, np.concatenate(found), np.cumsum(sizes)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Set size, 128 bits of the whole set, node keys by tree and level, and the sketch."""
-    for batch in batches:
-        for first, s, offsets in _sets(batch.column("text")):
-            sizes = np.diff(offsets)
-            full = np.flatnonzero(sizes)
-            cut = offsets[:-1][full]
-            xor, total = np.zeros((2, len(sizes)), dtype=np.uint64)
-            keys = np.zeros((len(sizes), TREES * len(LEVELS)), dtype=np.uint64)
-            sketch = np.zeros((len(sizes), _DRAWS), dtype=np.uint8)
-            if len(full):
-                xor[full] = np.bitwise_xor.reduceat(s, cut)
-                total[full] = np.add.reduceat(mix(s), cut)
-                for tree in range(TREES):
-                    path = np.full(len(full), mix(np.array([tree + 1], dtype=np.uint64))[0])
-                    for depth in range(LEVELS[-1]):
-                        draw = tree * LEVELS[-1] + depth
-                        v = (s ^ _SEEDS[draw]) * _ODD[draw]
-                        v ^= v >> np.uint64(29)
-                        least = np.minimum.reduceat(v, cut)
-                        path = mix(path + least)
-                        sketch[full, draw] = mix(least).astype(np.uint8)
-                        if depth + 1 in LEVELS:
-                            keys[full, tree * len(LEVELS) + LEVELS.index(depth + 1)] = path
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(first, n),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(xor.view(np.int64)),
-                    pa.array(total.view(np.int64)),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel())
-                    ),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
-                ],
-                names=["doc_id", "n", "x", "s", "keys", "sketch"],
-            )
-
-
-def _worth_comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seeds = like.seeds
+    odd = mix(seeds) | np.uint64(1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, s, offsets in _sets(batch.column("text"), like.shingle):
+                sizes = np.diff(offsets)
+                full = np.flatnonzero(sizes)
+                cut = offsets[:-1][full]
+                xor, total = np.zeros((2, len(sizes)), dtype=np.uint64)
+                keys = np.zeros((len(sizes), like.trees * len(LEVELS)), dtype=np.uint64)
+                sketch = np.zeros((len(sizes), like.draws), dtype=np.uint8)
+                if len(full):
+                    xor[full] = np.bitwise_xor.reduceat(s, cut)
+                    total[full] = np.add.reduceat(mix(s), cut)
+                    for tree in range(like.trees):
+                        path = np.full(len(full), mix(np.array([tree + 1], dtype=np.uint64))[0])
+                        for depth in range(LEVELS[-1]):
+                            draw = tree * LEVELS[-1] + depth
+                            v = (s ^ seeds[draw]) * odd[draw]
+                            v ^= v >> np.uint64(29)
+                            least = np.minimum.reduceat(v, cut)
+                            path = mix(path + least)
+                            sketch[full, draw] = mix(least).astype(np.uint8)
+                            if depth + 1 in LEVELS:
+                                keys[full, tree * len(LEVELS) + LEVELS.index(depth + 1)] = path
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(first, n),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.array(xor.view(np.int64)),
+                        pa.array(total.view(np.int64)),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel())
+                        ),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    ],
+                    names=["doc_id", "n", "x", "s", "keys", "sketch"],
+                )
+
+    return work
+
+
+def _worth_comparing(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of every cell the documents with a partner whose sketch agrees, unless an earlier tree has the pair."""
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        edges = bounds(table, ["cell"])
-        n = table.column("n").to_numpy()
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, _DRAWS)
-        leaves = table.column("leaves").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-        trees = table.column("tree").to_numpy()
-        keep = np.zeros(table.num_rows, dtype=bool)
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            if hi - lo < 2:
-                continue
-            own, sizes, leaf, tree = sketches[lo:hi], n[lo:hi], leaves[lo:hi], int(trees[lo])
-            for i in range(hi - lo - 1):
-                rest = slice(i + 1, hi - lo)
-                ratio = 100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i])
-                if not ratio.any():
+    def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            edges = bounds(table, ["cell"])
+            n = table.column("n").to_numpy()
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, like.draws)
+            leaves = table.column("leaves").combine_chunks().flatten().to_numpy().reshape(-1, like.trees)
+            trees = table.column("tree").to_numpy()
+            keep = np.zeros(table.num_rows, dtype=bool)
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo < 2:
                     continue
-                like = ratio & ((own[rest] == own[i]).sum(axis=1) >= AGREE)
-                if tree and like.any():
-                    met = (leaf[rest, :tree] == leaf[i, :tree]) & (leaf[i, :tree] != 0)
-                    like &= ~met.any(axis=1)
-                if like.any():
-                    keep[lo + i] = True
-                    keep[lo + i + 1 + np.flatnonzero(like)] = True
-        chosen = table.select(["cell", "doc_id"]).filter(pa.array(keep))
-        yield from chosen.combine_chunks().to_batches()
+                own, sizes, leaf, tree = sketches[lo:hi], n[lo:hi], leaves[lo:hi], int(trees[lo])
+                for i in range(hi - lo - 1):
+                    rest = slice(i + 1, hi - lo)
+                    ratio = 100 * np.minimum(sizes[rest], sizes[i]) >= like.percent * np.maximum(sizes[rest], sizes[i])
+                    if not ratio.any():
+                        continue
+                    alike = ratio & ((own[rest] == own[i]).sum(axis=1) >= like.agree)
+                    if tree and alike.any():
+                        met = (leaf[rest, :tree] == leaf[i, :tree]) & (leaf[i, :tree] != 0)
+                        alike &= ~met.any(axis=1)
+                    if alike.any():
+                        keep[lo + i] = True
+                        keep[lo + i + 1 + np.flatnonzero(alike)] = True
+            chosen = table.select(["cell", "doc_id"]).filter(pa.array(keep))
+            yield from chosen.combine_chunks().to_batches()
+
+        return groups(batches, ["cell"], work)
 
-    return groups(batches, ["cell"], work)
+    return all_groups
 
 
-def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_rows(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row with the set for each cell of a document."""
-    for batch in batches:
-        cells = batch.column("cells")
-        for first, s, offsets in _sets(batch.column("text")):
-            row, cell = [], []
-            for i in range(len(offsets) - 1):
-                for c in cells[first + i].as_py():
-                    row.append(i)
-                    cell.append(c)
-            data = [s[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cell, pa.int64()),
-                    batch.column("doc_id").take(pa.array([first + i for i in row], pa.int64())),
-                    pa.array([data[i] for i in row], pa.binary()),
-                ],
-                names=["cell", "doc_id", "tokens"],
-            )
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cells")
+            for first, s, offsets in _sets(batch.column("text"), like.shingle):
+                row, cell = [], []
+                for i in range(len(offsets) - 1):
+                    for c in cells[first + i].as_py():
+                        row.append(i)
+                        cell.append(c)
+                data = [s[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cell, pa.int64()),
+                        batch.column("doc_id").take(pa.array([first + i for i in row], pa.int64())),
+                        pa.array([data[i] for i in row], pa.binary()),
+                    ],
+                    names=["cell", "doc_id", "tokens"],
+                )
+
+    return work
+
+
+def _links(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links of each cell that join different parts of it, confirmed on full sets.
 
     A pair whose documents are joined already needs no link: components stay the same.
     """
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        edges = bounds(table, ["cell"])
-        tokens, ids = table.column("tokens"), table.column("doc_id").combine_chunks()
-        a: list[int] = []
-        b: list[int] = []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            k = int(hi - lo)
-            if k < 2:
-                continue
-            own = [np.frombuffer(tokens[int(i)].as_py(), dtype=np.uint64) for i in range(lo, hi)]
-            sizes = np.array([len(x) for x in own])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            every, local = np.unique(np.concatenate(own), return_inverse=True)
-            part = np.arange(k)
-            mark = np.zeros(len(every), dtype=np.int64)
-            for i in range(k - 1):
-                other = part[i + 1 :] != part[i]
-                other &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i])
-                if not other.any():
+    def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            edges = bounds(table, ["cell"])
+            tokens, ids = table.column("tokens"), table.column("doc_id").combine_chunks()
+            a: list[int] = []
+            b: list[int] = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                k = int(hi - lo)
+                if k < 2:
                     continue
-                mine = local[offsets[i] : offsets[i + 1]]
-                mark[mine] = 1
-                common = np.add.reduceat(mark[local[offsets[i + 1] :]], offsets[i + 1 : -1] - offsets[i + 1])
-                mark[mine] = 0
-                linked = other & (100 * common >= PERCENT * (sizes[i] + sizes[i + 1 :] - common))
-                for j in i + 1 + np.flatnonzero(linked):
-                    if part[j] != part[i]:
-                        part[part == part[j]] = part[i]
-                        a.append(int(lo) + i)
-                        b.append(int(lo) + int(j))
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+                own = [np.frombuffer(tokens[int(i)].as_py(), dtype=np.uint64) for i in range(lo, hi)]
+                sizes = np.array([len(x) for x in own])
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                every, local = np.unique(np.concatenate(own), return_inverse=True)
+                part = np.arange(k)
+                mark = np.zeros(len(every), dtype=np.int64)
+                for i in range(k - 1):
+                    other = part[i + 1 :] != part[i]
+                    other &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= like.percent * np.maximum(sizes[i + 1 :], sizes[i])
+                    if not other.any():
+                        continue
+                    mine = local[offsets[i] : offsets[i + 1]]
+                    mark[mine] = 1
+                    common = np.add.reduceat(mark[local[offsets[i + 1] :]], offsets[i + 1 : -1] - offsets[i + 1])
+                    mark[mine] = 0
+                    linked = other & (100 * common >= like.percent * (sizes[i] + sizes[i + 1 :] - common))
+                    for j in i + 1 + np.flatnonzero(linked):
+                        if part[j] != part[i]:
+                            part[part == part[j]] = part[i]
+                            a.append(int(lo) + i)
+                            b.append(int(lo) + int(j))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
 
-    return groups(batches, ["cell"], work)
+        return groups(batches, ["cell"], work)
+
+    return all_groups
 
 
 def _leaves(reps: DataFrame, space: Workspace) -> DataFrame:
@@ -222,9 +266,13 @@ def _leaves(reps: DataFrame, space: Workspace) -> DataFrame:
     return found.select("doc_id", "tree", "key", "size")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """Size of the shingle set and component of every document.
 
+    Linked are documents whose sets of ``shingle`` words are at least ``percent`` per cent alike.
+
     Equal sets are one class from the start, found by grouping 128 bits of the set, so
     thousands of copies cost no comparison.  The signature table has a few hundred
     bytes a document; sets travel only for documents with a likely partner, as a rule
@@ -237,11 +285,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     one.  Other columns are not looked at.  Returns doc_id, n_shingles, component_id
     and kept.
     """
+    like = Likeness(shingle, percent)
     space = Workspace(docs.sparkSession)
     plain = texts(docs, id_column, text_column)
     kind = plain.schema["doc_id"].dataType.simpleString()
     signed = space.written(
-        plain.mapInArrow(_signatures, f"doc_id {kind}, n bigint, x bigint, s bigint, keys array<bigint>, sketch binary")
+        plain.mapInArrow(_signatures(like), f"doc_id {kind}, n bigint, x bigint, s bigint, keys array<bigint>, sketch binary")
     )
     whole = ["n", "x", "s"]
     usable = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -254,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     leaves = space.written(_leaves(reps, space))
     by_tree = F.map_from_entries(F.collect_set(F.struct("tree", "key")))
     own = leaves.dropDuplicates(["doc_id", "tree"]).groupBy("doc_id").agg(by_tree.alias("m")).select(
-        "doc_id", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0).cast("long"))).alias("leaves")
+        "doc_id", F.transform(F.sequence(F.lit(0), F.lit(like.trees - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0).cast("long"))).alias("leaves")
     )
     blocks = F.ceil(F.col("size") / NODE).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
@@ -274,15 +323,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .repartition("cell")
         .sortWithinPartitions("cell", "doc_id")
         .select("cell", "tree", "doc_id", "n", "sketch", "leaves")
-        .mapInArrow(_worth_comparing, f"cell bigint, doc_id {kind}")
+        .mapInArrow(_worth_comparing(like), f"cell bigint, doc_id {kind}")
     )
     worth = space.written(compared.groupBy("doc_id").agg(F.collect_set("cell").alias("cells")))
     links = (
         plain.join(worth, "doc_id")
-        .mapInArrow(_as_rows, f"cell bigint, doc_id {kind}, tokens binary")
+        .mapInArrow(_as_rows(like), f"cell bigint, doc_id {kind}, tokens binary")
         .repartition("cell")
         .sortWithinPartitions("cell", "doc_id")
-        .mapInArrow(_links, f"a {kind}, b {kind}")
+        .mapInArrow(_links(like), f"a {kind}, b {kind}")
     )
     joined = components(links, space)
     known = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(

@@ -35,8 +35,8 @@ def shingles(text, n, lower=False):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def components(docs, percent=85):
-    sets = {i: shingles(t, 3, lower=True) for i, t in docs}
+def components(docs, percent=85, n=3):
+    sets = {i: shingles(t, n, lower=True) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(a):
