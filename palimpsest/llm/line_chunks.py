@@ -23,6 +23,30 @@ FACTOR = 31
 MIN_LINES = 2
 
 
+_WORDED = r"[^\x20\x09-\x0D]"
+
+
+def _pairs(text: Column) -> Column:
+    """Like ``_chunks``: every line with a word, the next such line, and what stands between."""
+
+    def of(lines: Column, at: Column) -> Column:
+        return F.transform(
+            F.filter(at, lambda first, j: j + 1 < F.size(at)),
+            lambda first, j: let(
+                F.get(at, j + 1),
+                lambda last: F.struct(
+                    first.alias("first"), last.alias("last"),
+                    F.array_join(F.slice(lines, first + 1, last - first + 1), "\n").alias("body"),
+                ),
+            ),
+        )
+
+    def worded(lines: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(_WORDED))
+
+    return let(F.split(text, "\n"), lambda lines: let(worded(lines), lambda at: of(lines, at)))
+
+
 def _chunks(text: Column) -> Column:
     """The multi-line chunks: first and last line, and the lines between as they stand."""
     line_hash = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
@@ -45,7 +69,7 @@ def _chunks(text: Column) -> Column:
             return let(ends, lambda e: F.transform(e, lambda end, j: chunk(e, end, j)))
 
         chunks = let(F.transform(lines, line_hash), cut)
-        worded = lambda c: F.size(F.filter(c["lines"], lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+        worded = lambda c: F.size(F.filter(c["lines"], lambda x: x.rlike(_WORDED)))
         return F.transform(
             F.filter(chunks, lambda c: (c["last"] > c["first"]) & (worded(c) >= MIN_LINES)),
             lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.array_join(c["lines"], "\n").alias("body")),
@@ -55,7 +79,11 @@ def _chunks(text: Column) -> Column:
 
 
 def drop_repeated_chunks(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    carry: tuple[str, ...] = (),
+    every_pair: bool = False,
 ) -> DataFrame:
     """Every document without the multi-line chunks that stand earlier in the table.
 
@@ -64,6 +92,10 @@ def drop_repeated_chunks(
     compared.  Counts combine before the exchange, and a chunk that is everywhere is
     one row on the joins' other side, so its many places can be split over tasks.
 
+    With ``every_pair`` the chunks are all pairs of neighbouring lines with a word, which
+    overlap, in place of those that content-defined boundaries make: then every repeated run
+    of two or more such lines goes as a whole.  Of equal lines the earliest is always left.
+
     Columns named in ``carry`` come along as the struct ``carried``.
 
     Null and empty texts have no chunk; a null id comes before all others; rows equal
@@ -72,8 +104,9 @@ def drop_repeated_chunks(
     n_removed_lines, n_removed_chunks.
     """
     space = Workspace(docs.sparkSession)
+    chunks_of = _pairs if every_pair else _chunks
     plain = texts(docs, id_column, text_column).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = plain.select("doc_id", "th", F.posexplode(_chunks(F.col("text"))).alias("j", "c")).select(
+    found = plain.select("doc_id", "th", F.posexplode(chunks_of(F.col("text"))).alias("j", "c")).select(
         "doc_id", "th", "j", F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("size")
     )
     place = F.struct("doc_id", "th", "j")
@@ -94,7 +127,7 @@ def drop_repeated_chunks(
     per_source = sources.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s"))
     bodies = space.written(
         plain.join(per_source, same(plain, per_source))
-        .select(let(_chunks(F.col("text")), lambda c: F.transform("s", lambda s: F.struct(s["h"].alias("h"), s["size"].alias("size"), F.get(c, s["j"])["body"].alias("body")))).alias("s"))
+        .select(let(chunks_of(F.col("text")), lambda c: F.transform("s", lambda s: F.struct(s["h"].alias("h"), s["size"].alias("size"), F.get(c, s["j"])["body"].alias("body")))).alias("s"))
         .select(F.inline("s"))
         .dropDuplicates(["h", "size"])
     )
@@ -106,7 +139,7 @@ def drop_repeated_chunks(
 
     def left(text: Column, removals: Column) -> Column:
         def by_lines(lines: Column, equal: Column) -> Column:
-            gone = F.flatten(F.transform(equal, lambda c: F.sequence(c["first"], c["last"])))
+            gone = F.array_distinct(F.flatten(F.transform(equal, lambda c: F.sequence(c["first"], c["last"]))))
             kept = lambda g: F.when(F.size(g) == 0, lines).otherwise(
                 F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(g, i), x)), lambda x: x.isNotNull())
             )
@@ -121,7 +154,7 @@ def drop_repeated_chunks(
             )
 
         compared = F.when(removals.isNull(), F.array().cast("array<struct<first:int,last:int,body:string>>")).otherwise(
-            F.filter(_chunks(text), lambda c, j: F.coalesce(F.element_at(removals, j) == c["body"], F.lit(False)))
+            F.filter(chunks_of(text), lambda c, j: F.coalesce(F.element_at(removals, j) == c["body"], F.lit(False)))
         )
         return let(F.split(text, "\n"), lambda lines: let(compared, lambda equal: by_lines(lines, equal)))
 

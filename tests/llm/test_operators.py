@@ -218,6 +218,33 @@ def test_chunks_that_stand_earlier(docs):
         assert (r["text"], r["n_removed_chunks"], r["n_lines"]) == ("\n".join(left), removed, len(lines))
 
 
+def test_pairs_of_lines_that_stand_earlier(spark, docs):
+    """A block of any length from two lines on goes whole, whatever stands around it."""
+    frame, rows = docs
+    block = [[f"block {k} line {i} says so." for i in range(2 + k)] for k in range(8)]
+    own = [(20_000 + j, "\n".join([f"before {j}.", *block[j % 8][:1], "", *block[j % 8][1:], f"after {j}."])) for j in range(16)]
+    both = frame.select("doc_id", "text", "source").union(
+        spark.createDataFrame([(*r, "s") for r in own], "doc_id bigint, text string, source string")
+    )
+    seen = set()
+    found = _by_id(drop_repeated_chunks(both, carry=("source",), every_pair=True))
+    for r, (_, text) in zip(found, [*rows, *own], strict=True):
+        lines = (text or "").split("\n")
+        at = [i for i, x in enumerate(lines) if brute.words(x)]
+        gone, removed = set(), 0
+        for lo, hi in zip(at, at[1:]):
+            pair = tuple(lines[lo : hi + 1])
+            if pair in seen:
+                gone.update(range(lo, hi + 1))
+                removed += 1
+            seen.add(pair)
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        assert (r["text"], r["n_removed_lines"], r["n_removed_chunks"]) == (left, len(gone), removed)
+    assert [r["text"] for r in found[-8:]] == [f"before {j}.\nafter {j}." for j in range(8, 16)]
+    stage = corpus_pipeline.line_dedup(spark, both.selectExpr("doc_id", "text", "'en' AS lang", "source", "0L AS n_chars"), "")
+    assert {r["doc_id"]: r["text"] for r in stage.collect()}[20_015] == "before 15.\nafter 15."
+
+
 def test_packing(docs):
     frame, rows = docs
     tokenizer = Tokenizer.from_file(PATH)
