@@ -11,8 +11,9 @@ by anchor: equal windows always meet in one shard, which an index then searches.
 4. ``_removed``: runs of covered units per document, and what is left.
 
 Hot anchors: equal pieces within a batch are combined before the exchange, so a key
-has few rows for each batch; anchors that nevertheless come from many batches are
-dealt out window by window, by the hash of the whole window.
+has few rows for each batch; anchors that nevertheless come from many batches, or whose
+different pieces together would fill a shard, are dealt out window by window, by the
+hash of the whole window.
 """
 
 from __future__ import annotations
@@ -102,6 +103,14 @@ def _hashes(units: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[length:] - sums[:-length]) * _power("down", _INVERSE, n + 1)[: n - length + 1])
 
 
+def _spans(units: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64 bits for every given run of units."""
+    n = len(units)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(units * _power("up", _BASE, n), out=sums[1:])
+    return mix((sums[first + length] - sums[first]) * _power("down", _INVERSE, n + 1)[first] + length.astype(np.uint64))
+
+
 def _runs(kind: Kind, part: _Part) -> tuple[np.ndarray, ...]:
     """Row, first window, number of windows and anchor of every run of windows with one
     anchor, and whether the anchor stands in it twice: only then can it repeat itself."""
@@ -149,26 +158,37 @@ def _runs(kind: Kind, part: _Part) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(v, salt, d, known): each anchor once a batch (salt 0), and where it is known to
-    repeat, because the batch has it twice, each of its documents (salt not 0)."""
+    """(v, salt, d, known, units): each anchor once a batch (salt 0), and where it is known to
+    repeat, because the batch has it twice, each of its documents (salt not 0).
+
+    ``units`` is what a shard would hold of the batch's different pieces with the anchor.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("d").to_numpy()
-            found_v, found_d, found_n = [], [], []
+            found_v, found_d, found_n, found_u, found_w = [], [], [], [], []
             for part in _parts(kind, batch.column("text")):
-                row, _, _, v, inner = _runs(kind, part)
+                row, first, count, v, inner = _runs(kind, part)
+                found_u.append(count + kind.window)
+                found_w.append(_spans(part.units, first, count + (kind.window - 1)))
                 found_v.append(v)
                 found_d.append(ids[part.first + row])
                 found_n.append(1 + inner)
             if not found_v:
                 continue
-            v, d, n = map(np.concatenate, (found_v, found_d, found_n))
+            v, d, n, u, w = map(np.concatenate, (found_v, found_d, found_n, found_u, found_w))
             order = np.lexsort((d, v))
-            v, d, n = v[order].view(np.int64), d[order], n[order]
+            v, d, n, u, w = v[order].view(np.int64), d[order], n[order], u[order], w[order]
             first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, dtype=np.int64)
             total = np.add.reduceat(n, first) if len(v) else n
             again = np.repeat(total > 1, np.diff(np.append(first, len(v))))
+            # Equal pieces of an anchor count once.
+            several = np.flatnonzero(again)
+            several = several[np.lexsort((w[several], v[several]))]
+            same = (v[several][1:] == v[several][:-1]) & (w[several][1:] == w[several][:-1])
+            u[several[1:][same]] = 0
+            units = np.add.reduceat(u, first) if len(v) else u
             fresh = again & np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1]))[: len(v)]
             direct_v, direct_d = v[fresh], d[fresh]
             salt = mix(direct_d.view(np.uint64)).view(np.int64) | 1
@@ -178,14 +198,15 @@ def _anchors(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     pa.array(np.concatenate([np.zeros(len(first), dtype=np.int64), salt])),
                     pa.array(np.concatenate([d[first], direct_d])),
                     pa.array(np.concatenate([total > 1, np.ones(len(direct_v), dtype=bool)])),
+                    pa.array(np.concatenate([units, np.zeros(len(direct_v), dtype=np.int64)])),
                 ],
-                names=["v", "salt", "d", "known"],
+                names=["v", "salt", "d", "known", "units"],
             )
 
     return work
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(d, v, hot): documents and their repeated anchors; for a hot anchor one row more."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -196,7 +217,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.repeat((size > 1) | any_known, size)
         # Known ones were marked where they were found.
         marked = again & (~known | (salt != 0))
-        hot = edges[:-1][size > HOT]
+        units = np.add.reduceat(table.column("units").to_numpy(), edges[:-1])
+        hot = edges[:-1][(size > HOT) | (units > kind.shard_units)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([d[marked], d[hot]])),
@@ -206,7 +228,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["d", "v", "hot"],
         )
 
-    return groups(batches, ["v", "salt"], work)
+    return lambda batches: groups(batches, ["v", "salt"], work)
 
 
 def _pieces(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -400,10 +422,10 @@ def without_repeats(docs: DataFrame, kind: Kind, id_column: str = "doc_id", text
     )
     marks = space.written(
         plain.select("d", "text")
-        .mapInArrow(_anchors(kind), "v bigint, salt bigint, d bigint, known boolean")
+        .mapInArrow(_anchors(kind), "v bigint, salt bigint, d bigint, known boolean, units bigint")
         .repartition("v", "salt")
         .sortWithinPartitions("v", "salt")
-        .mapInArrow(_repeated, "d bigint, v bigint, hot boolean")
+        .mapInArrow(_repeated(kind), "d bigint, v bigint, hot boolean")
     )
     hot = marks.filter("hot").select("v", F.lit(True).alias("is_hot")).distinct()
     per_document = (

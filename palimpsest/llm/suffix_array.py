@@ -17,8 +17,21 @@ from palimpsest.llm.repeats import Kind, without_repeats
 WINDOW = 100
 
 
+#: Keys are below this.
+KEYS = 1 << 63
+
+
+def _joint(high: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
+    """Numbers in the order of the pairs, ``low`` being below ``size``: only of one call's pairs, if ``high`` must be ranked."""
+    if len(high) and (int(high.max()) + 1) * size > KEYS:
+        high = np.unique(high, return_inverse=True)[1].astype(np.int64)
+        if len(high) * size > KEYS:
+            raise OverflowError(f"{len(high)} suffixes with {size} names do not fit 64-bit keys")
+    return high * size + low
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of numbers over 0; at most 2^20 of them, so that keys fit 64 bits."""
+    """Order of the suffixes of numbers over 0, however many; keys that 64 bits cannot hold are ranked in steps."""
     n = len(text)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), dtype=np.int64)
@@ -27,7 +40,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     # Positions 1 and 2 modulo 3; where n is 1 modulo 3, one more keeps the two halves apart.
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    triples = (s[sample] * size + s[sample + 1]) * size + s[sample + 2]
+    triples = _joint(_joint(s[sample], s[sample + 1], size), s[sample + 2], size)
     distinct, names = np.unique(triples, return_inverse=True)
     order = suffix_array(names.astype(np.int64) + 1) if len(distinct) < len(sample) else np.argsort(names)
     rank = np.zeros(n + 4, dtype=np.int64)
@@ -36,12 +49,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
 
     zero = np.arange(0, n, 3)
-    by_one = lambda i: s[i] * (n + 4) + rank[i + 1]
-    by_two = lambda i: (s[i] * size + s[i + 1]) * (n + 4) + rank[i + 2]
+    by_one = lambda i: _joint(s[i], rank[i + 1], n + 4)
+    by_two = lambda i: _joint(_joint(s[i], s[i + 1], size), rank[i + 2], n + 4)
     zero = zero[np.argsort(by_one(zero), kind="stable")]
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     # Sampled suffixes before each of the rest: those at 1 compare by one symbol and a name, those at 2 by two.
-    before = np.searchsorted(by_one(first), by_one(zero)) + np.searchsorted(by_two(second), by_two(zero))
+    one, two = by_one(np.concatenate([first, zero])), by_two(np.concatenate([second, zero]))
+    before = np.searchsorted(one[: len(first)], one[len(first) :]) + np.searchsorted(two[: len(second)], two[len(second) :])
     merged = np.empty(n, dtype=np.int64)
     place = before + np.arange(len(zero))
     merged[place] = zero

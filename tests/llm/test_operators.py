@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import random
 import re
@@ -6,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import chosen_path, mixing, packing
+from palimpsest.llm import chosen_path, mixing, packing, repeats
 from palimpsest.llm.chosen_path import near_duplicates
 from palimpsest.llm.compression_classifier import fit, score
 from palimpsest.llm.fm_index import drop_repeated_words
@@ -23,7 +25,7 @@ from palimpsest.llm.line_rules import clean_lines
 from palimpsest.llm.one_permutation import compare_neighbours
 from palimpsest.llm.packing import pack
 from palimpsest.llm.queries import ORACLES, QUERIES
-from palimpsest.llm.suffix_array import drop_repeated_bytes, suffix_array
+from palimpsest.llm.suffix_array import KIND, drop_repeated_bytes, suffix_array
 from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,6 +104,28 @@ def test_suffix_array(values):
     assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: values[i:])
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 1 << 21, (1 << 22) + 1, 1 << 31]), min_size=4, max_size=80))
+def test_suffix_array_with_more_names_than_keys_hold(values):
+    assert suffix_array(np.array(values)).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+
+
+def test_anchor_with_many_different_pieces_is_hot():
+    """One batch: the pieces' units count, not the batches they come from; equal pieces count once."""
+    kind = dataclasses.replace(KIND, shard_units=3000)
+    passage, own = _PROSE(40), [f"{k:05d} {_PROSE(40)}" for k in range(40)]
+
+    def hot(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["d", "text"])
+        (marks,) = repeats._anchors(kind)(iter([batch]))
+        ordered = pa.Table.from_batches([marks]).sort_by([("v", "ascending"), ("salt", "ascending")])
+        found = pa.Table.from_batches(repeats._repeated(kind)(iter(ordered.combine_chunks().to_batches())))
+        return set(found.filter(found.column("hot")).column("v").to_pylist())
+
+    assert hot([o + passage + o for o in own])
+    assert not hot([passage] * 40)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 2), min_size=12, max_size=60))
 def test_fm_index_finds_equal_windows(values):
