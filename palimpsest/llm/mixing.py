@@ -27,8 +27,11 @@ MAX_USES = 2
 STEPS = 65536
 #: Steps that are first summed up together, so that no running sum goes over more rows than this.
 BLOCK = 256
-#: Documents that may be added to close the gap a pattern's last step leaves.
-CLOSING = 3
+#: A document over this share of a pattern's amount, and over 1 / MANY of the pattern, is outsize: so fewer than MANY are.
+SHARE = 1 / 256
+MANY = 1000
+#: Documents of a pattern looked at in one round of closing the gap that is left.
+ROUND = 2000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MAX_USES) -> list[float]:
@@ -104,6 +107,23 @@ def route(capacities: dict[tuple[int, ...], int], quotas: Sequence[int], uses: i
     return {key: edges[e ^ 1][1] for key, e in carried.items() if edges[e ^ 1][1]}
 
 
+def outsize(sizes: Sequence[int], places: Sequence[float], rest: int, small: int) -> list[bool]:
+    """Which of the outsize documents, in their seeded order, are taken towards ``rest``.
+
+    ``places`` are their places in the order of all, from 0 to 1, ``small`` the words of the
+    other documents.  Taken is what comes within the share that ``rest`` is of all and fits;
+    then, while the others cannot fill what is left, the next that fits.
+    """
+    share = rest / max(1, small + sum(sizes))
+    taken, left = [False] * len(sizes), rest
+    for needed in (False, True):
+        for i, n in enumerate(sizes):
+            if not taken[i] and n <= left and (left > small if needed else places[i] < share):
+                taken[i] = True
+                left -= n
+    return taken
+
+
 def mix(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -118,10 +138,10 @@ def mix(
     ``sources`` is an array column with the sources a document belongs to; by default
     that of its ``source``.  Sources are ordered by code point, null last; like
     patterns they are few enough for the driver, which sees sums alone.  In a pattern
-    the documents come in the order of a seeded hash, whole; sums of the order's blocks,
-    then of a block's steps, find the step where the amount is reached, and only this
-    step's documents are added up one by one.  Up to ``CLOSING`` further documents, chosen by size, close
-    the remaining gap.
+    the documents come in the order of a seeded hash, whole.  The few outsize ones are taken
+    or refused first; of the others, sums of the order's blocks, then of a block's steps, find
+    the step where the amount is reached, and only this step's documents are added up one by
+    one.  Further documents, chosen by size, close the gap until none brings the sum closer.
 
     A null or empty text has no words and is not taken; a null source is a source of
     its own; a null id is a document like any other; repeated rows count each, but
@@ -167,6 +187,45 @@ def mix(
     planned = sized.join(F.broadcast(plan), key(own) == key(F.col("own"))).drop("own")
     pattern = "members"
 
+    def same(id_column: str, th_column: str) -> Column:
+        return F.col("doc_id").eqNullSafe(F.col(id_column)) & (F.col("th") == F.col(th_column))
+
+    id_type = sized.schema["doc_id"].dataType.simpleString()
+    # Steps go round with the order's remainder, which is the place in the seeded order.
+    least = F.greatest(F.col("rest") * SHARE, F.col("all") / MANY)
+    totals = spark.createDataFrame([(m, n) for (_, m, *_), (_, n) in zip(rows, sums)], "all_members array<int>, all bigint")
+    big = (
+        planned.join(F.broadcast(totals), F.col(pattern) == F.col("all_members"))
+        .filter((F.col("size") > least) | (F.col("size") > F.col("rest")))
+        .filter("rest > 0")
+    )
+    refused = F.col("size") > F.col("rest")
+    large: dict[tuple[int, ...], list] = {}
+    for r in big.filter(~refused).select(pattern, "step", "order", "doc_id", "th", "size", "rest", "all").collect():
+        large.setdefault(tuple(r[pattern]), []).append(r)
+    # What is left for the small documents: those that are neither outsize nor larger than the amount.
+    over = {tuple(r[pattern]): r["n"] for r in big.groupBy(pattern).agg(F.sum("size").alias("n")).collect()}
+    decided, left_over = [], []
+    for (_, m, _, _, _, rest), (_, n) in zip(rows, sums):
+        merged: dict[tuple, list] = {}
+        for r in sorted(large.get(tuple(m), []), key=lambda r: (r["step"], r["order"], r["th"], r["size"])):
+            merged.setdefault((r["doc_id"], r["th"]), [0, r["step"] / STEPS])[0] += r["size"]
+        taken = outsize([x for x, _ in merged.values()], [x for _, x in merged.values()], rest, n - over.get(tuple(m), 0))
+        decided += [(*k, yes) for k, yes in zip(merged, taken)]
+        left_over.append((m, n, rest - sum(x for (x, _), yes in zip(merged.values(), taken) if yes)))
+    first = spark.createDataFrame(decided, f"o_id {id_type}, o_th bigint, outsize boolean")
+    shares = spark.createDataFrame(left_over, "r_members array<int>, all bigint, left bigint")
+    # ``aside``: true or false for the outsize, which then count for nothing in the sums.
+    planned = (
+        planned.join(F.broadcast(shares), F.col(pattern) == F.col("r_members"))
+        .join(F.broadcast(first), same("o_id", "o_th"), "left")
+        .withColumn("aside", F.when(refused & (F.col("rest") > 0), False).otherwise(F.col("outsize")))
+        .withColumn("whole_size", F.col("size"))
+        .withColumn("size", F.when(F.col("aside").isNull(), F.col("size")).otherwise(0))
+        .withColumn("rest", F.col("left"))
+        .drop("r_members", "all", "left", "o_id", "o_th", "outsize")
+    )
+
     def reached(sums: DataFrame, at: str, before: Column) -> DataFrame:
         """The first place of each pattern where its amount is reached, and the sum before: one row a pattern."""
         run = before + F.sum("n").over(Window.partitionBy(pattern).orderBy(at))
@@ -188,42 +247,54 @@ def mix(
     marked = planned.join(F.broadcast(limits), F.col(pattern) == F.col("at_members"), "left").drop("at_members")
     last = F.coalesce(F.col("step") == F.col("at_step"), F.lit(False))
     one_by_one = F.sum("size").over(Window.partitionBy(pattern).orderBy("order", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, 0))
-    base = marked.filter(~last).withColumn("chosen", F.coalesce(F.col("step") < F.col("at_step"), F.lit(False)))
+    # Where the amount is nowhere reached, the small documents are too few and all are taken.
+    base = marked.filter(~last).withColumn("chosen", F.coalesce(F.col("step") < F.col("at_step"), F.lit(True)))
     edge = marked.filter(last).withColumn("chosen", F.col("before") + one_by_one <= F.col("rest"))
-    state = space.written(base.unionByName(edge).withColumn("chosen", F.col("chosen") & (F.col("size") > 0)))
-    closing = []
+    state = space.written(
+        base.unionByName(edge)
+        .withColumn("chosen", F.coalesce("aside", F.col("chosen") & (F.col("size") > 0)))
+        .withColumn("filled", F.when(F.col("chosen"), F.col("size")).otherwise(0))
+        .withColumn("size", F.col("whole_size"))
+    )
+    closing: list[tuple] = []
     gaps = {
         tuple(r["members"]): r["gap"]
-        for r in state.groupBy(pattern, "rest").agg(F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0)).alias("s"))
+        for r in state.groupBy(pattern, "rest").agg(F.sum("filled").alias("s"))
         .select(pattern, (F.col("rest") - F.col("s")).alias("gap")).collect()
     }
-    for _ in range(CLOSING):
-        open_gaps = [(list(p), gap) for p, gap in gaps.items() if gap > 0]
-        if not open_gaps:
-            break
-        want = spark.createDataFrame(open_gaps, "gap_members array<int>, gap bigint")
-        taken = [(c["doc_id"], c["th"]) for c in closing]
-        best = (
+    closes = f"x_id {id_type}, x_th bigint, closes boolean"
+    open_gaps = {p: gap for p, gap in gaps.items() if gap > 0}
+    while open_gaps:
+        want = spark.createDataFrame([(list(p), gap) for p, gap in open_gaps.items()], "gap_members array<int>, gap bigint")
+        free = (
             state.filter(~F.col("chosen") & (F.col("size") > 0))
             .join(F.broadcast(want), F.col(pattern) == F.col("gap_members"))
             .withColumn("off", F.abs(F.col("gap") - F.col("size")))
             .filter(F.col("off") < F.col("gap"))
+            .join(F.broadcast(spark.createDataFrame(closing, closes)), same("x_id", "x_th"), "left_anti")
         )
-        for doc_id, th in taken:
-            best = best.filter(~(F.col("doc_id").eqNullSafe(F.lit(doc_id)) & (F.col("th") == th)))
-        found = best.groupBy(pattern).agg(F.min(F.struct("off", "order", "doc_id", "th", "size")).alias("x")).select(pattern, "x.*").collect()
-        if not found:
-            break
-        for r in found:
-            gaps[tuple(r["members"])] -= r["size"]
-            closing.append(r)
-    extra = spark.createDataFrame(
-        [(c["doc_id"], c["th"], True) for c in closing],
-        f"x_id {sized.schema['doc_id'].dataType.simpleString()}, x_th bigint, closes boolean",
-    )
+        still = {}
+        for p in open_gaps:
+            # The nearest to the gap, by pattern: a bounded number, from each task as many at most.
+            near = free.filter(F.col(pattern) == F.array(*(F.lit(i) for i in p)) if p else F.size(pattern) == 0)
+            found = near.orderBy("off", "order", "doc_id", "th").select("doc_id", "th", "size").limit(ROUND).collect()
+            alike: dict[tuple, int] = {}
+            for r in found:
+                alike[r["doc_id"], r["th"]] = alike.get((r["doc_id"], r["th"]), 0) + r["size"]
+            gap, before = open_gaps[p], len(closing)
+            while alike:
+                k = min(alike, key=lambda k: abs(gap - alike[k]))
+                if abs(gap - alike[k]) >= abs(gap):
+                    break
+                gap -= alike.pop(k)
+                closing.append((*k, True))
+            if gap > 0 and len(closing) > before:
+                still[p] = gap
+        open_gaps = still
+    extra = spark.createDataFrame(closing, closes)
     chosen = F.col("chosen") | F.coalesce("closes", F.lit(False))
     return state.join(
-        F.broadcast(extra), F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("th") == F.col("x_th")), "left"
+        F.broadcast(extra), same("x_id", "x_th"), "left"
     ).select(
         "doc_id", "th", "size", "members", "sources", "source_size", "target",
         (F.col("size") * (F.col("whole") + chosen.cast("long"))).alias("taken"),

@@ -334,6 +334,26 @@ def test_mixing(docs):
     assert sum(t for _, t in target.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+@pytest.mark.parametrize("long", [0.1, 0.3, 0.6])
+@pytest.mark.parametrize("half", [0.5, 0.75])
+def test_one_long_document_leaves_no_gap_that_small_ones_can_fill(spark, long, half):
+    small = [(i, "w " * (5 + i % 11), "s") for i in range(400)]
+    words = sum(len(brute.words(t)) for _, t, _ in small)
+    giant = round(words * long / (1 - long))
+    frame = spark.createDataFrame([*small, (1000, "w " * giant, "s")], "doc_id bigint, text string, source string").cache()
+    for seed in (1, 2):
+        taken = sum(r["taken"] for r in mixing.mix(frame, total=half, seed=seed).collect())
+        want = round(half * (words + giant))
+        # Without the long one there may be too few words.
+        assert abs(taken - (want if giant <= want else min(want, words))) <= 15
+
+
+def test_outsize_documents_are_taken_where_the_others_are_too_few():
+    assert mixing.outsize([60], [0.9], 75, 40) == [True]
+    assert mixing.outsize([60], [0.1], 50, 40) == [False]
+    assert mixing.outsize([30], [0.9], 50, 70) == [False] and mixing.outsize([30], [0.1], 50, 70) == [True]
+
+
 def test_overlapping_sources_repeat_as_little_as_they_can():
     flow = mixing.route({(0,): 10, (0, 1): 10, (1,): 10}, [15, 25])
     assert sum(flow.values()) == 40 and sum(n for (_, s), n in flow.items() if s == 1) == 25
