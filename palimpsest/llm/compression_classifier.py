@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import texts
+from palimpsest.session import Workspace
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,7 @@ def fit(
         labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
         .filter("label in (0, 1)")
         .join(present, "id", "left_semi")
+        .distinct()
         .withColumn("order", F.sha2(F.concat(F.lit(bounds.seed), F.col("id").cast("string")), 256))
     )
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -146,15 +148,22 @@ def fit(
     sample = reduce(
         DataFrame.union, (marked.filter(F.col("label") == k).orderBy("order", "id").limit(limit) for k in (0, 1))
     )
-    found = (
+    # Repeated rows of an id are one; with several texts of an id, too, no more rows than ids may come.
+    several = Workspace(docs.sparkSession).written(
         docs.select(F.col(id_column).alias("id"), F.substring(F.col(text_column), 1, bounds.sample_chars).alias("text"))
         .join(F.broadcast(sample), "id")
-        .select("order", "label", "text")
-        .collect()
+        .withColumn("th", F.xxhash64("text"))
+        .dropDuplicates(["label", "id", "th"])
+        .select("order", "label", "text", "th")
     )
+    found = [
+        (r["order"], r["label"], r["text"])
+        for k in (0, 1)
+        for r in several.filter((F.col("label") == k) & (F.length("text") > 0)).orderBy("order", "th").limit(limit).collect()
+    ]
     kinds: dict[int, tuple[list[str], list[str]]] = {}
     for label in (0, 1):
-        own = list(dict.fromkeys(r["text"] for r in sorted(found) if r["label"] == label and r["text"]))
+        own = list(dict.fromkeys(text for _, k, text in sorted(found) if k == label))
         half = (len(own) + 1) // 2
         kinds[label] = (own[:half], own[half:])
     good, bad = (_dictionary(kinds[label][0][: bounds.dictionary_texts], bounds) for label in (1, 0))

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from palimpsest.llm import chosen_path, mixing, packing, repeats
 from palimpsest.llm.chosen_path import near_duplicates
-from palimpsest.llm.compression_classifier import fit, score
+from palimpsest.llm.compression_classifier import Fit, fit, score
 from palimpsest.llm.fm_index import drop_repeated_words
 from palimpsest.llm.fm_index import window_classes as fm_classes
 from palimpsest.llm.licenses import PHRASES, scan_licenses
@@ -378,6 +378,16 @@ def test_classifier_without_labels(corner):
     assert {r["score"] for r in score(frame, model).collect()} == {0.5}
 
 
+def test_classifier_takes_repeated_rows_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    bounds = Fit(dictionary_texts=10, calibration_texts=10)
+    once = fit(docs, labels, bounds=bounds)
+    assert len(once.good) > 8 and once.weights[0] != 0
+    fifty = spark.range(50).select()
+    assert fit(docs.crossJoin(spark.range(3).select()), labels.crossJoin(fifty), bounds=bounds) == once
+
+
 @pytest.mark.parametrize("f", [drop_repeated_words, drop_repeated_bytes, compare_neighbours, near_duplicates, scan_licenses, clean_lines, drop_repeated_chunks, mixing.mix, lambda d: pack(d, PATH)])
 def test_empty_table_null_id_and_repeated_rows(spark, f):
     schema = "doc_id bigint, text string, source string"
