@@ -84,6 +84,9 @@ class _Ids:
         self._tokenizer.encode_special_tokens = True
         merger = _merger(path)
         self._known = _Known(merger.encode_ordinary) if merger else None
+        self._whole = Tokenizer.from_file(path)
+        added = json.loads(open(path, encoding="utf-8").read()).get("added_tokens", [])
+        self._added = tuple(token["content"] for token in added)
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self._known is None:
@@ -93,6 +96,17 @@ class _Ids:
         return [b"".join(map(look_up, _segments(t))) if t else b"" for t in texts]
 
 
+    def with_added(self, texts: list[str]) -> list[bytes]:
+        """Ids with the file's added tokens, such as <|endoftext|>, as one id each.
+
+        Texts in which one stands go through the tokenizers library as it is by default.
+        """
+        stands = [self._known is None or any(token in t for token in self._added) for t in texts]
+        library = iter(self._whole.encode_batch_fast([t for t, s in zip(texts, stands) if s], add_special_tokens=False))
+        others = iter(self.of([t for t, s in zip(texts, stands) if not s]) if not all(stands) else [])
+        return [array("I", next(library).ids).tobytes() if s else next(others) for s in stands]
+
+
 def _merger(path: str):
     """A tiktoken encoding of the same vocabulary, or None if the file's rules are others."""
     import tiktoken
@@ -137,7 +151,7 @@ def tokenized_pieces(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, piece, start, length, crc, own = [], [], [], [], [], []
-                for row, data in enumerate(ids.of(part.column("text").to_pylist())):
+                for row, data in enumerate(ids.with_added(part.column("text").to_pylist())):
                     data += closing
                     n = len(data) // 4
                     lo, k = 0, 0

@@ -296,6 +296,16 @@ def test_packing(docs):
     assert len(placed) <= 1.06 * least + 2
 
 
+def test_added_tokens_in_texts_are_one_id(spark):
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "plain words.", "", "a <|endoftext|><|endoftext|>\nb", "<|endoftext"]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert 50256 in want[0]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pack(frame, PATH).collect()}
+    assert found == {i: (len(own), zlib.crc32(np.array(own, dtype="<u4").tobytes())) for i, own in enumerate(want)}
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_configurations_cover_the_histogram(histogram):
