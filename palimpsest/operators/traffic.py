@@ -33,13 +33,16 @@ PROVIDERS = {
 # End of fixed values.
 
 
-def detect_agent(header: Column, user_agent: Column) -> Column:
-    """The explicit header, else a known client, else the start of the user agent."""
+def detect_agent(header: Column, user_agent: Column, length: int = 40) -> Column:
+    """The explicit header, else a known client, else the user agent's first ``length`` characters.
+
+    Unknown clients that differ only after these are one agent; 40 is the reference's value.
+    """
     lower = F.lower(user_agent)
     known = F.when(F.coalesce(user_agent, F.lit("")) == "", F.lit("unknown"))
     for part, name in AGENT_SIGNATURES:
         known = known.when(F.contains(lower, F.lit(part)), F.lit(name))
-    named = known.otherwise(F.concat(F.lit("ua:"), F.substring(user_agent, 1, 40)))
+    named = known.otherwise(F.concat(F.lit("ua:"), F.substring(user_agent, 1, length)))
     return F.coalesce(F.nullif(header, F.lit("")), named)
 
 

@@ -156,6 +156,12 @@ def test_responses_use_their_own_mapping(spark):
     assert fuzzy["r1"] == "it is 10.0.0.2 or 10.0.0.2"
 
 
+def test_length_that_parts_unknown_clients(spark):
+    rows = spark.createDataFrame([("x" * 40 + "a",), ("x" * 40 + "b",)], "u string")
+    agents = lambda **more: {r[0] for r in rows.select(detect_agent(F.lit(None), F.col("u"), **more)).collect()}
+    assert agents() == {"ua:" + "x" * 40} and agents(length=50) == {"ua:" + "x" * 40 + c for c in "ab"}
+
+
 def test_agents_and_providers(spark):
     cases = [
         (None, "claude-code/1.0.28", "claude-code"), (None, "Hermes-Agent/0.19.0", "hermes"), ("", "aider 0.8.0", "aider"),
