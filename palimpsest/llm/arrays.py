@@ -12,6 +12,9 @@ PART = 1 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that separate terms: all ASCII but digits and letters.
+NO_TERM = np.ones(256, dtype=bool)
+NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -56,9 +59,11 @@ def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         row = end
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in ``data``, and for each text the index of its first word (and the end)."""
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     before = np.empty(len(data), dtype=bool)
@@ -75,6 +80,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def as_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices of ``data``, which do not overlap, as binary strings."""
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    kept = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64 bits for each word, the same for the same bytes."""
     n = len(data)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.chosen_path import near_duplicates
 from palimpsest.llm.compression_classifier import fit, held_out, score
 from palimpsest.llm.fm_index import drop_repeated_words
+from palimpsest.llm.lexical_search import rank_documents
 from palimpsest.llm.licenses import scan_licenses
 from palimpsest.llm.line_chunks import DIVISOR, FACTOR, MIN_LINES, drop_repeated_chunks
 from palimpsest.llm.line_rules import (
@@ -73,6 +74,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir)).drop("spans")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -194,11 +199,34 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM c LEFT JOIN n USING (doc_id)
 """
 
+_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+n AS (SELECT doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY doc_id, t),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, size),
+q AS (SELECT item_id, t, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM n, size),
+s AS (
+    SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_fingerprints, op3_suffix_array_dedup, op4_quality_classifier, op5_best_fit_packing,
-        op6_mixing, op7_line_dedup, op8_quality_rules, op9_near_dedup, op10_license_scan,
+        op6_mixing, op7_line_dedup, op8_quality_rules, op9_near_dedup, op10_license_scan, op13_lexical_search,
     )
 }
-ORACLES = {"op1_substring_dedup": _OP1, "op7_line_dedup": _OP7, "op8_quality_rules": _OP8, "op9_near_dedup": _OP9}
+ORACLES = {"op1_substring_dedup": _OP1, "op7_line_dedup": _OP7, "op8_quality_rules": _OP8, "op9_near_dedup": _OP9, "op13_lexical_search": _OP13}
