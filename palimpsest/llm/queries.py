@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.chosen_path import near_duplicates
 from palimpsest.llm.compression_classifier import fit, held_out, score
+from palimpsest.llm.conversations import damage, repair_conversations
 from palimpsest.llm.fm_index import drop_repeated_words
+from palimpsest.llm.language_id import fit as fit_languages
+from palimpsest.llm.language_id import held_out as held_out_language
+from palimpsest.llm.language_id import identify
 from palimpsest.llm.lexical_search import rank_documents
 from palimpsest.llm.licenses import scan_licenses
 from palimpsest.llm.line_chunks import DIVISOR, FACTOR, MIN_LINES, drop_repeated_chunks
@@ -22,6 +26,7 @@ from palimpsest.llm.packing import pack
 from palimpsest.llm.suffix_array import drop_repeated_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "byte_bpe_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +79,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir)).drop("spans")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_languages(docs.filter(~held_out_language()), public_tokenizers.path(PIECES))
+    return identify(docs, model).select("doc_id", held_out_language().alias("held_out"), "lang_pred", "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, gone, copies = damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair_conversations(turns, gone=gone, copies=copies)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -199,6 +215,84 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM c LEFT JOIN n USING (doc_id)
 """
 
+_OP12 = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+        ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)
+),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+),
+summed AS (
+    SELECT keyed.*, xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: xor(c // 256, steps[1 + xor(c, b) % 256])), 4294967295) % 20 AS damage
+    FROM keyed, crc
+),
+conv AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+damaged AS (
+    SELECT c, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE damage WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM summed JOIN conv ON summed.conv_id IS NOT DISTINCT FROM conv.conv_id WHERE damage <> 0
+),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS again,
+        regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last
+    FROM ordered
+),
+turns AS (
+    SELECT *, substr(role, 1, 1) AS initial,
+        CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM placed
+),
+inserted(s, k, st, lines) AS (
+    VALUES (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+        (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+        (2, 0, 2, []), (2, 1, 3, ['assistant:']), (3, 0, 3, []), (3, 1, 2, ['user:'])
+),
+edits(st, edit, initial, role, after, price) AS (
+    VALUES (0, 'K', 's', NULL, 1, 0), (0, 'K', 'u', NULL, 2, 0), (1, 'K', 'u', NULL, 2, 0), (2, 'K', 'a', NULL, 3, 0),
+        (3, 'K', 'u', NULL, 2, 0), (0, 'R', NULL, 'user', 2, 3), (1, 'R', NULL, 'user', 2, 3), (2, 'R', NULL, 'assistant', 3, 3),
+        (3, 'R', NULL, 'user', 2, 3), (0, 'D', NULL, NULL, 0, 4), (1, 'D', NULL, NULL, 1, 4), (2, 'D', NULL, NULL, 2, 4),
+        (3, 'D', NULL, NULL, 3, 4)
+),
+best AS (
+    SELECT c, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS p FROM conv
+    UNION ALL
+    SELECT b.c, b.i + 1, e.after, min({
+        'cost': b.p.cost + 3 * n.k + e.price + CASE WHEN t.fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END,
+        'audit': b.p.audit || repeat('I', n.k) || edit,
+        'lines': b.p.lines || n.lines || CASE WHEN edit = 'D' THEN [] ELSE [coalesce(e.role, t.role) || ':' || t.text] END})
+    FROM best b JOIN turns t ON t.c = b.c AND t.i = b.i + 1 JOIN inserted n ON n.s = b.s
+        JOIN edits e ON e.st = n.st AND (e.initial IS NULL OR e.initial = t.initial)
+            AND (edit = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+    GROUP BY b.c, b.i, e.after
+),
+counted AS (
+    SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) AS before FROM turns) GROUP BY c
+),
+ends AS (
+    SELECT b.c, min({'cost': b.p.cost + 3 * n.k, 'audit': b.p.audit || repeat('I', n.k), 'lines': b.p.lines || n.lines}) AS p
+    FROM best b LEFT JOIN counted USING (c) JOIN inserted n ON n.s = b.s AND n.st IN (0, 3)
+    WHERE b.i = coalesce(counted.n, 0) GROUP BY b.c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, p.cost::BIGINT AS cost, p.audit AS audit,
+    sha256(array_to_string(p.lines, chr(10))) AS repaired_sha256
+FROM conv JOIN ends USING (c) LEFT JOIN counted USING (c)
+"""
+
 _TERMS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
@@ -226,7 +320,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_fingerprints, op3_suffix_array_dedup, op4_quality_classifier, op5_best_fit_packing,
-        op6_mixing, op7_line_dedup, op8_quality_rules, op9_near_dedup, op10_license_scan, op13_lexical_search,
+        op6_mixing, op7_line_dedup, op8_quality_rules, op9_near_dedup, op10_license_scan, op11_language_id,
+        op12_conversation_repair, op13_lexical_search,
     )
 }
-ORACLES = {"op1_substring_dedup": _OP1, "op7_line_dedup": _OP7, "op8_quality_rules": _OP8, "op9_near_dedup": _OP9, "op13_lexical_search": _OP13}
+ORACLES = {
+    "op1_substring_dedup": _OP1, "op7_line_dedup": _OP7, "op8_quality_rules": _OP8, "op9_near_dedup": _OP9,
+    "op12_conversation_repair": _OP12, "op13_lexical_search": _OP13,
+}
