@@ -129,7 +129,8 @@ def _capture_span(body: str) -> tuple[int, int]:
         elif c == "[":
             in_class = True
         elif c == "(":
-            if body[i + 1:i + 2] != "?" and start < 0:
+            captures = body[i + 1:i + 2] != "?" or re.match(r"\?P?<[A-Za-z]", body[i + 1:i + 5])
+            if captures and start < 0:
                 start, open_depth = i, depth
             depth += 1
         elif c == ")":
@@ -258,6 +259,26 @@ def glob_body(glob: str) -> str | None:
         return None
 
 
+def split_braces(glob: str, most: int) -> list[str]:
+    """The globs without braces that a glob with braces stands for; the glob itself if there are more
+    than ``most`` or its braces are malformed."""
+    done, waiting = [], [glob]
+    while waiting:
+        one = waiting.pop(0)
+        at = next((m.start() for m in re.finditer(r"\\.|\[[^\]]*\]|\{", one, re.S) if m.group() == "{"), -1)
+        if at < 0:
+            done.append(one)
+            continue
+        try:
+            options, end = _glob_braces(one, at)
+        except ValueError:
+            return [glob]
+        waiting += [one[:at] + o + one[end:] for o in options]
+        if len(done) + len(waiting) > most:
+            return [glob]
+    return done
+
+
 def globs_to_java(globs: list[str]) -> str | None:
     """One anchored Java regex for "any of these globs matches", None if none can."""
     bodies = [b for b in map(glob_body, globs) if b is not None]

@@ -35,3 +35,21 @@ def token_number(tok: Column) -> Column:
 def tokens_in(text: Column) -> Column:
     """All well-formed tokens of a text, in order, repeats kept."""
     return F.regexp_extract_all(text, F.lit(TOKEN_REGEX), F.lit(0))
+
+
+# A token or one of the spellings that are restored as well; longer numbers are never handed out.
+_SPELLED = r"TG[:_]([A-Z]+)[:_]([0-9]{1,9})(?![0-9])"
+RESERVED = "array<struct<category:string,n:int>>"
+
+
+def reserved_numbers(text: Column) -> Column:
+    """``array<struct<category, n>>``: what in a text looks like a token before it has any."""
+    categories, numbers = (F.regexp_extract_all(text, F.lit(_SPELLED), F.lit(g)) for g in (1, 2))
+    pair = F.zip_with(categories, numbers, lambda c, n: F.struct(c.alias("category"), n.cast("int").alias("n")))
+    return F.when(F.contains(text, F.lit("TG")), pair).otherwise(F.array().cast(RESERVED))
+
+
+def last_reserved(reserved: Column, category: Column) -> Column:
+    """The largest number that is taken in a category, or 0: new tokens are numbered after it."""
+    own = F.filter(reserved, lambda r: r["category"] == category)
+    return F.coalesce(F.array_max(F.transform(own, lambda r: r["n"])), F.lit(0))

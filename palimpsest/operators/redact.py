@@ -2,7 +2,9 @@
 
 Every enabled pattern is applied in catalog order to the text as rewritten so
 far.  Each distinct value of a scope gets one token ``[TG:CATEGORY:N]``; a value
-seen before keeps its token, whatever pattern finds it again.
+seen before keeps its token, whatever pattern finds it again.  Numbers start at 1, or
+after the largest that the scope's texts have in that category already, as a token or
+in a spelling that is restored as well: what only looks like a token is never restored.
 
 For one pattern, a single ``regexp_replace`` puts marks around all matches, one
 ``split`` at the marks separates text from values, and array functions allocate
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.dialect import split_on_group, to_java
 from palimpsest.functions.expr import let, no_strings, with_lookup
 from palimpsest.functions.patterns import Pattern, default_patterns
-from palimpsest.functions.tokens import token
+from palimpsest.functions.tokens import RESERVED, last_reserved, reserved_numbers, token
 
 # A private-use character stands on both sides of a match while a text is being
 # rewritten, so a split at it gives text, value, text, ..., text.  Texts that have
@@ -129,14 +131,15 @@ def _unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_ESC)), plain).otherwise(text)
 
 
-def _step(state: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
+def _step(state: Column, number: Column, patterns: Sequence[Pattern], reserved: Column) -> Column:
     name = F.element_at(F.array(*(F.lit(p.name) for p in patterns)), number)
     category = F.element_at(F.array(*(F.lit(p.category) for p in patterns)), number)
 
     def rewritten(pieces: Column) -> Column:
         # a group that took part with nothing in it is neither replaced nor counted
         found = F.filter(pieces, lambda x, i: (i % 2 == 1) & (x != ""))
-        used = F.size(F.filter(state["tokens"], lambda t: F.startswith(t, F.concat(F.lit("[TG:"), category, F.lit(":")))))
+        own = F.filter(state["tokens"], lambda t: F.startswith(t, F.concat(F.lit("[TG:"), category, F.lit(":"))))
+        used = F.size(own) + last_reserved(reserved, category)
 
         def assembled(fresh: Column) -> Column:
             values = F.concat(state["values"], fresh)
@@ -173,7 +176,9 @@ def _step(state: Column, number: Column, patterns: Sequence[Pattern]) -> Column:
     )
 
 
-def _fold(text: Column, which: Column, values: Column, tokens: Column, patterns: Sequence[Pattern]) -> Column:
+def _fold(
+    text: Column, which: Column, values: Column, tokens: Column, patterns: Sequence[Pattern], reserved: Column
+) -> Column:
     start = F.struct(
         text.alias("text"),
         values.alias("values"),
@@ -182,7 +187,7 @@ def _fold(text: Column, which: Column, values: Column, tokens: Column, patterns:
     )
     if not patterns:
         return start
-    return F.aggregate(which, start, lambda state, number: _step(state, number, patterns))
+    return F.aggregate(which, start, lambda state, number: _step(state, number, patterns, reserved))
 
 
 def redact(text: Column | str, patterns: Sequence[Pattern] | None = None) -> Column:
@@ -195,12 +200,15 @@ def redact(text: Column | str, patterns: Sequence[Pattern] | None = None) -> Col
     """
     text = F.col(text) if isinstance(text, str) else text
     patterns = default_patterns() if patterns is None else list(patterns)
-    untouched = _fold(text, F.array().cast("array<int>"), no_strings(), no_strings(), [])
+    untouched = _fold(text, F.array().cast("array<int>"), no_strings(), no_strings(), [], F.array())
     return let(
         candidates(text, patterns),
         lambda which: F.when(F.size(which) == 0, untouched).otherwise(
             let(
-                _fold(_escape(text), which, no_strings(), no_strings(), patterns),
+                let(
+                    reserved_numbers(text),
+                    lambda reserved: _fold(_escape(text), which, no_strings(), no_strings(), patterns, reserved),
+                ),
                 lambda state: F.struct(
                     _unescape(state["text"]).alias("text"),
                     F.transform(state["values"], _unescape).alias("values"),
@@ -225,10 +233,10 @@ def redact_all(texts: Column, active: Column, patterns: Sequence[Pattern] | None
         F.array().cast(f"array<struct<text:string,matches:{MATCH_STRUCT}>>").alias("parts"),
     )
 
-    def add(scope: Column, item: Column) -> Column:
+    def add(scope: Column, item: Column, reserved: Column) -> Column:
         text = item["text"]
         which = F.when(item["active"], candidates(text, patterns)).otherwise(F.array().cast("array<int>"))
-        folded = _fold(_escape(text), which, scope["values"], scope["tokens"], patterns)
+        folded = _fold(_escape(text), which, scope["values"], scope["tokens"], patterns, reserved)
         return let(
             folded,
             lambda state: F.struct(
@@ -242,14 +250,19 @@ def redact_all(texts: Column, active: Column, patterns: Sequence[Pattern] | None
         )
 
     items = F.zip_with(texts, active, lambda t, a: F.struct(t.alias("text"), a.alias("active")))
-    return F.aggregate(
-        items,
-        start,
-        add,
-        lambda scope: F.struct(
-            F.transform(scope["values"], _unescape).alias("values"),
-            scope["tokens"].alias("tokens"),
-            scope["parts"].alias("parts"),
+    shaped = F.exists(texts, lambda t: F.coalesce(F.contains(t, F.lit("TG")), F.lit(False)))
+    taken = F.when(shaped, reserved_numbers(F.array_join(texts, "\n"))).otherwise(F.array().cast(RESERVED))
+    return let(
+        taken,
+        lambda reserved: F.aggregate(
+            items,
+            start,
+            lambda scope, item: add(scope, item, reserved),
+            lambda scope: F.struct(
+                F.transform(scope["values"], _unescape).alias("values"),
+                scope["tokens"].alias("tokens"),
+                scope["parts"].alias("parts"),
+            ),
         ),
     )
 

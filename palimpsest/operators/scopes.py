@@ -7,7 +7,8 @@ then exchanged for the scope's.  Texts are looked through once, and only rows wi
 hits take part in a shuffle.
 
 The result is what redacting the scope's rows one after the other gives: numbers
-follow the first appearance by row, then by pattern, then by position.
+follow the first appearance by row, then by pattern, then by position.  They start after
+the largest that any of the scope's texts has in the category already.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.patterns import Pattern
-from palimpsest.functions.tokens import has_token, token, token_category
+from palimpsest.functions.tokens import has_token, reserved_numbers, token, token_category
 from palimpsest.operators.redact import redact
 from palimpsest.operators.restore import restore, restore_exact
 from palimpsest.operators.stored import part_of
@@ -41,7 +42,14 @@ def _row_values(local: DataFrame, scope: str, order: str) -> DataFrame:
     )
 
 
-def _numbered(row_values: DataFrame, scope: str, order: str) -> DataFrame:
+def _taken(rows: DataFrame, scope: str, text: str) -> DataFrame:
+    """``(scope, category, taken)``: the largest number of a category that a scope's texts have before they are redacted."""
+    numbers = rows.filter(F.contains(F.col(text), F.lit("TG"))).select(scope, F.explode(reserved_numbers(F.col(text))).alias("r"))
+    largest = numbers.groupBy(scope, F.col("r.category").alias("category")).agg(F.max("r.n").alias("taken"))
+    return largest.select(F.col(scope).alias("taken_of"), F.col("category").alias("taken_category"), "taken")
+
+
+def _numbered(row_values: DataFrame, scope: str, order: str, taken: DataFrame) -> DataFrame:
     """``(scope, plain, token, parts)``: every distinct value of a scope with its token
     and the parts its rows are in."""
     firsts = (
@@ -65,7 +73,9 @@ def _numbered(row_values: DataFrame, scope: str, order: str) -> DataFrame:
     offsets = (
         firsts.groupBy(*group, "stretch")
         .agg(F.count("*").alias("n"))
-        .select(*group, "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        .select(*group, "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        .join(taken, F.col(scope).eqNullSafe(F.col("taken_of")) & (F.col("category") == F.col("taken_category")), "left")
+        .select(*group, "stretch", (F.col("before") + F.coalesce("taken", F.lit(0))).alias("offset"))
     )
     within = Window.partitionBy(*group, "stretch").orderBy("at", "idx")
     return (
@@ -96,7 +106,7 @@ def redact_scopes(
     local = space.written(df.select("*", redact(text, patterns).alias("r")))
     hits = local.filter(F.size("r.tokens") > 0)
     row_values = space.written(_row_values(hits, scope, order))
-    numbered = space.written(_numbered(row_values, scope, order))
+    numbered = space.written(_numbered(row_values, scope, order, _taken(local, scope, text)))
 
     # A value may be in very many rows of a scope: these are dealt out to parts, and the
     # token goes to the parts where its value occurs.

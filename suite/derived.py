@@ -119,3 +119,48 @@ AUDIT_COLUMNS = {
     "approved": "false",
     "notes": "CASE WHEN event_type = 'error' THEN 'blocked by rule: defaults' END",
 }
+
+
+def encoded_text(base64) -> str:
+    """One text per event with a value in an encoded form, one of nine; ``base64`` is an engine's function of a text."""
+    email, ip = f"('user' || {_U} || '@example.com')", "('203.0.113.' || CAST(user_id % 250 AS STRING))"
+    dotted = lambda code: f"replace({ip}, '.', '{code}')"
+    return f"""'event ' || CAST(event_id AS STRING) || ': ' || CASE event_id % 9
+ WHEN 0 THEN {base64(f"'mail ' || {email}")}
+ WHEN 1 THEN lower(hex({email}))
+ WHEN 2 THEN 'id=' || replace({email}, '@', '%40') || '&x=1'
+ WHEN 3 THEN {dotted('&#x2e;')} || ' and ' || {dotted('&#46;')}
+ WHEN 4 THEN {base64(f"lower(hex({email}))")}
+ WHEN 5 THEN {email} || ' or ' || {base64(f"'to: ' || {email}")}
+ WHEN 6 THEN {base64("'nothing to see here, event ' || event_type")}
+ WHEN 7 THEN 'x=' || {base64(f"'at ' || replace({ip}, '.', '%2E')")}
+ ELSE {ip} END || ' end'"""
+
+
+# The same texts after redaction: each form is replaced as a whole.
+ENCODED_REDACTED = """'event ' || CAST(event_id AS STRING) || ': ' || CASE event_id % 9
+ WHEN 0 THEN '[TG:EMAIL:1]' WHEN 1 THEN '[TG:EMAIL:1]' WHEN 2 THEN 'id=[TG:EMAIL:1]&x=1' WHEN 3 THEN '[TG:IP:1] and [TG:IP:2]'
+ WHEN 4 THEN '[TG:EMAIL:1]' WHEN 5 THEN '[TG:EMAIL:1] or [TG:EMAIL:2]' WHEN 6 THEN {nothing} WHEN 7 THEN 'x=[TG:IP:1]'
+ ELSE '[TG:IP:1]' END || ' end'"""
+
+# Logs that already have in them what looks like a token, or like a spelling of one.
+SHAPED_LOG = f"""{EVENT_LOG} || ' see [TG:IP:2], TG_EMAIL_1 and "TG:TOKEN:3" or [TG:HOST:' || CAST(event_id % 7 AS STRING) || ']'"""
+
+# Many rules: one path rule per event, with globs of six forms, and one path per event that some of them match.
+MANY_PATTERN = f"""CASE event_id % 6
+ WHEN 0 THEN '/srv/u' || {_U} || '/d' || CAST(event_id % 97 AS STRING) || '/**'
+ WHEN 1 THEN '**/key' || CAST(event_id % 997 AS STRING) || '.pem'
+ WHEN 2 THEN '/data/*/f' || CAST(event_id % 89 AS STRING) || '.log'
+ WHEN 3 THEN '**/*-' || {_U} || '.csv'
+ WHEN 4 THEN '/etc/app' || CAST(event_id % 1009 AS STRING) || '/conf'
+ ELSE '**/tmp' || CAST(event_id % 503 AS STRING) || '/**' END"""
+MANY_TIER = "(event_id % 3) + 1"
+MANY_LAYER = "(event_id % 4) + 1"
+MANY_PATH = f"""CASE event_id % 7
+ WHEN 0 THEN '/srv/u' || {_U} || '/d' || CAST(event_id % 97 AS STRING) || '/x/y' || CAST(event_id % 5 AS STRING)
+ WHEN 1 THEN '/home/u' || {_U} || '/key' || CAST(event_id % 499 AS STRING) || '.pem'
+ WHEN 2 THEN '/data/s' || {_U} || '/f' || CAST(event_id % 89 AS STRING) || '.log'
+ WHEN 3 THEN '/out/r' || CAST(event_id % 13 AS STRING) || '-' || {_U} || '.csv'
+ WHEN 4 THEN '/etc/app' || CAST(event_id % 2003 AS STRING) || '/conf'
+ WHEN 5 THEN '/var/tmp' || CAST(event_id % 701 AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/z' ELSE '' END
+ ELSE '/data/a/b/f' || CAST(event_id % 89 AS STRING) || '.log' END"""

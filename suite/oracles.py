@@ -12,6 +12,8 @@ import re
 from palimpsest.functions.patterns import (
     CATALOG,
     Pattern,
+    all_patterns,
+    custom_pattern,
     default_patterns,
     patterns_for_toggles,
     patterns_named,
@@ -19,7 +21,7 @@ from palimpsest.functions.patterns import (
 from palimpsest.operators.rules import RuleSet
 from palimpsest.plans.presets import load_rules
 from suite import derived
-from suite.queries import HOME, PROJECT_CONFIG, STRUCTURE, TOGGLES, USER_CONFIG
+from suite.queries import CUSTOM, HOME, PROJECT_CONFIG, STRUCTURE, TOGGLES, USER_CONFIG
 
 _MARK = chr(0xE000)
 
@@ -34,7 +36,7 @@ def _lit(text: str) -> str:
 def _three_groups(p: Pattern) -> str:
     """``head(value)tail`` as ``(head)(value)(tail)`` for the structure patterns."""
     flags, body = re.match(r"^(\(\?[a-z]+\))?(.*)$", p.regex, re.S).groups()
-    start = re.search(r"(?<!\\)\((?!\?)", body).start()
+    start = re.search(r"(?<!\\)\((?!\?(?!P<))", body).start()
     end = body.index(")", start) + 1
     return f"{flags or ''}({body[:start]}){body[start:end]}({body[end:]})"
 
@@ -75,8 +77,8 @@ def _masked(text: str, patterns) -> str:
     return text
 
 
-def _fold(source: str, key: str, text: str, patterns) -> str:
-    """CTEs that end in ``folded(key, source text, t, mv, mt, pn, pc)``."""
+def _fold(source: str, key: str, text: str, patterns, shaped: bool = False) -> str:
+    """CTEs that end in ``folded(key, source text, t, mv, mt, pn, pc)``; ``shaped`` if the texts have token-shaped parts."""
     ctes = [
         f"s0 AS (SELECT {key}, {text} AS original, {text} AS t, []::VARCHAR[] AS mv, []::VARCHAR[] AS mt, "
         f"[]::VARCHAR[] AS pn, []::INT[] AS pc FROM {source})"
@@ -84,11 +86,13 @@ def _fold(source: str, key: str, text: str, patterns) -> str:
     for k, p in enumerate(patterns, 1):
         rest = f"{key}, original, mv, mt, pn, pc"
         head = f"[TG:{p.category}:"
+        spelled = f"regexp_extract_all(original, 'TG[:_]{p.category}[:_]([0-9]{{1,9}})(?:[^0-9]|$)', 1)::INT[]"
+        taken = f" + coalesce(list_max({spelled}), 0)" if shaped else ""
         ctes += [
             f"m{k} AS (SELECT {rest}, string_split({_replace('t', p, _MARK, True, _MARK)}, {_lit(_MARK)}) AS pcs FROM s{k - 1})",
             f"f{k} AS (SELECT *, list_filter(pcs, lambda x, i: i % 2 = 0) AS v FROM m{k})",
             f"n{k} AS (SELECT *, list_filter(v, lambda x, i: list_position(v, x) = i AND NOT list_contains(mv, x)) AS fr, "
-            f"len(list_filter(mt, lambda y: starts_with(y, {_lit(head)}))) AS used FROM f{k})",
+            f"len(list_filter(mt, lambda y: starts_with(y, {_lit(head)}))){taken} AS used FROM f{k})",
             f"a{k} AS (SELECT {key}, original, pcs, mv || fr AS mv, "
             f"mt || list_transform(fr, lambda x, i: {_lit(head)} || (used + i)::VARCHAR || ']') AS mt, "
             f"CASE WHEN len(v) > 0 THEN pn || [{_lit(p.name)}] ELSE pn END AS pn, "
@@ -446,3 +450,41 @@ ORACLES["chunk_restore_fuzzy"] = (
     ORACLES["restore_fuzzy_spellings"].replace("SELECT event_id, array_to_string", "SELECT event_id::VARCHAR AS response_id, array_to_string")
     + " WHERE len(mt) > 0"
 )
+
+ORACLES["redact_custom_patterns"] = _fold(LOGS, "event_id", "text", [custom_pattern(*p) for p in CUSTOM]) + _texts("event_id")
+_CODED = derived.encoded_text(lambda x: f"to_base64(encode({x}))")
+ORACLES["redact_encoded"] = f"""SELECT event_id, {derived.ENCODED_REDACTED.format(nothing="to_base64(encode('nothing to see here, event ' || event_type))")} AS redacted,
+ CASE event_id % 9 WHEN 3 THEN 2 WHEN 6 THEN 0 WHEN 8 THEN 0 ELSE 1 END AS encoded, CASE event_id % 9 WHEN 3 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 0 ELSE 1 END AS values,
+ len({_CODED}) > 0 AS same FROM events"""
+_SHAPED = f"(SELECT event_id, {derived.SHAPED_LOG} AS text FROM events)"
+ORACLES["roundtrip_token_shaped"] = (
+    _fold(_SHAPED, "event_id", "text", all_patterns()[::2], shaped=True)
+    + "SELECT event_id, t AS once, original AS text, 0::INT AS clashes FROM folded"
+)
+ORACLES["stream_conversation_scope"] = ORACLES["redact_conversation_scope"]
+ORACLES["stream_scope_mapping"] = ORACLES["conversation_scope_mapping"]
+ORACLES["stream_chunk_late_mapping"] = ORACLES["stream_chunk_restore"]
+ORACLES["stream_chunk_broken_off"] = _fold(_TURNS, "conv_id, turn", "text", ALL) + f""", ends AS (
+ SELECT conv_id, turn, original, '203.0.113.' || turn::VARCHAR AS v, mt[list_position(mv, '203.0.113.' || turn::VARCHAR)] AS token FROM folded)
+SELECT {derived.REQUEST_ID} AS response_id, substr(original, 1, len(original) - len(v)) || substr(token, 1, len(token) - 3) AS text FROM ends"""
+
+# Each form of glob is a test of its own on the parts of a path.
+ORACLES["classify_many_rules"] = f"""WITH r AS (SELECT {derived.MANY_LAYER} AS layer, event_id AS ord, {derived.MANY_PATTERN} AS p, {derived.MANY_TIER} AS tier,
+ 'rule ' || event_id::VARCHAR AS source, event_id % 6 AS form FROM events),
+r1 AS (SELECT *, CASE form WHEN 0 THEN substr(p, 1, len(p) - 3) WHEN 1 THEN substr(p, 4) WHEN 2 THEN substr(p, 9) WHEN 3 THEN substr(p, 5) WHEN 4 THEN p
+ ELSE substr(p, 4, len(p) - 6) END AS part FROM r),
+r2 AS (SELECT layer, form, part, max({{'ord': ord, 'tier': tier, 'source': source}}) AS best FROM r1 GROUP BY ALL),
+paths AS (SELECT DISTINCT {derived.MANY_PATH} AS path FROM events),
+s AS (SELECT path, string_split(path, '/') AS seg FROM paths),
+part AS (
+ SELECT path, 0 AS form, array_to_string(seg[1:unnest(range(1, len(seg) + 1))], '/') AS part FROM s
+ UNION SELECT path, 1, seg[-1] FROM s
+ UNION SELECT path, 2, seg[-1] FROM s WHERE len(seg) = 4 AND seg[2] = 'data'
+ UNION SELECT path, 3, substr(seg[-1], unnest(range(1, len(seg[-1]) + 1))) FROM s
+ UNION SELECT path, 4, path FROM s
+ UNION SELECT path, 5, unnest(seg) FROM s),
+hit AS (SELECT path, layer, max(best) AS b FROM part JOIN r2 USING (form, part) GROUP BY path, layer),
+wide AS (SELECT path, max(b) FILTER (layer = 1) AS a, max(b) FILTER (layer = 2) AS b, max(b) FILTER (layer = 3) AS c, max(b) FILTER (layer = 4) AS d
+ FROM hit GROUP BY path),
+v AS (SELECT path, coalesce(d, c, CASE WHEN a.tier = 3 THEN a ELSE coalesce(b, a) END) AS v FROM wide)
+SELECT path, coalesce(v.tier, 0)::INT AS tier, coalesce(v.source, 'default') AS source FROM paths LEFT JOIN v USING (path)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -21,8 +22,10 @@ from palimpsest.functions.paths import extract_paths
 from palimpsest.functions.tiers import tier_name
 from palimpsest.operators import audit as audit_ops
 from palimpsest.operators import detect, report, traffic
+from palimpsest.operators.encoded import redact_encoded as redact_encoded_forms
 from palimpsest.operators.redact import mask, match_total, redact
 from palimpsest.operators.requests import parse_blocks
+from palimpsest.operators.rule_index import classify_many
 from palimpsest.operators.restore import restore, restore_event_line, restore_exact, restore_fuzzy, unresolved_tokens
 from palimpsest.operators.rules import (
     Config,
@@ -41,6 +44,8 @@ from palimpsest.sources.audit_store import AuditStore, split_rotation
 from palimpsest.sources.requests import malformed_count, read_requests
 from palimpsest.sources.text import read_texts, spread, write_text_files
 from palimpsest.streaming import chunks as chunk_ops
+from palimpsest.streaming import responses as response_ops
+from palimpsest.streaming import scopes as scope_ops
 from palimpsest.streaming import streams
 from suite import derived
 
@@ -198,6 +203,49 @@ def redact_custom_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted_texts(redact_corpus(customers, "text", ["c_custkey"], patterns), ["c_custkey"])
 
 
+#: Patterns that a user may add: classes by name, groups with and without a name, flags, anchors, repeats.
+CUSTOM = (
+    ("request_ref", r"\b[[:digit:]]{4}[[:space:]][[:digit:]]{4}[[:space:]][[:digit:]]{4}\b", "REF", 0),
+    ("app_number", r"app\[(?P<number>[0-9]+)\]", "APP", 1),
+    ("event_kind", r"(?i)\]: (VIEW|click|Signup) from", "KIND", 1),
+    ("host_number", r"\bhost-(?P<n>\d{1,2})\b", "HOSTNO", 1),
+    ("last_line", r"(?m)^[a-z]+(?:[:=]|)[^\n]{0,12}\n\z", "LAST", 0),
+    ("colour_run", r"\b(?:[[:xdigit:]]{2}:){5}[[:xdigit:]]{2}\b", "HW", 0),
+    ("user_word", r"\b[Uu]ser\d+\b", "PERSON", 0),
+    ("bracketed", r"\([^()\n]{3}\)", "AREA", 0),
+    ("upper_word", r"\b[[:upper:]]{4,}\b", "UPPER", 0),
+    ("port", r":(\d{4})/", "PORT", 1),
+)
+
+
+def redact_custom_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = [custom_pattern(*p) for p in CUSTOM]
+    return redacted_texts(_redacted_logs(spark, sf_dir, patterns), ["event_id"])
+
+
+def redact_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in encoded forms: what is handed on, how many were encoded, and whether restoring gives the text back."""
+    text = derived.encoded_text(lambda x: f"base64({x})")
+    events = _texts(spark, sf_dir, "events").selectExpr("event_id", f"({text}) AS text")
+    done = redact_encoded_forms(events, "text", patterns_named(("email", "ipv4")), "r")
+    return done.select(
+        "event_id", F.col("r.text").alias("redacted"), F.col("r.encoded").alias("encoded"), F.size("r.tokens").alias("values"),
+        report.round_trips(F.col("text"), F.col("r")).alias("same"),
+    )
+
+
+def roundtrip_token_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with token-shaped texts, redacted twice, and restored step by step."""
+    logs = _texts(spark, sf_dir, "events").selectExpr("event_id", f"({derived.SHAPED_LOG}) AS text")
+    once = logs.select("event_id", redact("text", all_patterns()[::2]).alias("a"))
+    twice = once.select("event_id", "a", redact("a.text", all_patterns()).alias("b"))
+    back = twice.select("event_id", "a", "b", restore(F.col("b.text"), F.col("b.tokens"), F.col("b.values")).alias("once"))
+    clash = F.filter("b.tokens", lambda t: F.contains(F.col("a.text"), t))
+    return back.select(
+        "event_id", "once", restore(F.col("once"), F.col("a.tokens"), F.col("a.values")).alias("text"), F.size(clash).alias("clashes")
+    )
+
+
 def redact_conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = redact_scopes(_turns(spark, sf_dir), "conv_id", "turn", "text", patterns_named(("email", "ipv4")))
     return rows.select("conv_id", "turn", "redacted", match_total(F.col("matches")).alias("matches"))
@@ -292,6 +340,17 @@ def classify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classification_report(_doc_paths(spark, sf_dir), "path", load_rules("server", home=HOME))
 
 
+def classify_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table with a row for every event, against a path for every event."""
+    events = _table(spark, sf_dir, "events")
+    rules = events.selectExpr(
+        "'path' AS kind", "'' AS agent", f"{derived.MANY_LAYER} AS layer", "event_id AS ord", f"{derived.MANY_PATTERN} AS pattern",
+        f"{derived.MANY_TIER} AS tier", "'rule ' || CAST(event_id AS STRING) AS source",
+    )
+    paths = events.selectExpr(f"{derived.MANY_PATH} AS path")
+    return classify_many(paths, "path", rules, HOME)
+
+
 def classify_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = load_rules("server", project=PROJECT_CONFIG, home=HOME)
     commands = _table(spark, sf_dir, "events").selectExpr("event_id", f"({derived.EVENT_COMMAND}) AS command")
@@ -705,6 +764,61 @@ def chunk_restore_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(chunk_ops.restore_chunks(chunk_ops.realign(chunks), mapping))
 
 
+def _streamed_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that arrive in four pieces, with a new run after each second one."""
+    folder = working_folder(spark)
+    turns = written(_turns(spark, sf_dir))
+    for i, piece in enumerate(("turn < 2", "turn BETWEEN 2 AND 3", "turn BETWEEN 4 AND 5", "turn > 5")):
+        turns.filter(piece).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if i % 2:
+            stream = streams.stream_table(spark, f"{folder}/in", turns.schema, files_per_batch=1)
+            rows = scope_ops.redact_scopes_stream(stream, "conv_id", "turn", "text", patterns_named(("email", "ipv4")))
+            scope_ops.run_scopes(rows, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def stream_conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed_scopes(spark, sf_dir).select("conv_id", "turn", "redacted", match_total(F.col("matches")).alias("matches"))
+
+
+def stream_scope_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope_ops.stream_mapping(_streamed_scopes(spark, sf_dir), "conv_id")
+
+
+def _responses(spark: SparkSession, pieces: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Chunks and mappings that arrive piece by piece, with a run after each; the last run comes an hour later."""
+    folder = working_folder(spark)
+    start = dt.datetime(2024, 1, 1)
+    stream = functools.partial(streams.stream_table, spark, files_per_batch=2)
+    spark.createDataFrame([], response_ops.CLOCK).write.parquet(f"{folder}/clock")
+    for i, (chunks, mappings) in enumerate(pieces):
+        at = start + dt.timedelta(seconds=i)
+        for name, rows in (("chunks", chunks), ("mappings", mappings)):
+            rows.withColumn("at", F.lit(at).cast("timestamp")).write.mode("append").parquet(f"{folder}/{name}")
+        restored = response_ops.restore_responses_stream(
+            stream(f"{folder}/chunks", response_ops.CHUNKS), stream(f"{folder}/mappings", response_ops.MAPPINGS),
+            stream(f"{folder}/clock", response_ops.CLOCK), restorer=restore,
+        )
+        strike = at + dt.timedelta(hours=1) if i == len(pieces) - 1 else at
+        response_ops.run_responses(restored, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/clock", strike)
+    return _whole(spark.read.schema("response_id string, seq bigint, text string").parquet(f"{folder}/out"))
+
+
+def stream_chunk_late_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other mapping comes when half of its response's chunks have passed."""
+    redacted, mapping = _redacted_turns(spark, sf_dir)
+    chunks = written(_chunks(redacted))
+    early = F.pmod(F.xxhash64("request_id"), F.lit(2)) == 0
+    return _responses(spark, [(chunks.filter("seq < 5"), mapping.filter(early)), (chunks.filter("seq >= 5"), mapping.filter(~early))])
+
+
+def stream_chunk_broken_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No response ends: each breaks off within its last token."""
+    redacted, mapping = _redacted_turns(spark, sf_dir)
+    cut = redacted.withColumn("redacted", F.col("redacted").withField("text", F.expr("substr(redacted.text, 1, length(redacted.text) - 3)")))
+    return _responses(spark, [(_chunks(cut).withColumn("is_last", F.lit(False)), mapping)])
+
+
 def stream_audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark)
     store = AuditStore(spark, f"{folder}/store")
@@ -730,6 +844,9 @@ QUERIES: dict[str, Query] = {
     "redact_toggles": redact_toggles,
     "structure_patterns": structure_patterns,
     "redact_custom_pattern": redact_custom_pattern,
+    "redact_custom_patterns": redact_custom_patterns,
+    "redact_encoded": redact_encoded,
+    "roundtrip_token_shaped": roundtrip_token_shaped,
     "redact_conversation_scope": redact_conversation_scope,
     "conversation_scope_mapping": conversation_scope_mapping,
     "corpus_summary": corpus_summary,
@@ -747,6 +864,7 @@ QUERIES: dict[str, Query] = {
     "classify_path_layers": classify_path_layers,
     "classify_agent_override": classify_agent_override,
     "classify_report": classify_report,
+    "classify_many_rules": classify_many_rules,
     "classify_commands": classify_commands,
     "extract_paths": extract_text_paths,
     "escalate_block_tier": escalate_block_tier,
@@ -789,4 +907,8 @@ QUERIES: dict[str, Query] = {
     "chunk_restore_irregular": chunk_restore_irregular,
     "chunk_restore_fuzzy": chunk_restore_fuzzy,
     "stream_audit_tail": stream_audit_tail,
+    "stream_conversation_scope": stream_conversation_scope,
+    "stream_scope_mapping": stream_scope_mapping,
+    "stream_chunk_late_mapping": stream_chunk_late_mapping,
+    "stream_chunk_broken_off": stream_chunk_broken_off,
 }
