@@ -241,7 +241,7 @@ def fit(
     spark = docs.sparkSession
     parts = 1 << 20
     # At most one row for each language.
-    wanted = F.broadcast(spark.createDataFrame([(x, min(parts, -(-8 * parts * bounds.documents // n))) for x, n in sizes.items()], "lang string, part bigint"))
+    wanted = F.broadcast(spark.createDataFrame([(x, min(parts, -(-2 * parts * bounds.documents // n))) for x, n in sizes.items()], "lang string, part bigint"))
     some = rows.withColumn("h", F.xxhash64("text")).join(wanted, "lang").filter(F.pmod("h", F.lit(parts)) < F.col("part"))
     one = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
