@@ -15,7 +15,7 @@ from palimpsest.llm.language_id import held_out as held_out_language
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.lexical_search import rank_documents
 from palimpsest.llm.licenses import scan_licenses
-from palimpsest.llm.line_chunks import DIVISOR, FACTOR, MIN_LINES, drop_repeated_chunks
+from palimpsest.llm.line_chunks import CHUNKINGS, LOOK, drop_repeated_chunks
 from palimpsest.llm.line_rules import (
     _NAVIGATION_MARK, _NAVIGATION_SIGNS, _SENTENCE_END, _SHOUTED, BOILERPLATE, MAX_ENTRIES, MAX_FURNITURE, MAX_REPEATED,
     MIN_KEPT, MIN_WORDS, NAVIGATION_WORDS, SYMBOLS, _any_of, clean_lines,
@@ -123,33 +123,28 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM d),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-r AS (
-    SELECT *, h + {FACTOR} * coalesce(lag(h, 1) OVER o, 0) + {FACTOR**2} * coalesce(lag(h, 2) OVER o, 0) AS r
-    FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+w AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, ('0x' || substr(md5(line), 1, 8))::BIGINT % {2**CHUNKINGS} AS bits
+    FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
-c AS (
-    SELECT *, coalesce(sum((r % {DIVISOR} = 0)::INT) OVER (
-        PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-    FROM r
-),
-chunks AS (
-    SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines
-    FROM c GROUP BY doc_id, chunk
-    HAVING count(*) > 1 AND sum(regexp_matches(line, '[^\x20\x09-\x0D]')::INT) >= {MIN_LINES}
+spans AS (
+    SELECT a.doc_id, a.i AS first, min(b.i) AS last
+    FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p + 1 AND a.p + {LOOK} AND (a.bits & b.bits) <> 0
+    GROUP BY a.doc_id, a.i
 ),
+chunks AS (SELECT doc_id, first, last, array_to_string(ls[first + 1:last + 1], chr(10)) AS body FROM spans JOIN d USING (doc_id)),
 later AS (
-    SELECT doc_id, chunk, lines
-    FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) AS k FROM chunks) WHERE k > 1
-),
-kept AS (
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM c ANTI JOIN later USING (doc_id, chunk) GROUP BY doc_id
+    SELECT doc_id, first, last
+    FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS k FROM chunks) WHERE k > 1
 ),
-gone AS (SELECT doc_id, sum(lines) AS lines, count(*) AS chunks FROM later GROUP BY doc_id)
+lines AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN lines USING (doc_id, i) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS lines FROM lines GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS chunks FROM later GROUP BY doc_id)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone.lines, 0)::BIGINT AS n_removed_lines,
-    coalesce(gone.chunks, 0)::BIGINT AS n_removed_chunks, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+    coalesce(cut.chunks, 0)::BIGINT AS n_removed_chunks, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 _ENTRIES = rf"^\W*{_any_of(NAVIGATION_WORDS)}(\W+{_any_of(NAVIGATION_WORDS)})*\W*$"

@@ -219,54 +219,64 @@ def test_line_rules(docs):
         assert r["kept"] == (not r["base_failed"] and 2 * len(brute.words(r["cleaned"])) >= len(w))
 
 
-def test_chunks_that_stand_earlier(docs):
-    frame, rows = docs
-    seen = set()
-    for r, (_, text) in zip(_by_id(drop_repeated_chunks(frame, carry=("source",))), rows, strict=True):
-        lines = (text or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        chunks, own = [], []
-        for i, line in enumerate(lines):
-            own.append(line)
-            rolling = sum(31**k * h[i - k] for k in range(3) if i >= k)
-            if rolling % 4 == 0 or i == len(lines) - 1:
-                chunks.append(own)
-                own = []
-        left, removed = [], 0
-        for c in chunks:
-            if len(c) > 1 and sum(bool(brute.words(x)) for x in c) > 1 and tuple(c) in seen:
-                removed += 1
-            else:
-                left += c
-                seen.add(tuple(c))
-        assert (r["text"], r["n_removed_chunks"], r["n_lines"]) == ("\n".join(left), removed, len(lines))
+def _line_chunks(text):
+    """First and last line of the shortest chunk from each line with a word on."""
+    lines = (text or "").split("\n")
+    at = [i for i, x in enumerate(lines) if brute.words(x)]
+    bits = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) & 0xFFFF for i in at]
+    for j, i in enumerate(at):
+        ends = [k for k in range(j + 1, min(j + 9, len(at))) if bits[j] & bits[k]]
+        if ends:
+            yield i, at[ends[0]]
+
+
+def _block_rows():
+    """Blocks of 2 to 9 lines that stand in several documents, among lines of their own."""
+    block = [[f"block {k} line {i} says so." for i in range(2 + k % 8)] for k in range(40)]
+    return [
+        (20_000 + j, "\n".join([f"before {j}.", *block[j % 40][:1], "", *block[j % 40][1:], f"after {j}."])) for j in range(80)
+    ]
 
 
-def test_pairs_of_lines_that_stand_earlier(spark, docs):
-    """A block of any length from two lines on goes whole, whatever stands around it."""
+def test_chunks_that_stand_earlier(spark, docs):
     frame, rows = docs
-    block = [[f"block {k} line {i} says so." for i in range(2 + k)] for k in range(8)]
-    own = [(20_000 + j, "\n".join([f"before {j}.", *block[j % 8][:1], "", *block[j % 8][1:], f"after {j}."])) for j in range(16)]
+    own = _block_rows()
     both = frame.select("doc_id", "text", "source").union(
         spark.createDataFrame([(*r, "s") for r in own], "doc_id bigint, text string, source string")
     )
-    seen = set()
-    found = _by_id(drop_repeated_chunks(both, carry=("source",), every_pair=True))
-    for r, (_, text) in zip(found, [*rows, *own], strict=True):
+    seen, pairs, found, repeated = set(), set(), 0, 0
+    for r, (_, text) in zip(_by_id(drop_repeated_chunks(both, carry=("source",))), [*rows, *own], strict=True):
         lines = (text or "").split("\n")
-        at = [i for i, x in enumerate(lines) if brute.words(x)]
         gone, removed = set(), 0
-        for lo, hi in zip(at, at[1:]):
-            pair = tuple(lines[lo : hi + 1])
-            if pair in seen:
-                gone.update(range(lo, hi + 1))
+        for first, last in _line_chunks(text):
+            body = tuple(lines[first : last + 1])
+            if body in seen:
+                gone.update(range(first, last + 1))
                 removed += 1
-            seen.add(pair)
+            seen.add(body)
         left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        assert (r["text"], r["n_removed_lines"], r["n_removed_chunks"]) == (left, len(gone), removed)
-    assert [r["text"] for r in found[-8:]] == [f"before {j}.\nafter {j}." for j in range(8, 16)]
-    stage = corpus_pipeline.line_dedup(spark, both.selectExpr("doc_id", "text", "'en' AS lang", "source", "0L AS n_chars"), "")
-    assert {r["doc_id"]: r["text"] for r in stage.collect()}[20_015] == "before 15.\nafter 15."
+        assert (r["text"], r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"]) == (left, len(lines), len(gone), removed)
+        # All runs of two or more lines that stand earlier, whatever the chunks are.
+        at = [i for i, x in enumerate(lines) if brute.words(x)]
+        runs = set()
+        for lo, hi in zip(at, at[1:]):
+            pair = tuple(lines[lo : hi + 1])
+            if pair in pairs:
+                runs.update(range(lo, hi + 1))
+            pairs.add(pair)
+        assert gone <= runs
+        repeated += len(runs)
+        found += len(gone)
+    assert found >= 0.95 * repeated > 0
+
+
+def test_line_dedup_of_many_lines_and_one_text(spark):
+    """Twenty thousand repeated lines in one document; a line everywhere; a document that repeats itself."""
+    many = "\n".join(f"line {i} of many." for i in range(20_000))
+    rows = [(1, many), (2, many), (3, "x y.\n" * 50 + "end."), *((10 + i, f"own {i}.\ncommon a.\ncommon b.") for i in range(300))]
+    found = _by_id(drop_repeated_chunks(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert found[0]["n_removed_lines"] == 0 and found[1]["n_removed_lines"] >= 19_900 and found[2]["n_removed_lines"] >= 48
+    assert len({r["text"] for r in found[4:]}) == 299 and all(r["n_removed_lines"] in (0, 2) for r in found[3:])
 
 
 def test_packing(docs):
@@ -437,7 +447,7 @@ def test_pipeline(spark, sf_dir):
             known = [(i, q) for i, q in labels.items()]
             assert np.mean([(i in kept) == q for i, q in known]) > 0.9
         if name == "near dedup":
-            component, _ = brute.components([(r["doc_id"], r["text"]) for r in old])
+            component, _ = brute.components([(r["doc_id"], r["text"]) for r in old], percent=80, n=5)
             assert sorted(r["doc_id"] for r in new) == sorted({c for c in component.values()})
         if name == "mixing":
             assert Counter(r["doc_id"] for r in new).most_common(1)[0][1] <= 2
