@@ -5,6 +5,11 @@ minwise tokens of its set: similar sets choose the same token with the probabili
 their similarity.  A node with few documents is compared exhaustively; a node with
 more is branched by further tokens.  Sketches pick the documents of a node worth
 comparing, and full sets decide.
+
+A node that is large to the last holds documents that are nearly alike, as a rule one mass of
+them.  It is dealt into blocks that share some pivots, each of which is compared exhaustively, so the
+mass becomes one component in time that grows with its size; then only what is not of the
+node's largest component is compared with all of the node.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import bounds, groups, lower_ascii, mix, text_parts, word_hashes, words_of
@@ -33,8 +38,10 @@ LEVELS = (1, 3, 6)
 #: So often, at most, a pair of the similarity asked for is missed in all trees if its nodes
 #: are small only after the last level.  At 85 % that takes 12 trees, at 80 % it takes 19.
 MISSED = 0.0035
-#: Documents in a node that is compared; larger ones at the last level are compared block by block.
+#: Documents in a node that is compared; larger ones at the last level are dealt into blocks of so many.
 NODE = 1000
+#: Documents of a large node that all of its blocks have.
+PIVOTS = 16
 
 
 @dataclass(frozen=True)
@@ -145,12 +152,12 @@ def _signatures(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _worth_comparing(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of every cell the documents with a partner whose sketch agrees, unless an earlier tree has the pair."""
+    """Of every cell the documents with a partner in another part whose sketch agrees, unless an earlier tree has the pair."""
 
     def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             edges = bounds(table, ["cell"])
-            n = table.column("n").to_numpy()
+            n, parts = table.column("n").to_numpy(), table.column("part").to_numpy()
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, like.draws)
             leaves = table.column("leaves").combine_chunks().flatten().to_numpy().reshape(-1, like.trees)
             trees = table.column("tree").to_numpy()
@@ -158,20 +165,20 @@ def _worth_comparing(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Ite
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo < 2:
                     continue
-                own, sizes, leaf, tree = sketches[lo:hi], n[lo:hi], leaves[lo:hi], int(trees[lo])
+                own, sizes, leaf, part, tree = sketches[lo:hi], n[lo:hi], leaves[lo:hi], parts[lo:hi], int(trees[lo])
                 for i in range(hi - lo - 1):
                     rest = slice(i + 1, hi - lo)
-                    ratio = 100 * np.minimum(sizes[rest], sizes[i]) >= like.percent * np.maximum(sizes[rest], sizes[i])
-                    if not ratio.any():
-                        continue
-                    alike = ratio & ((own[rest] == own[i]).sum(axis=1) >= like.agree)
-                    if tree and alike.any():
-                        met = (leaf[rest, :tree] == leaf[i, :tree]) & (leaf[i, :tree] != 0)
-                        alike &= ~met.any(axis=1)
-                    if alike.any():
+                    may = part[rest] != part[i]
+                    may &= 100 * np.minimum(sizes[rest], sizes[i]) >= like.percent * np.maximum(sizes[rest], sizes[i])
+                    other = i + 1 + np.flatnonzero(may)
+                    other = other[(own[other] == own[i]).sum(axis=1) >= like.agree]
+                    if tree and len(other):
+                        met = (leaf[other, :tree] == leaf[i, :tree]) & (leaf[i, :tree] != 0)
+                        other = other[~met.any(axis=1)]
+                    if len(other):
                         keep[lo + i] = True
-                        keep[lo + i + 1 + np.flatnonzero(alike)] = True
-            chosen = table.select(["cell", "doc_id"]).filter(pa.array(keep))
+                        keep[lo + other] = True
+            chosen = table.select(["cell", "doc_id", "part"]).filter(pa.array(keep))
             yield from chosen.combine_chunks().to_batches()
 
         return groups(batches, ["cell"], work)
@@ -196,9 +203,10 @@ def _as_rows(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     [
                         pa.array(cell, pa.int64()),
                         batch.column("doc_id").take(pa.array([first + i for i in row], pa.int64())),
-                        pa.array([data[i] for i in row], pa.binary()),
+                        batch.column("part").take(pa.array([first + i for i in row], pa.int64())),
+                        pa.array([data[i] for i in row], pa.large_binary()),
                     ],
-                    names=["cell", "doc_id", "tokens"],
+                    names=["cell", "doc_id", "part", "tokens"],
                 )
 
     return work
@@ -213,7 +221,7 @@ def _links(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             edges = bounds(table, ["cell"])
-            tokens, ids = table.column("tokens"), table.column("doc_id").combine_chunks()
+            tokens, ids, parts = table.column("tokens"), table.column("doc_id").combine_chunks(), table.column("part").to_numpy()
             a: list[int] = []
             b: list[int] = []
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -224,7 +232,7 @@ def _links(like: Likeness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 sizes = np.array([len(x) for x in own])
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 every, local = np.unique(np.concatenate(own), return_inverse=True)
-                part = np.arange(k)
+                part = np.unique(parts[lo:hi], return_inverse=True)[1]
                 mark = np.zeros(len(every), dtype=np.int64)
                 for i in range(k - 1):
                     other = part[i + 1 :] != part[i]
@@ -258,7 +266,8 @@ def _leaves(reps: DataFrame, space: Workspace) -> DataFrame:
         here = rows.filter(F.col("at") % width == level).select("doc_id", F.floor(F.col("at") / width).cast("int").alias("tree"), "key")
         if level:
             here = here.join(open_, ["doc_id", "tree"], "left_semi")
-        size = here.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        # Written, so that a hot node can be split in the join.
+        size = space.written(here.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
         sized = space.written(here.join(size, "key"))
         small = sized if level == width - 1 else sized.filter(F.col("size") <= NODE)
         found = small if found is None else found.union(small)
@@ -266,6 +275,51 @@ def _leaves(reps: DataFrame, space: Workspace) -> DataFrame:
     return found.select("doc_id", "tree", "key", "size")
 
 
+def _block(h: Column, size: Column) -> Column:
+    return F.pmod(h, F.ceil(size / NODE)).cast("int")
+
+
+def _blocks(large: DataFrame, space: Workspace) -> DataFrame:
+    """(doc_id, tree, cell): blocks of large nodes, with the node's pivots in each.
+
+    A document is in a block of the first tree in which its node is large; the others are looked at
+    where components are left apart.
+    """
+    first = large.groupBy("doc_id").agg(F.min(F.struct("tree", "key", "size", "h")).alias("f")).select("doc_id", "f.*")
+    first = space.written(first)
+    # The least hash of each of so many parts: one row a node and part, whatever its size.
+    part = F.pmod(F.xxhash64("h"), F.lit(PIVOTS)).alias("p")
+    pivots = (
+        first.groupBy("tree", "key", "size", part)
+        .agg(F.min_by("doc_id", "h").alias("doc_id"))
+        .select("doc_id", "tree", "key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / NODE).cast("int") - 1)).alias("block"))
+    )
+    dealt = first.select("doc_id", "tree", "key", _block(F.col("h"), F.col("size")).alias("block"))
+    return dealt.unionByName(pivots).distinct().select("doc_id", "tree", F.xxhash64("tree", "key", "block").alias("cell"))
+
+
+def _rest(large: DataFrame, first: DataFrame, space: Workspace) -> DataFrame:
+    """(doc_id, tree, cell, part): what is not of a large node's largest component, beside every block of the node."""
+    node = ["tree", "key"]
+    known = first.select(F.col("id").alias("doc_id"), "component")
+    placed = space.written(
+        large.join(known, "doc_id", "left").withColumn("part", F.xxhash64(F.coalesce("component", "doc_id"))).drop("component")
+    )
+    counts = placed.groupBy(*node, "part").agg(F.count("*").alias("c"))
+    mass = space.written(
+        counts.groupBy(*node).agg(F.max_by("part", F.struct("c", "part")).alias("mass"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    )
+    dealt = placed.join(mass, node)
+    others = F.ceil(F.col("others") / NODE).cast("int")
+    blocks = F.ceil(F.col("size") / NODE).cast("int")
+    block = _block(F.col("h"), F.col("size"))
+    cell = F.xxhash64(*node, "i", "j").alias("cell")
+    every = dealt.select("doc_id", *node, "part", F.explode(F.sequence(F.lit(0), others - 1)).alias("i"), block.alias("j"))
+    own = F.pmod(F.xxhash64("h"), others).cast("int")
+    beside = dealt.filter("part <> mass").select("doc_id", *node, "part", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    return every.unionByName(beside).distinct().select("doc_id", "tree", cell, "part")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -276,7 +330,7 @@ def near_duplicates(
     Equal sets are one class from the start, found by grouping 128 bits of the set, so
     thousands of copies cost no comparison.  The signature table has a few hundred
     bytes a document; sets travel only for documents with a likely partner, as a rule
-    once.  A cell is never larger than two blocks of ``NODE`` documents, and emits
+    once.  A cell is hardly larger than two blocks of ``NODE`` documents, and emits
     fewer links than it has documents.
 
     A null text or one without words has an empty set and is linked with nothing; a
@@ -300,44 +354,51 @@ def near_duplicates(
     reps = usable.join(classes.select(*whole, F.col("rep").alias("doc_id")), ["doc_id", *whole], "left_semi").dropDuplicates(["doc_id", *whole])
     reps = space.written(reps.select("doc_id", "n", "keys", "sketch"))
 
-    leaves = space.written(_leaves(reps, space))
+    leaves = space.written(_leaves(reps, space)).withColumn("tree", F.col("tree").cast("int"))
+    small = F.col("size") <= NODE
+    # A tree has compared a pair if its node was small.
     by_tree = F.map_from_entries(F.collect_set(F.struct("tree", "key")))
-    own = leaves.dropDuplicates(["doc_id", "tree"]).groupBy("doc_id").agg(by_tree.alias("m")).select(
-        "doc_id", F.transform(F.sequence(F.lit(0), F.lit(like.trees - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0).cast("long"))).alias("leaves")
+    met = leaves.filter(small).dropDuplicates(["doc_id", "tree"]).groupBy("doc_id").agg(by_tree.alias("m")).select(
+        "doc_id", F.transform(F.sequence(F.lit(0), F.lit(like.trees - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0).cast("long"))).alias("met")
     )
-    blocks = F.ceil(F.col("size") / NODE).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = (
-        leaves.withColumn("blocks", blocks)
-        .withColumn("block", block)
-        .select("doc_id", "tree", "key", "block", other.alias("other"))
-        .select(
-            "doc_id", "tree",
-            F.xxhash64("tree", "key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+    unmet = F.array_repeat(F.lit(0).cast("long"), like.trees)
+    payload = space.written(reps.join(met, "doc_id", "left").select("doc_id", "n", "sketch", F.coalesce("met", unmet).alias("leaves")))
+
+    def linked(cells: DataFrame) -> DataFrame:
+        """Links between documents of a cell (doc_id, tree, cell, part) whose parts differ."""
+        compared = (
+            cells.join(payload, "doc_id")
+            .repartition("cell")
+            .sortWithinPartitions("cell", "doc_id")
+            .select("cell", "tree", "doc_id", "part", "n", "sketch", "leaves")
+            .mapInArrow(_worth_comparing(like), f"cell bigint, doc_id {kind}, part bigint")
         )
-    )
-    payload = reps.join(own, "doc_id").select("doc_id", "n", "sketch", "leaves")
-    compared = (
-        cells.join(payload, "doc_id")
-        .repartition("cell")
-        .sortWithinPartitions("cell", "doc_id")
-        .select("cell", "tree", "doc_id", "n", "sketch", "leaves")
-        .mapInArrow(_worth_comparing(like), f"cell bigint, doc_id {kind}")
-    )
-    worth = space.written(compared.groupBy("doc_id").agg(F.collect_set("cell").alias("cells")))
-    links = (
-        plain.join(worth, "doc_id")
-        .mapInArrow(_as_rows(like), f"cell bigint, doc_id {kind}, tokens binary")
-        .repartition("cell")
-        .sortWithinPartitions("cell", "doc_id")
-        .mapInArrow(_links(like), f"a {kind}, b {kind}")
-    )
-    joined = components(links, space)
+        worth = space.written(compared.groupBy("doc_id").agg(F.collect_set("cell").alias("cells"), F.first("part").alias("part")))
+        return (
+            plain.join(worth, "doc_id")
+            .mapInArrow(_as_rows(like), f"cell bigint, doc_id {kind}, part bigint, tokens binary")
+            .repartition("cell")
+            .sortWithinPartitions("cell", "doc_id")
+            .mapInArrow(_links(like), f"a {kind}, b {kind}")
+        )
+
+    large = space.written(leaves.filter(~small).withColumn("h", F.xxhash64("doc_id", "tree", "key")))
+    alone = F.xxhash64("doc_id").alias("part")
+    cells = leaves.filter(small).select("doc_id", "tree", F.xxhash64("tree", "key").alias("cell"), alone)
+    some_large = not large.isEmpty()
+    if some_large:
+        cells = cells.unionByName(_blocks(large, space).select("doc_id", "tree", "cell", alone))
+    found = components(linked(cells), space)
+    if some_large:
+        first = space.written(found)
+        rest = _rest(large, first, space)
+        if not rest.isEmpty():
+            found = components(linked(rest).unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), space)
+    joined = found
     known = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n", F.coalesce("component", "rep").alias("component_id")
     )
-    alone = signed.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).select(
+    unlinked = signed.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return known.unionByName(unlinked).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )

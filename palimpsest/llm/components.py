@@ -20,7 +20,8 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("to").alias("id"), F.col("id").alias("to")))
-        least = both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("m"))
+        # Written, so that the links of a hub can be split in the join.
+        least = space.written(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("m")))
         large = both.join(least, "id").filter(F.col("to") > F.col("id")).select(F.col("to").alias("id"), F.col("m").alias("to"))
         large = large.filter(F.col("id") != F.col("to")).distinct()
         least = large.groupBy("id").agg(F.min("to").alias("m"))
