@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of two or more lines that stand earlier; a document of which no word is left goes."""
-    left = drop_repeated_chunks(docs, carry=("lang", "source"), every_pair=True)
+    """Texts without chunks of lines that stand earlier; a document of which no word is left goes."""
+    left = drop_repeated_chunks(docs, carry=("lang", "source"))
     worded = (F.col("n_removed_lines") == 0) | F.col("text").rlike(SEPARATORS.replace("[", "[^").rstrip("+"))
     return left.filter(worded).select(
         "doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("bigint").alias("n_chars")
@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every group of near-duplicates."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id")
+    """One document, that with the smallest id, of every group alike by 80 % of their shingles of five words."""
+    dropped = near_duplicates(docs, shingle=5, percent=80).filter("not kept").select("doc_id")
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
 
 
