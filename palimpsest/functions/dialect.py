@@ -149,6 +149,11 @@ def split_on_group(regex: str) -> str:
     return (f"(?{flags})" if flags else "") + f"({body[:start]}){body[start:end]}({body[end:]})"
 
 
+def python_form(regex: str) -> str:
+    """The regex for Python's parser, which looks at its structure only: the classes' names make no sense to it."""
+    return _POSIX_CLASS.sub("0", regex).replace(r"\z", r"\Z")
+
+
 def check_regex(regex: str, group: int) -> None:
     """Refuse what the tokenizer cannot give a meaning to."""
     if group not in (0, 1):
@@ -157,8 +162,7 @@ def check_regex(regex: str, group: int) -> None:
     named = re.search(r"\(\?P?<([A-Za-z0-9]*_\w*)>", regex)
     if named:
         raise ValueError(f"a group's name consists of letters and digits: {named.group(1)!r}")
-    # the classes' names make no sense to Python, which only looks at groups and empty matches
-    compiled = re.compile(_POSIX_CLASS.sub("0", regex).replace(r"\z", r"\Z"))
+    compiled = re.compile(python_form(regex))
     if group and compiled.groups != 1:
         raise ValueError("a group pattern needs exactly one capture group")
     if not group and compiled.match("") is not None:

@@ -44,6 +44,8 @@ class Pattern:
     word_left: bool = False
     word_right: bool = False
     java: str = ""
+    #: ``needs`` was read from the regex, and is all there is to know about what a match has.
+    own_literals: bool = False
 
 
 # A word boundary seen from inside a run of word characters and dashes.
@@ -278,6 +280,7 @@ def without_pattern(patterns: Sequence[Pattern], name: str) -> list[Pattern]:
 def custom_pattern(name: str, regex: str, category: str = "", group: int = 0) -> Pattern:
     """A user-supplied pattern (RE2 syntax) to append to any selection."""
     from palimpsest.functions.dialect import check_regex
+    from palimpsest.functions.literals import required_literals
 
     check_regex(regex, group)
     category = category or "REDACTED"
@@ -285,4 +288,4 @@ def custom_pattern(name: str, regex: str, category: str = "", group: int = 0) ->
         raise ValueError(f"a token category consists of capital letters A-Z: {category!r}")
     if len(category) > MAX_CATEGORY:
         raise ValueError(f"a token category has at most {MAX_CATEGORY} letters: {category!r}")
-    return replace(Pattern(name, regex), category=category, group=group)
+    return replace(Pattern(name, regex), category=category, group=group, needs=required_literals(regex), own_literals=True)

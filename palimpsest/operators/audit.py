@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.operators.restore import unresolved_tokens
+
 AUDIT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -134,3 +137,40 @@ def redaction_totals(audit: DataFrame, since: dt.datetime | None = None) -> Data
         .groupBy("pattern")
         .agg(F.sum("n").alias("matches"), F.count("*").alias("entries"))
     )
+
+
+#: What an entry about a token that no mapping has is called.
+UNRESOLVED = "unresolved_token"
+
+
+def unresolved_entries(
+    unresolved: DataFrame, scope: Sequence[str], agent: Column | str = "unknown", provider: Column | str = "unknown",
+    ts: Column | None = None,
+) -> DataFrame:
+    """Audit entries for tokens that could not be restored, one for each scope and token.
+
+    ``unresolved`` has the scope's columns, ``token`` and ``n``, as of :func:`palimpsest.operators.report.unresolved_rows`
+    or :func:`unresolved_of_rows`.  The id follows from scope and token, so an entry made twice is the same entry.
+    """
+    as_column = lambda c: F.lit(c) if isinstance(c, str) else c
+    # Lengths keep neighbouring values apart, a null is no value.
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in [*scope, "token"]]
+    return unresolved.select(
+        F.sha2(F.concat_ws("|", *parts), 256).alias("id"),
+        (F.lit(None).cast("timestamp") if ts is None else ts).alias("ts"),
+        as_column(agent).alias("agent"),
+        as_column(provider).alias("provider"),
+        F.lit(UNRESOLVED).alias("action"),
+        F.col("token").alias("target"),
+        F.lit("redacted").alias("tier"),
+        F.lit(None).cast("string").alias("redactions"),
+        F.lit(False).alias("approved"),
+        F.concat(F.col("n").cast("string"), F.lit(" left in place")).alias("notes"),
+    )
+
+
+def unresolved_of_rows(rows: DataFrame, scope: Sequence[str], text: str, tokens: str) -> DataFrame:
+    """``(scope, token, n)`` for texts that are a scope each, with the mapping's tokens beside them; no shuffle, also on streams."""
+    left = unresolved_tokens(F.col(text), F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+    counted = F.transform(F.array_distinct(left), lambda t: F.struct(t.alias("token"), F.size(F.filter(left, lambda x: x == t)).alias("n")))
+    return rows.select(*scope, F.explode_outer(counted).alias("u")).filter("u IS NOT NULL").select(*scope, "u.token", "u.n")

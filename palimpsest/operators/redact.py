@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dialect import split_on_group, to_java
 from palimpsest.functions.expr import let, no_strings, with_lookup
+from palimpsest.functions.literals import literal_trie, prefixes
 from palimpsest.functions.patterns import Pattern, default_patterns
 from palimpsest.functions.tokens import RESERVED, last_reserved, reserved_numbers, token
 
@@ -31,6 +32,8 @@ from palimpsest.functions.tokens import RESERVED, last_reserved, reserved_number
 # rewritten, so a split at it gives text, value, text, ..., text.  Texts that have
 # it already are escaped with a second one for the duration.
 _MARK, _ESC = "\ue000", "\ue001"
+# From so many patterns on that have required literals of their own, these are looked for together.
+TOGETHER = 16
 _ESCAPES = ((_ESC, _ESC + "\ue003"), (_MARK, _ESC + "\ue002"))
 
 MATCH_STRUCT = "array<struct<pattern:string,n:int>>"
@@ -82,12 +85,28 @@ def candidates(text: Column, patterns: Sequence[Pattern]) -> Column:
     """
     if not patterns:
         return F.array().cast("array<int>")
-    return with_shared_gates(
-        text,
-        lambda gates: F.array_compact(
-            F.array(*(F.when(can_match(text, gates, p), F.lit(i)) for i, p in enumerate(patterns, 1)))
-        ),
+    places = list(enumerate(patterns, 1))
+    together = [(i, p) for i, p in places if p.own_literals and p.needs]
+    if len(together) < TOGETHER:
+        together = []
+    alone = [(i, p) for i, p in places if (i, p) not in together]
+    tested = with_shared_gates(
+        text, lambda gates: F.array_compact(F.array(*(F.when(can_match(text, gates, p), F.lit(i)) for i, p in alone)))
     )
+    if not together:
+        return tested
+    return F.array_sort(F.concat(tested if alone else F.array().cast("array<int>"), _by_literal(text, together)))
+
+
+def _by_literal(text: Column, patterns: Sequence[tuple[int, Pattern]]) -> Column:
+    """Numbers of the patterns of which a required literal is in the text, which is gone through once."""
+    wanted: dict[str, set[int]] = {}
+    for literal, parts in prefixes(x for _, p in patterns for x in p.needs).items():
+        wanted[literal] = {i for i, p in patterns if set(parts) & set(p.needs)}
+    table = F.create_map(*(c for x, own in wanted.items() for c in (F.lit(x), F.array(*map(F.lit, sorted(own))))))
+    # Looking ahead, so that literals that overlap are all found.
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({literal_trie(wanted)}))"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.element_at(table, x))))
 
 
 def _choose(number: Column, options: Sequence[Column], first: int = 1) -> Column:

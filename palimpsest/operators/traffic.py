@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # User-agent substrings (lower case) in order of precedence, and the
@@ -67,3 +67,45 @@ def upstream_path(path: Column, query: Column) -> Column:
     """The path without its provider segment, with the query string kept."""
     rest = F.substr(path, F.length(resolve_provider(path)) + 2)
     return F.when(F.coalesce(query, F.lit("")) != "", F.concat(rest, F.lit("?"), query)).otherwise(rest)
+
+
+#: Registered keys that are handed to every task; more are exchanged by their hash.
+BROADCAST_KEYS = 1_000_000
+
+
+def key_hash(key: Column) -> Column:
+    """The fingerprint under which a key is registered; the key itself is stored nowhere."""
+    return F.sha2(key.cast("binary"), 256)
+
+
+def detect_agent_by_key(
+    requests: DataFrame,
+    keys: DataFrame,
+    header: str = "header",
+    key: str = "api_key",
+    user_agent: str = "user_agent",
+    most: int = BROADCAST_KEYS,
+) -> DataFrame:
+    """``requests`` with ``agent``: the header, else the owner of the key, else what the user agent says.
+
+    ``keys`` is ``(key_hash, agent_name, registered_at)``; of several names for a key the latest counts, then
+    the first by name.  Only requests without a header are looked up.  A table of at most ``most`` keys
+    goes to every task (64 characters and a name each); a larger one meets the distinct fingerprints in
+    question, so a key that many requests have is one row of that join.
+    """
+    named = F.coalesce(F.col(header), F.lit("")) != ""
+    asked = requests.withColumn("_hash", F.when(~named & (F.coalesce(F.col(key), F.lit("")) != ""), key_hash(F.col(key))))
+    latest = keys.filter("key_hash IS NOT NULL").groupBy("key_hash").agg(F.max("registered_at").alias("at"))
+    same = (F.col("k.key_hash") == F.col("l.key_hash")) & F.col("k.registered_at").eqNullSafe(F.col("l.at"))
+    owners = (
+        keys.alias("k").join(latest.alias("l"), same).groupBy("k.key_hash").agg(F.min("k.agent_name").alias("_owner"))
+        .select(F.col("key_hash").alias("_known"), "_owner")
+    )
+    if owners.limit(most + 1).count() <= most:
+        found = asked.join(F.broadcast(owners), F.col("_hash") == F.col("_known"), "left")
+    else:
+        few = asked.select(F.col("_hash").alias("_asked")).filter("_asked IS NOT NULL").distinct()
+        met = few.join(owners, F.col("_asked") == F.col("_known")).select("_known", "_owner")
+        found = asked.join(met, F.col("_hash") == F.col("_known"), "left")
+    agent = F.when(named, F.col(header)).otherwise(F.coalesce("_owner", detect_agent(F.lit(None).cast("string"), F.col(user_agent))))
+    return found.select(*requests.columns, agent.alias("agent"))

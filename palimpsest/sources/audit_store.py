@@ -72,9 +72,30 @@ class AuditStore:
         marker = context._jvm.org.apache.hadoop.fs.Path(f"{self._entries}/batch={batch}/_SUCCESS")
         return marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker)
 
-    def append(self, new: DataFrame) -> None:
-        """Add entries; one without a time stamp gets the moment of appending."""
-        self._write(new, uuid.uuid4().hex)
+    def append(self, new: DataFrame, once: str | None = None) -> None:
+        """Add entries; one without a time stamp gets the moment of appending.
+
+        An append with a name is done once: trying again replaces what a failed attempt left, and
+        does nothing if it was written whole.
+        """
+        name = uuid.uuid4().hex if once is None else f"once-{once}"
+        if once is None or not self._is_whole(name):
+            self._write(new, name)
+
+    def append_missing(self, new: DataFrame) -> None:
+        """Add the entries whose ``id`` the store does not have, each once.
+
+        For entries whose id follows from what they are about, so that a job may come over the same
+        data again.  Beside other writers of the same ids use a name.
+        """
+        first = new.dropDuplicates(["id"])
+        try:
+            known = self.spark.read.schema(STORED).parquet(self._entries).select(F.col("id").alias("known"))
+            first = first.join(known, F.col("id") == F.col("known"), "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        self._write(first, uuid.uuid4().hex)
 
     def append_stream(self, new: DataFrame, checkpoint: str) -> StreamingQuery:
         """Add the entries of a stream, each once, beside other writers.

@@ -36,7 +36,8 @@ DELAY = dt.timedelta(0)
 
 # A token, or a spelling of one that is restored as well.
 _SPELLED = r"TG[:_]([A-Z]+)[:_]([0-9]+)"
-_PIECES = "response_id string, seq bigint, text string, tokens array<string>, values array<string>"
+_PIECES = "response_id string, seq bigint, part int, text string, tokens array<string>, values array<string>"
+RESTORED = "response_id string, seq bigint, part int, text string"
 
 
 class _Restorer(StatefulProcessor):
@@ -69,10 +70,11 @@ class _Restorer(StatefulProcessor):
         tokens = sorted(found, key=lambda t: found[t][1])
         return tokens, [found[t][0] for t in tokens]
 
-    def _rows(self, key, pieces: list[tuple[int, str]], mapped: bool) -> pd.DataFrame:
+    def _rows(self, key, pieces: list[tuple[int, str]], mapped: bool, tail: tuple[int, str] = (0, "")) -> pd.DataFrame:
         known: dict = {}
-        rows = [(key[0], seq, text, *(self._entries(text, known) if mapped else ([], []))) for seq, text in pieces if text]
-        return pd.DataFrame(rows, columns=["response_id", "seq", "text", "tokens", "values"])
+        parts = [(seq, 0, text) for seq, text in pieces] + [(tail[0], 1, tail[1])]
+        rows = [(key[0], *p, *(self._entries(p[2], known) if mapped else ([], []))) for p in parts if p[2]]
+        return pd.DataFrame(rows, columns=["response_id", "seq", "part", "text", "tokens", "values"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
@@ -119,7 +121,7 @@ class _Restorer(StatefulProcessor):
             yield self._rows(key, [], False)
             return
         left = [(seq, text) for seq, text in self.waiting.get()] if self.waiting.exists() else []
-        out = self._rows(key, [*left, (last_seq, held)], mapped)
+        out = self._rows(key, left, mapped, (last_seq, held))
         for state in (self.waiting, self.mapping, self.open):
             state.clear()
         yield out
@@ -136,7 +138,10 @@ def restore_responses_stream(
     delay: dt.timedelta = DELAY,
     restorer: Callable = restore_fuzzy,
 ) -> DataFrame:
-    """Restored pieces ``(response_id, seq, text)`` of responses, from streams as in ``CHUNKS`` and ``MAPPINGS``.
+    """Restored pieces ``(response_id, seq, part, text)`` of responses, from streams as in ``CHUNKS`` and ``MAPPINGS``.
+
+    ``seq`` is that of the chunk that completed the piece; a tail that was held until its response fell
+    silent follows the last one, as its part 1.
 
     A mapping may come before, between or after the chunks of its response; pieces with tokens
     wait for it, others do not.  A second mapping of a response adds entries, of equal tokens the first
@@ -172,7 +177,7 @@ def restore_responses_stream(
     )
     text, tokens = F.col("text"), F.col("tokens")
     return pieces.select(
-        "response_id", "seq", F.when(F.size(tokens) > 0, restorer(text, tokens, F.col("values"))).otherwise(text).alias("text")
+        "response_id", "seq", "part", F.when(F.size(tokens) > 0, restorer(text, tokens, F.col("values"))).otherwise(text).alias("text")
     )
 
 

@@ -164,3 +164,14 @@ MANY_PATH = f"""CASE event_id % 7
  WHEN 4 THEN '/etc/app' || CAST(event_id % 2003 AS STRING) || '/conf'
  WHEN 5 THEN '/var/tmp' || CAST(event_id % 701 AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/z' ELSE '' END
  ELSE '/data/a/b/f' || CAST(event_id % 89 AS STRING) || '.log' END"""
+
+# One key per event, and one registered key per customer, some with a later owner.
+EVENT_KEY = "CASE WHEN event_id % 5 = 4 THEN '' ELSE 'sk-' || CAST(user_id AS STRING) END"
+KEY_COLUMNS = {
+    "api_key": "'sk-' || CAST(c_custkey % 211 AS STRING)",
+    "agent_name": "'agent-' || CAST(c_custkey % 13 AS STRING)",
+    "registered_at": "CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE CAST(c_custkey % 7 AS BIGINT) END",
+}
+
+# Filling after a text, so that texts with as many values differ in length.
+PADDING = "repeat(' and so on', CAST(user_id % 41 AS INT))"

@@ -488,3 +488,28 @@ wide AS (SELECT path, max(b) FILTER (layer = 1) AS a, max(b) FILTER (layer = 2)
  FROM hit GROUP BY path),
 v AS (SELECT path, coalesce(d, c, CASE WHEN a.tier = 3 THEN a ELSE coalesce(b, a) END) AS v FROM wide)
 SELECT path, coalesce(v.tier, 0)::INT AS tier, coalesce(v.source, 'default') AS source FROM paths LEFT JOIN v USING (path)"""
+
+_OWNED = "WITH k AS (SELECT " + ", ".join(f"({e}) AS {n}" for n, e in derived.KEY_COLUMNS.items()) + " FROM customer)"
+ORACLES["detect_agent_fingerprint"] = f"""{_OWNED},
+latest AS (SELECT api_key, max(registered_at) AS registered_at FROM k GROUP BY api_key),
+owners AS (SELECT sha256(k.api_key) AS h, min(agent_name) AS owner FROM k JOIN latest l
+ ON k.api_key = l.api_key AND k.registered_at IS NOT DISTINCT FROM l.registered_at GROUP BY 1),
+c AS (SELECT event_id, {derived.EVENT_HEADER} AS h, {derived.EVENT_USER_AGENT} AS u, lower({derived.EVENT_USER_AGENT}) AS l, {derived.EVENT_KEY} AS key FROM events)
+SELECT unnest(['small', 'large']) AS way, event_id, CASE WHEN c.h <> '' THEN c.h WHEN owner IS NOT NULL THEN owner WHEN u IS NULL OR u = '' THEN 'unknown'
+ WHEN contains(l, 'claude-code') THEN 'claude-code' WHEN contains(l, 'codex') THEN 'codex' WHEN contains(l, 'hermes') THEN 'hermes'
+ WHEN contains(l, 'cursor') THEN 'cursor' WHEN contains(l, 'aider') THEN 'aider' WHEN contains(l, 'gh copilot') THEN 'github-copilot'
+ WHEN contains(l, 'xai-cli') THEN 'grok-cli' ELSE 'ua:' || substr(u, 1, 40) END AS agent
+FROM c LEFT JOIN owners o ON key <> '' AND sha256(key) = o.h"""
+_ID = "sha256({0}len(event_id::VARCHAR)::VARCHAR || ':' || event_id::VARCHAR || '|' || len(token)::VARCHAR || ':' || token)"
+ORACLES["audit_unresolved"] = LOG_FOLD + rf""", found AS (SELECT event_id, unnest(regexp_extract_all(t, '\[TG:[A-Z]+:[0-9]+\]')) AS token FROM folded),
+n AS (SELECT event_id, token, count(*) AS n FROM found GROUP BY ALL)
+SELECT {_ID.format("")} AS id, 'agent-1' AS agent, 'unresolved_token' AS action, token AS target, n::VARCHAR || ' left in place' AS notes FROM n WHERE token LIKE '%1]'
+UNION ALL SELECT {_ID.format("'6:stream|' || ")}, 'unknown', 'unresolved_token', token, n::VARCHAR || ' left in place' FROM n WHERE token LIKE '%2]'"""
+# How many values each form has is known; quantiles go by rank, without a sketch.
+ORACLES["bypass_risk"] = f"""WITH t AS (SELECT event_id, event_type AS source, ({_CODED}) || {derived.PADDING} AS text,
+ CASE event_id % 9 WHEN 3 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 0 ELSE 1 END AS matches,
+ CASE event_id % 9 WHEN 3 THEN 2 WHEN 6 THEN 0 WHEN 8 THEN 0 ELSE 1 END AS encoded FROM events),
+d AS (SELECT event_id, source, matches, encoded, round(matches * 1000 / len(text), 6) AS density FROM t),
+u AS (SELECT source, min(density) AS usual FROM (SELECT *, cume_dist() OVER (PARTITION BY source ORDER BY density) AS c FROM d) WHERE c >= 0.9 GROUP BY source)
+SELECT event_id, source, density, matches, encoded, CASE WHEN matches >= 2 AND density > usual THEN CASE WHEN encoded > 0 THEN 'manual_review_recommended'
+ ELSE 'high_redaction_density' END WHEN encoded > 0 THEN 'encoding_detected' ELSE 'none' END AS bypass_risk FROM d JOIN u USING (source)"""

@@ -21,7 +21,7 @@ from palimpsest.functions.patterns import (
 from palimpsest.functions.paths import extract_paths
 from palimpsest.functions.tiers import tier_name
 from palimpsest.operators import audit as audit_ops
-from palimpsest.operators import detect, report, traffic
+from palimpsest.operators import detect, report, risk, traffic
 from palimpsest.operators.encoded import redact_encoded as redact_encoded_forms
 from palimpsest.operators.redact import mask, match_total, redact
 from palimpsest.operators.requests import parse_blocks
@@ -370,6 +370,20 @@ def escalate_block_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", "turn", content_tier(F.col("content"), rules).alias("tier"))
 
 
+def bypass_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of any length with encoded values, by kind of event; what is unusual is learned from all of them."""
+    text = derived.encoded_text(lambda x: f"base64({x})")
+    events = _texts(spark, sf_dir, "events").selectExpr("event_id", "event_type AS source", f"({text}) || {derived.PADDING} AS text")
+    done = redact_encoded_forms(events, "text", patterns_named(("email", "ipv4")), "r")
+    rows = written(
+        done.select(
+            "event_id", "source", risk.density(F.col("text"), F.col("r.matches")).alias("density"),
+            match_total(F.col("r.matches")).alias("matches"), F.col("r.encoded").alias("encoded"),
+        )
+    )
+    return risk.bypass_risk(rows, risk.usual_density(rows, quantile=0.9), least=2)
+
+
 # --- requests ---
 
 
@@ -380,6 +394,18 @@ def detect_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clients.groupBy(traffic.detect_agent(F.col("header"), F.col("user_agent")).alias("agent")).agg(F.count("*").alias("n"))
 
 
+def detect_agent_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the keys of customers, against all registered keys: handed to every task, and exchanged by hash."""
+    events = _table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"({derived.EVENT_HEADER}) AS header", f"({derived.EVENT_USER_AGENT}) AS user_agent", f"({derived.EVENT_KEY}) AS api_key"
+    )
+    customers = _table(spark, sf_dir, "customer").selectExpr(*_columns(derived.KEY_COLUMNS))
+    keys = customers.select(traffic.key_hash(F.col("api_key")).alias("key_hash"), "agent_name", "registered_at")
+    small = traffic.detect_agent_by_key(events, keys).withColumn("way", F.lit("small"))
+    large = traffic.detect_agent_by_key(events, keys, most=0).withColumn("way", F.lit("large"))
+    return small.unionByName(large).select("way", "event_id", "agent")
+
+
 def resolve_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _table(spark, sf_dir, "events").selectExpr(
         "event_id", f"({derived.EVENT_PATH}) AS path", f"({derived.EVENT_QUERY}) AS query"
@@ -581,6 +607,29 @@ def unresolved_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audit ---
 
 
+def audit_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that a mapping has lost, as audit entries: each once, whatever is tried again.
+
+    The batch job appends under a name and is tried again; then it comes over the same data without
+    one; a stream of the same texts, whose mapping lacks other tokens, appends in two runs.
+    """
+    folder, store = _stamped_store(spark)
+    logs = written(_redacted_logs(spark, sf_dir))
+    texts = logs.select("event_id", F.col("redacted.text").alias("text"))
+    mapping = report.mapping_rows(logs, ["event_id"]).filter("token NOT LIKE '%1]'")
+    left = audit_ops.unresolved_entries(report.unresolved_rows(texts, ["event_id"], "text", mapping), ["event_id"], "agent-1")
+    store.append(left, once="job")
+    store.append(left, once="job")
+    store.append_missing(left)
+    known = F.filter("redacted.tokens", lambda t: ~F.endswith(t, F.lit("2]")))
+    rows = logs.select(F.lit("stream").alias("job"), "event_id", F.col("redacted.text").alias("text"), known.alias("tokens"))
+    for half in (0, 1):
+        rows.filter(f"event_id % 2 = {half}").write.mode("append").parquet(f"{folder}/in")
+        stream = audit_ops.unresolved_of_rows(streams.stream_table(spark, f"{folder}/in", rows.schema), ["job", "event_id"], "text", "tokens")
+        store.append_stream(audit_ops.unresolved_entries(stream, ["job", "event_id"]), f"{folder}/checkpoint").awaitTermination()
+    return store.read().select("id", "agent", "action", "target", "notes")
+
+
 def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_ops.recent(_audit(spark, sf_dir), limit=500).drop("ts")
 
@@ -719,7 +768,8 @@ def _redacted_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def _whole(restored: DataFrame) -> DataFrame:
     """The pieces of each response put together again, to compare with its original."""
-    pieces = restored.groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    order = [c for c in ("seq", "part", "text") if c in restored.columns]
+    pieces = restored.groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("p"))
     return pieces.select("response_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
 
@@ -801,7 +851,7 @@ def _responses(spark: SparkSession, pieces: list[tuple[DataFrame, DataFrame]]) -
         )
         strike = at + dt.timedelta(hours=1) if i == len(pieces) - 1 else at
         response_ops.run_responses(restored, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/clock", strike)
-    return _whole(spark.read.schema("response_id string, seq bigint, text string").parquet(f"{folder}/out"))
+    return _whole(spark.read.schema(response_ops.RESTORED).parquet(f"{folder}/out"))
 
 
 def stream_chunk_late_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -869,6 +919,9 @@ QUERIES: dict[str, Query] = {
     "extract_paths": extract_text_paths,
     "escalate_block_tier": escalate_block_tier,
     "detect_agent": detect_agent,
+    "detect_agent_fingerprint": detect_agent_fingerprint,
+    "bypass_risk": bypass_risk,
+    "audit_unresolved": audit_unresolved,
     "resolve_provider": resolve_provider,
     "parse_requests": parse_requests,
     "route_blocks": route_blocks,
