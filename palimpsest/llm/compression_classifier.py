@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import partitions, texts
 from palimpsest.session import Workspace
 
 
@@ -34,8 +34,6 @@ class Fit:
     dictionary_texts: int = 1000
     #: Labelled texts of each kind for the calibration, at most.
     calibration_texts: int = 1000
-    #: Characters of a labelled text used for fitting (scored texts are read whole).
-    sample_chars: int = 8000
     #: Bytes from the middle of a labelled text that go into a dictionary.
     excerpt_bytes: int = 400
     dictionary_bytes: int = 110_000
@@ -85,15 +83,23 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
 
 
-def _dictionary(samples: list[str], bounds: Fit) -> bytes:
-    """Excerpts from the middle of the samples, until the dictionary is full."""
-    out = bytearray()
-    half = bounds.excerpt_bytes // 2
-    for text in samples:
-        data = text.encode("utf-8", "surrogatepass")
-        middle = len(data) // 2
-        out += data[max(0, middle - half) : middle + half]
-    return bytes(out[: bounds.dictionary_bytes])
+def _excerpt(text: Column, size: int) -> Column:
+    """``size`` bytes from the middle of a text."""
+    data = F.encode(text, "UTF-8")
+    start = F.greatest(F.lit(0), F.floor(F.octet_length(text) / 2).cast("int") - size // 2)
+    end = F.floor(F.octet_length(text) / 2).cast("int") + size // 2
+    return F.substr(data, start + 1, end - start)
+
+
+def _features(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([model.features(t) for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), batch.column("th"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "th", "difference", "log_ratio"]
+            )
+
+    return work
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -130,9 +136,10 @@ def fit(
     """Learn from the documents that ``labels`` marks 0 or 1.
 
     Of the labelled ids a sample of bounded size, chosen by a hash, is looked up among
-    the documents and comes to the driver: dictionaries and curve need no more.  Equal
-    texts are taken once; ids without a text, and labels other than 0 and 1, teach
-    nothing.  Without texts of one kind the score is the same for all texts.
+    the documents.  Excerpts for the dictionaries and, for the curve, two numbers for each
+    whole text come to the driver.  Equal texts are taken once; ids without a text, and
+    labels other than 0 and 1, teach nothing.  Without texts of one kind the score is the
+    same for all texts.
     """
     present = docs.filter(F.length(F.col(text_column)) > 0).select(F.col(id_column).alias("id"))
     marked = (
@@ -148,32 +155,35 @@ def fit(
     sample = reduce(
         DataFrame.union, (marked.filter(F.col("label") == k).orderBy("order", "id").limit(limit) for k in (0, 1))
     )
-    # Repeated rows of an id are one; with several texts of an id, too, no more rows than ids may come.
+    # Repeated rows of an id are one; with several texts of an id, too, no more rows than ids are used.
     several = Workspace(docs.sparkSession).written(
-        docs.select(F.col(id_column).alias("id"), F.substring(F.col(text_column), 1, bounds.sample_chars).alias("text"))
+        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+        .filter(F.length("text") > 0)
         .join(F.broadcast(sample), "id")
         .withColumn("th", F.xxhash64("text"))
         .dropDuplicates(["label", "id", "th"])
         .select("order", "label", "text", "th")
     )
-    found = [
-        (r["order"], r["label"], r["text"])
-        for k in (0, 1)
-        for r in several.filter((F.col("label") == k) & (F.length("text") > 0)).orderBy("order", "th").limit(limit).collect()
-    ]
-    kinds: dict[int, tuple[list[str], list[str]]] = {}
+    kinds: dict[int, tuple[list[int], list[int]]] = {}
+    excerpts: dict[int, bytes] = {}
     for label in (0, 1):
-        own = list(dict.fromkeys(text for _, k, text in sorted(found) if k == label))
+        of_kind = several.filter(F.col("label") == label).select("order", "th", _excerpt(F.col("text"), bounds.excerpt_bytes).alias("excerpt"))
+        found = of_kind.orderBy("order", "th").limit(limit).collect()
+        excerpts |= {r["th"]: bytes(r["excerpt"]) for r in found}
+        own = list(dict.fromkeys(r["th"] for r in sorted(found, key=lambda r: (r["order"], r["th"]))))
         half = (len(own) + 1) // 2
-        kinds[label] = (own[:half], own[half:])
-    good, bad = (_dictionary(kinds[label][0][: bounds.dictionary_texts], bounds) for label in (1, 0))
+        kinds[label] = (own[:half][: bounds.dictionary_texts], own[half:][: bounds.calibration_texts])
+    good, bad = (b"".join(excerpts[th] for th in kinds[label][0])[: bounds.dictionary_bytes] for label in (1, 0))
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
     model = Model(good, bad, bounds.level, bounds.block_bytes, (0.0, 0.0, prior))
-    held = [(t, label) for label in (0, 1) for t in kinds[label][1][: bounds.calibration_texts]]
-    if len(good) < 8 or len(bad) < 8 or len({label for _, label in held}) < 2:
+    if len(good) < 8 or len(bad) < 8 or not (kinds[0][1] and kinds[1][1]):
         return model
-    x = np.array([model.features(t) for t, _ in held])
-    y = np.array([float(label) for _, label in held])
+    held = docs.sparkSession.createDataFrame([(label, th) for label in (0, 1) for th in kinds[label][1]], "label int, th bigint")
+    # At most ``calibration_texts`` of each label; whole texts, as they are scored later.
+    texts_held = several.dropDuplicates(["label", "th"]).join(F.broadcast(held), ["label", "th"]).select("label", "th", "text")
+    measured = sorted(map(tuple, texts_held.repartition(partitions(docs), "th").mapInArrow(_features(model), "label int, th bigint, difference double, log_ratio double").collect()))
+    x = np.array([m[2:] for m in measured])
+    y = np.array([float(m[0]) for m in measured])
     # The sample has as many of either kind as it may; in the corpus one is rarer.
     share = {label: counts[label] / sum(1 for k in y if k == label) for label in (0, 1)}
     weight = np.array([share[int(k)] for k in y])
