@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import as_strings, text_parts
@@ -221,9 +221,10 @@ def fit(
     docs: DataFrame, vocabulary: str, lang_column: str = "lang", text_column: str = "text", bounds: Fit | None = None,
     space: Workspace | None = None,
 ) -> Model:
-    """Learn the languages that ``docs`` name, from at most ``Fit.documents`` different whole texts each.
+    """Learn the languages that ``docs`` name, from some ``Fit.documents`` different whole texts each.
 
-    Texts are chosen by their hash, so copies count once; rows without a language or a text are left out.  The
+    Texts are chosen by their hash, with a share that gives so many, or fewer where there are copies, which
+    count once; a language with fewer is learned from all.  Rows without a language or a text are left out.  The
     driver holds one number for each piece and language.
     """
     bounds = bounds or Fit()
@@ -239,13 +240,11 @@ def fit(
     if not languages:
         return model
     spark = docs.sparkSession
-    parts = 1 << 20
+    parts = 1 << 30
     # At most one row for each language.
-    wanted = F.broadcast(spark.createDataFrame([(x, min(parts, -(-2 * parts * bounds.documents // n))) for x, n in sizes.items()], "lang string, part bigint"))
+    wanted = F.broadcast(spark.createDataFrame([(x, min(parts, -(-parts * bounds.documents // n))) for x, n in sizes.items()], "lang string, part bigint"))
     some = rows.withColumn("h", F.xxhash64("text")).join(wanted, "lang").filter(F.pmod("h", F.lit(parts)) < F.col("part"))
-    one = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
-    sample = space.written(one.withColumn("rank", rank).filter(F.col("rank") <= bounds.documents).select("lang", "text"))
+    sample = space.written(some.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text"))
     counted = sample.repartition(8, F.xxhash64("text")).mapInArrow(_word_counts, "lang string, word binary, n bigint")
     words = space.written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(bounds.rounds):

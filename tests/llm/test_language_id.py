@@ -113,6 +113,6 @@ def test_without_labels_and_with_too_many(spark):
 def test_copies_count_once(spark):
     docs = _frame(spark, TRAIN)
     many = docs.crossJoin(spark.range(20).select())
-    bounds = Fit(documents=5)
+    bounds = Fit(documents=2000)
     a, b = fit(docs, PATH, bounds=bounds), fit(many, PATH, bounds=bounds)
     assert np.allclose(a.chances, b.chances) and np.allclose(a.shares, b.shares)
