@@ -1,4 +1,9 @@
-"""From documents to packed sequences in five stages."""
+"""From documents to packed sequences in five stages.
+
+Every stage takes any table with the columns of ``documents``, others are not looked at: an empty
+table gives an empty one, a null text is taken for an empty one, a null source is a source, documents
+with a null id are kept where ids tell documents apart, and rows equal in id and text are one document.
+"""
 
 from __future__ import annotations
 
