@@ -20,6 +20,7 @@ _COLUMNS = [*AUDIT_SCHEMA.fields, T.StructField("appended", T.TimestampType()),
 #: What a file stream of a store's entries has to declare.
 STORED = T.StructType([*_COLUMNS, T.StructField("batch", T.StringType())])
 _TAKEN = "file string, since timestamp, until timestamp"
+_REPLACED = "batch string, into string"
 
 
 def split_rotation(audit: DataFrame, since: dt.datetime | None, until: dt.datetime) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,9 @@ class AuditStore:
     ever rewritten, so rotating costs as much as its archive, an entry that is appended
     later is kept whatever its time stamp, and a rotation that fails before the note is
     written changes nothing.
+
+    Compaction copies what many appends left into one folder under ``root/compacted`` and
+    notes under ``root/compactions`` which appends it stands for; reading leaves these out.
     """
 
     spark: SparkSession
@@ -52,19 +56,29 @@ class AuditStore:
     def _rotations(self) -> str:
         return f"{self.root}/rotations"
 
+    @property
+    def _compacted(self) -> str:
+        return f"{self.root}/compacted"
+
+    @property
+    def _compactions(self) -> str:
+        return f"{self.root}/compactions"
+
     def _write(self, new: DataFrame, batch: str) -> None:
-        """One shuffle by date keeps the number of files small, and splits a busy date
-        over several writers."""
         now = F.current_timestamp()
         typed = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields))
         stamped = typed.withColumn("ts", F.coalesce("ts", now)).withColumn("appended", now)
+        self._put(stamped.withColumn("date", utc_date(F.col("ts"))), f"{self._entries}/batch={batch}")
+
+    def _put(self, dated: DataFrame, folder: str) -> None:
+        """One shuffle by date keeps the number of files small, and splits a busy date
+        over several writers."""
         (
-            stamped.withColumn("date", utc_date(F.col("ts")))
-            .hint("rebalance", "date")
+            dated.hint("rebalance", "date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("date")
-            .parquet(f"{self._entries}/batch={batch}")
+            .parquet(folder)
         )
 
     def _is_whole(self, batch: str) -> bool:
@@ -89,12 +103,9 @@ class AuditStore:
         data again.  Beside other writers of the same ids use a name.
         """
         first = new.dropDuplicates(["id"])
-        try:
-            known = self.spark.read.schema(STORED).parquet(self._entries).select(F.col("id").alias("known"))
-            first = first.join(known, F.col("id") == F.col("known"), "left_anti")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        known = self._if_there(STORED, self._entries)
+        if known is not None:
+            first = first.join(known.select(F.col("id").alias("known")), F.col("id") == F.col("known"), "left_anti")
         self._write(first, uuid.uuid4().hex)
 
     def append_stream(self, new: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -120,25 +131,55 @@ class AuditStore:
         started.set_result(query.id)
         return query
 
-    def _taken(self) -> DataFrame | None:
+    def _if_there(self, schema: str | T.StructType, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema(_TAKEN).parquet(self._rotations)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def _current(self) -> DataFrame:
-        stored = self.spark.read.schema(STORED).parquet(self._entries)
+    def _batches(self) -> DataFrame:
+        """Entries of all appends and compactions that stand, with the file they are in."""
         # a writer gives the files of all its dates the same name
-        current = stored.withColumn("file", F.concat_ws("/", "batch", "date", "_metadata.file_name"))
-        taken = self._taken()
+        file = F.concat_ws("/", "batch", "date", "_metadata.file_name")
+        stored = self.spark.read.schema(STORED).parquet(self._entries).withColumn("file", file)
+        replaced = self._if_there(_REPLACED, self._compactions)
+        if replaced is None:
+            return stored
+        # One row for each append that was compacted; a copy counts from its note on.
+        copies = self.spark.read.schema(STORED).parquet(self._compacted).withColumn("file", file)
+        into = replaced.select(F.col("into").alias("batch")).distinct()
+        return stored.unionByName(copies.join(into, "batch", "left_semi")).join(replaced.select("batch"), "batch", "left_anti")
+
+    def _current(self) -> DataFrame:
+        current = self._batches()
+        taken = self._if_there(_TAKEN, self._rotations)
         if taken is None:
             return current
         noted = taken.select(F.col("file").alias("noted"), "since", "until")
         inside = (F.col("ts") <= F.col("until")) & (F.col("since").isNull() | (F.col("ts") >= F.col("since")))
         return current.join(noted, (F.col("file") == F.col("noted")) & inside, "left_anti")
 
+    def compact(self) -> int:
+        """Copy all entries that are there into one folder, in few files a date; return how many appends it stands for.
+
+        Entries that were rotated out are not copied.  Nothing is deleted, so readers and tails of
+        the appends go on, an append that is tried again is still known, and a compaction
+        that fails before its note changes nothing.  Not beside a rotation: what that takes out after the copy
+        was made would come back with it.
+        """
+        batches = self._batches().select("batch").distinct()
+        names = [r["batch"] for r in batches.collect()]
+        into = f"compact-{uuid.uuid4().hex}"
+        # What is appended from here on is no part of it.
+        listed = F.broadcast(self.spark.createDataFrame([(n,) for n in names], "batch string"))
+        copied = self._current().join(listed, "batch", "left_semi").select(*(f.name for f in _COLUMNS))
+        self._put(copied, f"{self._compacted}/batch={into}")
+        note = self.spark.createDataFrame([(n, into) for n in names], _REPLACED)
+        note.coalesce(1).write.mode("append").parquet(self._compactions)
+        return len(names)
+
     def read(self) -> DataFrame:
         """All entries that have not been rotated out."""
         return self._current().select(*(f.name for f in _COLUMNS))

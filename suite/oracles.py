@@ -513,3 +513,7 @@ d AS (SELECT event_id, source, matches, encoded, round(matches * 1000 / len(text
 u AS (SELECT source, min(density) AS usual FROM (SELECT *, cume_dist() OVER (PARTITION BY source ORDER BY density) AS c FROM d) WHERE c >= 0.9 GROUP BY source)
 SELECT event_id, source, density, matches, encoded, CASE WHEN matches >= 2 AND density > usual THEN CASE WHEN encoded > 0 THEN 'manual_review_recommended'
  ELSE 'high_redaction_density' END WHEN encoded > 0 THEN 'encoding_detected' ELSE 'none' END AS bypass_risk FROM d JOIN u USING (source)"""
+
+ORACLES["audit_compacted"] = (
+    ORACLES["audit_rotate_late"] + f" UNION ALL SELECT 'tail', id, tier FROM (WITH {_AUDIT} SELECT id, tier FROM audit)"
+)

@@ -692,6 +692,25 @@ def audit_mixed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("id", "agent", "tier", "target")
 
 
+def audit_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends, compacted before and after a rotation, with entries that come later; beside a tail of the appends."""
+    folder, store = _stamped_store(spark)
+    audit = written(_audit(spark, sf_dir))
+    for tier in ("public", "blocked"):
+        store.append(audit.filter(F.col("tier") == tier))
+    store.compact()
+    store.append(audit.filter("tier = 'local-only'"), once="local")
+    store.rotate(f"{folder}/archive", ROTATE_SINCE, ROTATE_UNTIL)
+    store.compact()
+    store.append(audit.filter("tier = 'local-only'"), once="local")
+    store.append(audit.filter("tier = 'redacted'"))
+    tail = streams.audit_tail(spark, f"{folder}/store/entries").select("id", "tier")
+    streams.run_available(tail, f"{folder}/out", f"{folder}/checkpoint")
+    archive = spark.read.schema(store.read().drop("date").schema).json(f"{folder}/archive")
+    parts = {"retained": store.read(), "archived": archive, "tail": spark.read.schema("id string, tier string").parquet(f"{folder}/out")}
+    return functools.reduce(DataFrame.unionByName, (rows.select(F.lit(p).alias("part"), "id", "tier") for p, rows in parts.items()))
+
+
 def audit_rotate_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with old stamps that are appended after a rotation stay."""
     folder, store = _stamped_store(spark)
@@ -922,6 +941,7 @@ QUERIES: dict[str, Query] = {
     "detect_agent_fingerprint": detect_agent_fingerprint,
     "bypass_risk": bypass_risk,
     "audit_unresolved": audit_unresolved,
+    "audit_compacted": audit_compacted,
     "resolve_provider": resolve_provider,
     "parse_requests": parse_requests,
     "route_blocks": route_blocks,
