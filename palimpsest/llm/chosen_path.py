@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import bounds, groups, lower_ascii, mix, text_parts, word_hashes, words_of
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import marks, may_be_marked, texts
 from palimpsest.llm.components import components
 from palimpsest.session import Workspace
 
@@ -374,8 +374,10 @@ def near_duplicates(
             .mapInArrow(_worth_comparing(like), f"cell bigint, doc_id {kind}, part bigint")
         )
         worth = space.written(compared.groupBy("doc_id").agg(F.collect_set("cell").alias("cells"), F.first("part").alias("part")))
+        # Only texts that are compared are exchanged.
+        asked = may_be_marked(plain, ["doc_id"], marks(worth, ["doc_id"], space)).filter("marked").drop("marked")
         return (
-            plain.join(worth, "doc_id")
+            asked.join(worth, "doc_id")
             .mapInArrow(_as_rows(like), f"cell bigint, doc_id {kind}, part bigint, tokens binary")
             .repartition("cell")
             .sortWithinPartitions("cell", "doc_id")
