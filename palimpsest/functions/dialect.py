@@ -150,8 +150,11 @@ def split_on_group(regex: str) -> str:
 
 
 def python_form(regex: str) -> str:
-    """The regex for Python's parser, which looks at its structure only: the classes' names make no sense to it."""
-    return _POSIX_CLASS.sub("0", regex).replace(r"\z", r"\Z")
+    """The regex for Python's parser, which looks at its structure only: the classes' names make no sense to it.
+
+    Two characters stand for a class, so that a class by itself is not taken for a literal.
+    """
+    return _POSIX_CLASS.sub("01", regex).replace(r"\z", r"\Z")
 
 
 def check_regex(regex: str, group: int) -> None:

@@ -14,7 +14,7 @@ from palimpsest.operators.redact import redact
         (r"\bCustomer#(\d+)\b", ("Customer#",)), (r"(?:ghp|gho)_[a-z]{3}", ("gh",)), (r"a(?P<x>bc)+d?ef", ("bc",)), (r"(?i)abcd", ()),
         (r"abc|xyz", ("abc", "xyz")), (r"abc|[0-9]", ()), (r"abc?", ("ab",)), (r"(?:abc)*", ()), (r"(?:abc){2,}x", ("abc",)), (r"app\[[0-9]+\]", ("app",)),
         (r"AKIA[0-9]{4}", ()), (r"TG:EMAIL", ()), (r"[[:digit:]]+-key", ("-key",)), (r"x.y", ()), (r"^foo$", ("foo",)), (r"fo\bo-bar", ("foo-bar",)),
-        (r"end\z", ("end",)), (r"(?s)id=(.+?);z", ("id=",)), (r"[", ()),
+        (r"end\z", ("end",)), (r"(?s)id=(.+?);z", ("id=",)), (r"[", ()), (r"[^[:space:]]{4}-A[[:^digit:]]", ("-A",)), (r"k[[:digit:]]ey", ("ey",)),
     ],
 )
 def test_required_literals(regex, want):
