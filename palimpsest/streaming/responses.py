@@ -13,9 +13,11 @@ run over what is there, :func:`run_responses` lets it strike, so that nothing wa
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -130,6 +132,10 @@ class _Restorer(StatefulProcessor):
         pass
 
 
+# The process that keeps a stream's state gets the processor as it is, and need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def restore_responses_stream(
     chunks: DataFrame,
     mappings: DataFrame,

@@ -7,9 +7,11 @@ keyed state, entry by entry, of which a row reads no more than its own values.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -82,6 +84,10 @@ class _Numbers(StatefulProcessor):
         pass
 
 
+# The process that keeps a stream's state gets the processor as it is, and need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def redact_scopes_stream(
     stream: DataFrame, scope: str, order: str, text: str, patterns: Sequence[Pattern] | None = None
 ) -> DataFrame:
