@@ -42,7 +42,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sample = np.concatenate([one, two])
     triples = _joint(_joint(s[sample], s[sample + 1], size), s[sample + 2], size)
     distinct, names = np.unique(triples, return_inverse=True)
-    order = suffix_array(names.astype(np.int64) + 1) if len(distinct) < len(sample) else np.argsort(names)
+    if len(distinct) < len(sample):
+        order = suffix_array(names.astype(np.int64) + 1)
+    else:
+        # The names are the order already.
+        order = np.empty(len(sample), dtype=np.int64)
+        order[names] = np.arange(len(sample))
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
@@ -51,7 +56,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     zero = np.arange(0, n, 3)
     by_one = lambda i: _joint(s[i], rank[i + 1], n + 4)
     by_two = lambda i: _joint(_joint(s[i], s[i + 1], size), rank[i + 2], n + 4)
-    zero = zero[np.argsort(by_one(zero), kind="stable")]
+    zero = zero[np.argsort(by_one(zero))]
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     # Sampled suffixes before each of the rest: those at 1 compare by one symbol and a name, those at 2 by two.
     one, two = by_one(np.concatenate([first, zero])), by_two(np.concatenate([second, zero]))
@@ -72,10 +77,14 @@ def window_classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
     order = suffix_array(text + 1)
     order = order[is_window[order]]
     equal = np.zeros(len(order) + 1, dtype=bool)
-    strings = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint16), window)
+    narrow = np.uint8 if len(text) and text.max() < 256 else np.uint16
+    strings = np.lib.stride_tricks.sliding_window_view(text.astype(narrow), window)
     for lo in range(1, len(order), 20_000):
         hi = min(lo + 20_000, len(order))
-        equal[lo:hi] = (strings[order[lo:hi]] == strings[order[lo - 1 : hi - 1]]).all(axis=1)
+        # Neighbours that differ do so in their last symbols as a rule: those that do not are compared whole.
+        ends = strings[order[lo - 1 : hi], -8:]
+        alike = lo + np.flatnonzero((ends[1:] == ends[:-1]).all(axis=1))
+        equal[alike] = (strings[order[alike]] == strings[order[alike - 1]]).all(axis=1)
     run = np.cumsum(~equal[:-1])
     run[~equal[:-1] & ~equal[1:]] = -1
     found = np.full(len(text), -1, dtype=np.int64)

@@ -26,7 +26,7 @@ from palimpsest.llm.line_rules import clean_lines
 from palimpsest.llm.one_permutation import compare_neighbours
 from palimpsest.llm.packing import pack
 from palimpsest.llm.queries import ORACLES, QUERIES
-from palimpsest.llm.suffix_array import KIND, drop_repeated_bytes, suffix_array
+from palimpsest.llm.suffix_array import KIND, drop_repeated_bytes, suffix_array, window_classes
 from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,22 @@ def documents(spark, sf_dir):
     return frame, sorted((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
 
 
+@pytest.mark.parametrize("symbols", [3, 400])
+def test_windows_that_end_alike_and_begin_otherwise(symbols):
+    rng = np.random.default_rng(symbols)
+    tail = rng.integers(0, symbols, 12)
+    text = np.concatenate([np.append(rng.integers(0, symbols, 4), tail) for _ in range(60)]).astype(np.int64)
+    starts = np.arange(len(text) - 15)
+    strings = [tuple(text[i : i + 16]) for i in starts]
+    found = window_classes(text, starts, 16)
+    groups: dict = {}
+    for string, number in zip(strings, found.tolist()):
+        groups.setdefault(string, set()).add(number)
+    count = Counter(strings)
+    assert all(len(g) == 1 and (g == {-1}) == (count[x] == 1) for x, g in groups.items())
+    assert len({min(g) for g in groups.values()} - {-1}) == sum(n > 1 for n in count.values())
+
+
 @pytest.fixture(params=["corner", "documents"])
 def docs(request):
     return request.getfixturevalue(request.param)
