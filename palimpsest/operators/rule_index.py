@@ -2,9 +2,11 @@
 
 Every glob has parts that a path it matches must have as well: its leading segments, its
 last one, the beginning or end of that, any other whole segment, or three characters in a
-row.  Of these the one is taken that the fewest of the given paths have.  Paths and rules
+row.  Of these the one is taken that the fewest of the given paths have.  Paths and globs
 meet where they share it, and the glob's regex decides.  What no such part can be found for
 is kept in the expression, like the rules of a :class:`palimpsest.operators.rules.RuleSet`.
+
+A glob that many rules have is looked up once: of its rules in a layer only the last can decide.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ MAX_UNANCHORED = 200
 #: Alternatives that the braces of a glob are written out to; one with more is looked at as it stands.
 MAX_ALTERNATIVES = 64
 
+#: A glob with a key that at most so many paths have is not looked up by three characters.
+FEW = 1000
+
 _META = set("*?[{\\")
-_RULE = "rule bigint, agent string, layer int, ord bigint, tier int, source string, regex string, keys array<struct<kind:string,key:string>>"
+_GLOB = "pattern string, regex string, keys array<struct<kind:string,key:string>>"
 
 
 def _literal_runs(segment: str) -> list[str]:
@@ -71,29 +76,32 @@ def _indexed(home: str):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                glob = expand_home_literal(r.pattern, home)
-                alternatives = split_braces(glob, MAX_ALTERNATIVES)
-                for alternative in alternatives:
+            for pattern in batch["pattern"]:
+                for alternative in split_braces(expand_home_literal(pattern, home), MAX_ALTERNATIVES):
                     body = glob_body(alternative)
                     if body is not None:
                         keys = [{"kind": k, "key": v} for k, v in glob_keys(alternative)]
-                        rows.append((r.rule, r.agent, r.layer, r.ord, r.tier, r.source, rf"(?s)\A(?:{body})\z", keys))
-            yield pd.DataFrame(rows, columns=["rule", "agent", "layer", "ord", "tier", "source", "regex", "keys"])
+                        rows.append((pattern, rf"(?s)\A(?:{body})\z", keys))
+            yield pd.DataFrame(rows, columns=["pattern", "regex", "keys"])
 
     return work
 
 
-def index_rules(rules: DataFrame, home: str, space: Workspace) -> DataFrame:
-    """The path rules of a table ``(kind, agent, layer, ord, pattern, tier, source)`` with regexes and keys.
+def deciding_rules(rules: DataFrame) -> DataFrame:
+    """The path rules of a table ``(kind, agent, layer, ord, pattern, tier, source)`` that can decide: each glob's last in a layer."""
+    path_rules = rules.filter("kind = 'path' AND pattern IS NOT NULL").select(
+        F.coalesce("agent", F.lit("")).alias("agent"), F.col("layer").cast("int"),
+        F.col("ord").cast("bigint"), "pattern", F.col("tier").cast("int"), "source",
+    )
+    return path_rules.groupBy("pattern", "agent", "layer").agg(F.max(F.struct("ord", "tier", "source")).alias("last"))
+
+
+def index_globs(patterns: DataFrame, home: str, space: Workspace) -> DataFrame:
+    """The globs of a column ``pattern``, each once, with regexes and keys: a row for each of their alternatives.
 
     A malformed glob matches nothing and is left out.
     """
-    numbered = rules.filter("kind = 'path' AND pattern IS NOT NULL").select(
-        F.monotonically_increasing_id().alias("rule"), F.coalesce("agent", F.lit("")).alias("agent"), F.col("layer").cast("int"),
-        F.col("ord").cast("bigint"), "pattern", F.col("tier").cast("int"), "source",
-    )
-    return space.written(numbered.mapInPandas(_indexed(home), _RULE))
+    return space.written(patterns.select("pattern").distinct().mapInPandas(_indexed(home), _GLOB))
 
 
 def _path_keys(path: Column, kinds: set[str]) -> Column:
@@ -122,9 +130,51 @@ def _path_keys(path: Column, kinds: set[str]) -> Column:
     return let(F.split(path, "/", -1), of)
 
 
-def _rule(row) -> Column:
-    fields = (("agent", "string"), ("layer", "int"), ("ord", "bigint"), ("tier", "int"), ("source", "string"))
-    return F.struct(*(F.lit(row[name]).cast(kind).alias(name) for name, kind in fields))
+def _key_hash(kind: Column, key: Column) -> Column:
+    """A key as a number; should two have the same, the regex tells them apart."""
+    return F.xxhash64(kind, key)
+
+
+def _rarest(globs: DataFrame, paths: DataFrame, kinds: set[str]) -> DataFrame:
+    """Each glob's key of these kinds that the fewest paths have, ``(pattern, regex, n, h)``; ``n`` is 0 if no path has it."""
+    of_paths = paths.select(F.explode(_path_keys(F.col("full"), kinds)).alias("k")).select(_key_hash(F.col("k.kind"), F.col("k.key")).alias("h"))
+    counts = of_paths.groupBy("h").agg(F.count("*").alias("n"))
+    keys = globs.select("pattern", "regex", F.inline("keys")).filter(F.col("kind").isin(*kinds))
+    counted = keys.select("pattern", "regex", _key_hash(F.col("kind"), F.col("key")).alias("h")).join(counts, "h", "left")
+    least = counted.groupBy("pattern", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("k"))
+    return least.select("pattern", "regex", "k.n", "k.h")
+
+
+def _met(index: DataFrame, paths: DataFrame, space: Workspace) -> DataFrame | None:
+    """``(full, pattern)``: the paths that the globs with keys match; None if there is no such glob."""
+    anchored = index.filter(F.size("keys") > 0)
+    # At most seven kinds.
+    kinds = {r["kind"] for r in anchored.select(F.explode("keys.kind").alias("kind")).distinct().collect()}
+    if not kinds:
+        return None
+    three = {"three"} & kinds
+    chosen = None
+    if kinds - three:
+        chosen = space.written(_rarest(anchored, paths, kinds - three))
+    if three:
+        # A path has dozens of these: they are counted for globs only that have no rare key besides.
+        rest = anchored.filter(F.exists("keys", lambda k: k["kind"] == "three"))
+        if chosen is not None:
+            rest = rest.join(chosen.filter(F.col("n") <= FEW).select("pattern", "regex"), ["pattern", "regex"], "left_anti")
+        rest = space.written(rest)
+        if not rest.isEmpty():
+            by_three = _rarest(rest, paths, three)
+            both = by_three if chosen is None else chosen.unionByName(by_three)
+            least = both.groupBy("pattern", "regex").agg(F.min(F.struct("n", "h")).alias("k"))
+            chosen = space.written(least.select("pattern", "regex", "k.n", "k.h"))
+        else:
+            kinds -= three
+    # Globs with a key that no path has match nothing and end here.
+    chosen = chosen.filter(F.col("n") > 0).select("pattern", "regex", "h")
+    path_keys = paths.select("full", F.explode(_path_keys(F.col("full"), kinds)).alias("k")).select(
+        "full", _key_hash(F.col("k.kind"), F.col("k.key")).alias("h")
+    )
+    return path_keys.join(chosen, "h").filter(F.regexp_like("full", F.col("regex"))).select("full", "pattern")
 
 
 def _resolved(best: dict[int, Column]) -> Column:
@@ -143,8 +193,8 @@ def classify_many(
     a layer that match the one with the largest ``ord`` decides.  Results are those of
     :func:`palimpsest.operators.rules.classify_path` with the same rules.
 
-    Paths are made distinct first, and a path and a rule come together once, where they share the rule's
-    rarest key, so there is neither a cross join nor a rule that every path is held against, except
+    Paths and globs are made distinct first, and a path and a glob come together once, where they share the
+    glob's rarest key, so there is neither a cross join nor a rule that every path is held against, except
     globs without three literal characters in a row, a whole segment or an edge (``/*/?``): of those at
     most ``MAX_UNANCHORED`` are allowed and stay in the expression.  Null paths are left out.
     """
@@ -152,43 +202,26 @@ def classify_many(
     named = [F.lit("").alias("agent")] if agent is None else [F.coalesce(agent, F.lit("")).alias("agent")]
     asked = paths.select(F.col(column).alias("path"), *named).filter("path IS NOT NULL").distinct()
     asked = space.written(asked.withColumn("full", expand_home(F.col("path"), home)))
-    index = index_rules(rules, home, space)
+    paths = space.written(asked.select("full").distinct())
+    deciding = space.written(deciding_rules(rules))
+    index = index_globs(deciding, home, space)
 
     loose = index.filter(F.size("keys") == 0).limit(MAX_UNANCHORED + 1).collect()
     if len(loose) > MAX_UNANCHORED:
         raise ValueError(f"more than {MAX_UNANCHORED} globs without a literal part")
-    rule_keys = index.filter(F.size("keys") > 0).select("rule", "regex", F.inline("keys"))
-    kinds = {r["kind"] for r in rule_keys.select("kind").distinct().collect()}
-    # At most seven kinds.
-    found = None
-    if kinds:
-        path_keys = asked.select("full").distinct().select("full", F.explode(_path_keys(F.col("full"), kinds)).alias("k")).select("full", "k.*")
-        wanted = space.written(rule_keys.select("kind", "key").distinct())
-        # Rules with no key that any path has match nothing and end here.
-        common = space.written(path_keys.join(wanted, ["kind", "key"]))
-        counts = common.groupBy("kind", "key").agg(F.count("*").alias("n"))
-        rarest = (
-            rule_keys.join(counts, ["kind", "key"], "left")
-            .groupBy("rule", "regex")
-            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kind", "key")).alias("k"))
-            .filter("k.n > 0")
-            .select("rule", "regex", "k.kind", "k.key")
-        )
-        chosen = space.written(rarest)
-        met = common.join(chosen, ["kind", "key"]).filter(F.regexp_like("full", F.col("regex"))).select("full", "rule").distinct()
-        full_rule = index.select("rule", "agent", "layer", "ord", "tier", "source").distinct()
-        found = met.join(full_rule, "rule").select("full", F.struct("agent", "layer", "ord", "tier", "source").alias("r"))
+    found = _met(index, paths, space)
     if loose:
-        hits = F.array(*(F.when(F.col("full").rlike(r["regex"]), _rule(r)) for r in loose))
-        more = asked.select("full").distinct().select("full", F.explode(F.array_compact(hits)).alias("r"))
+        hits = F.array(*(F.when(F.col("full").rlike(r["regex"]), F.lit(r["pattern"])) for r in loose))
+        more = paths.select("full", F.explode(F.array_compact(hits)).alias("pattern"))
         found = more if found is None else found.unionByName(more)
     public = F.struct(F.lit(PUBLIC).alias("tier"), F.lit("default").alias("source"))
     keep = ["path"] if agent is None else ["path", "agent"]
     if found is None:
         return asked.select(*keep, public["tier"].alias("tier"), public["source"].alias("source"))
-    last = lambda layer: F.max(F.when(F.col("r.layer") == layer, F.struct("r.ord", "r.tier", "r.source"))).alias(f"l{layer}")
+    # A glob with several alternatives may meet a path more than once, which changes no maximum.
+    last = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("last"))).alias(f"l{layer}")
     layers = (DEFAULTS, PRESET, USER, PROJECT)
-    verdicts = found.groupBy("full", F.col("r.agent").alias("of")).agg(*(last(x) for x in layers))
+    verdicts = found.join(deciding, "pattern").groupBy("full", F.col("agent").alias("of")).agg(*(last(x) for x in layers))
     verdicts = space.written(verdicts.select("full", "of", _resolved({x: F.col(f"l{x}") for x in layers}).alias("v")))
     general = verdicts.filter("of = ''").select(F.col("full").alias("g_full"), F.col("v").alias("general"))
     own = verdicts.filter("of <> ''").select(F.col("full").alias("o_full"), "of", F.col("v").alias("own"))

@@ -7,6 +7,7 @@ from palimpsest.functions.dialect import split_braces
 from palimpsest.operators import rule_index
 from palimpsest.operators.rule_index import classify_many, glob_keys
 from palimpsest.operators.rules import classify_path, rules_from_table
+from palimpsest.session import Workspace
 
 HOME = "/home/me"
 RULES = "kind string, agent string, layer int, ord int, pattern string, tier int, source string"
@@ -59,6 +60,32 @@ def test_no_path_is_held_against_every_rule(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_rules_with_one_glob_meet_a_path_once(spark):
+    rules = spark.range(3000).select(
+        F.lit("path").alias("kind"), F.lit("").alias("agent"), (F.col("id") % 2 + 3).alias("layer"), F.col("id").alias("ord"),
+        F.concat(F.lit("**/*-secret"), F.col("id") % 3, F.lit(".pem")).alias("pattern"), (F.col("id") % 3 + 1).alias("tier"),
+        F.concat(F.lit("s"), "id").alias("source"),
+    )
+    paths = spark.range(300).select(F.concat(F.lit("/u"), "id", F.lit("/a-secret"), F.col("id") % 4, F.lit(".pem")).alias("p"))
+    assert rule_index.deciding_rules(rules).count() == 6
+    space = Workspace(spark)
+    met = rule_index._met(rule_index.index_globs(rules, HOME, space), paths.withColumnRenamed("p", "full"), space)
+    assert met.count() == 225
+    got = {r["path"]: (r["tier"], r["source"]) for r in classify_many(paths, "p", rules, HOME).collect()}
+    last = {i % 3: i for i in range(2994, 3000) if i % 2}
+    assert got == {f"/u{i}/a-secret{i % 4}.pem": (i % 4 + 1, f"s{last[i % 4]}") if i % 4 < 3 else (0, "default") for i in range(300)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_three_characters_when_all_other_keys_are_common(spark, monkeypatch, few):
+    monkeypatch.setattr(rule_index, "FEW", few)
+    rules = spark.createDataFrame([("path", "", 3, 1, "/data/*secret*/**", 3, "x"), ("path", "", 3, 2, "*abc*", 2, "y")], RULES)
+    frame = spark.createDataFrame([("/data/a",), ("/data/my-secrets/b",), ("xabcx",), ("/data/abc",)], "p string")
+    assert {tuple(r) for r in classify_many(frame, "p", rules, HOME).collect()} == {
+        ("/data/a", 0, "default"), ("/data/my-secrets/b", 3, "x"), ("xabcx", 2, "y"), ("/data/abc", 0, "default"),
+    }
+
+
 def test_keys():
     assert glob_keys("/a/b") == [("exact", "/a/b")]
     assert glob_keys("/a/**") == [("prefix", "/a"), ("segment", "a")]
