@@ -41,17 +41,23 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
     Looking through text is bound by the processor, so a table whose files give
     fewer tasks than that is dealt out first.  A table with enough splits is left
     alone: at scale nothing is moved.
+
+    ``most`` is for tables of narrow rows that texts are worked out of: a split of a file has
+    millions of them, far more than a task should work on.  They are dealt out so that a task
+    gets ``most`` rows, however many there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if most is not None:
+        wanted = max(wanted, -(-df.count() // most))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 # Schemes that name one and the same store.

@@ -58,6 +58,8 @@ ROTATE_SINCE = dt.datetime(2024, 1, 10)
 ROTATE_UNTIL = dt.datetime(2024, 1, 20, 12)
 AUDIT_SINCE = dt.datetime(2024, 1, 20)
 CHUNK_SIZE = 23
+#: Rows of a table without texts that a task makes texts of, at most.
+ROWS_A_TASK = 20_000
 
 # What a user may add: a layer of their own, and sections for two agents.
 USER_CONFIG = Config(
@@ -76,7 +78,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, name))
+    return spread(_table(spark, sf_dir, name), ROWS_A_TASK if name == "events" else None)
 
 
 def _columns(columns: dict[str, str]) -> list[str]:

@@ -140,6 +140,14 @@ def test_corpus_formats(spark, tmp_path):
         assert [tuple(r) for r in got] == [(1, 'a "q", b\nc')], name
 
 
+def test_spread_bounds_the_rows_of_a_task(spark):
+    rows = spark.range(0, 1000, 1, 4)
+    dealt = spread(rows, most=50)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 60 and dealt.distinct().count() == 1000
+    assert spread(rows, most=1000).rdd.getNumPartitions() >= 4 and spread(rows.limit(0), most=50).count() == 0
+
+
 def test_spread_and_working_folder(spark, sf_dir):
     small = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert spread(small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
