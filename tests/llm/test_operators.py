@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -470,7 +471,8 @@ def _key(value):
 def test_query_agrees_with_duckdb(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
     want = con.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
     got = QUERIES[name](spark, sf_dir)
