@@ -9,6 +9,10 @@ given as well, and is not built again for each of them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+from string import ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +95,13 @@ def categories_of(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tokens, token_category)))
 
 
+def _spells(text: Column, category: Column) -> Column:
+    """Whether a spelling of the category's tokens may be in the text."""
+    plain = F.translate(category, ascii_uppercase, "") == ""
+    found = reduce(or_, (F.contains(text, F.concat(F.lit(f"TG{sep}"), category)) for sep in ":_"))
+    return F.when(plain, found).otherwise(text.rlike("TG[:_]"))
+
+
 def restore_fuzzy(
     text: Column, tokens: Column, values: Column, table: Column | None = None, categories: Column | None = None
 ) -> Column:
@@ -106,12 +117,13 @@ def restore_fuzzy(
         parts = F.struct(
             F.split(t, regex, -1).alias("gaps"),
             F.regexp_extract_all(t, regex, F.lit(0)).alias("spelled"),
-            F.regexp_extract_all(t, regex, F.lit(1)).alias("numbers"),
         )
 
         def with_gap(p: Column, gap: Column, i: Column) -> Column:
-            known = find(F.concat(F.lit("[TG:"), category, F.lit(":"), F.get(p["numbers"], i), F.lit("]")))
-            return F.concat(gap, F.coalesce(known, F.get(p["spelled"], i), F.lit("")))
+            spelled = F.get(p["spelled"], i)
+            number = F.regexp_extract(spelled, rf"([0-9]+){_QUOTE}\z", 1)
+            known = find(F.concat(F.lit("[TG:"), category, F.lit(":"), number, F.lit("]")))
+            return F.concat(gap, F.coalesce(known, spelled, F.lit("")))
 
         return let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda gap, i: with_gap(p, gap, i)), ""))
 
@@ -120,7 +132,8 @@ def restore_fuzzy(
         return F.aggregate(
             categories_of(tokens) if categories is None else categories,
             exact,
-            lambda t, c: F.when(t.rlike("TG[:_]"), one_category(t, c, find)).otherwise(t),
+            # a category's regex is compiled for the text, so only where its spelling is
+            lambda t, c: F.when(_spells(t, c), one_category(t, c, find)).otherwise(t),
         )
 
     return (

@@ -27,6 +27,8 @@ _SPELLED = f"{_QUOTE}TG[:_][A-Z]+[:_][0-9]+{_QUOTE}"
 _STARTED = rf"(?:{_QUOTE}(?:TG[:_][A-Z]+[:_][0-9]*|TG[:_][A-Z]*|TG?)?|\[(?:TG:[A-Z]*:?[0-9]*|TG?)?)"
 # What is held at the end of a text, possibly nothing.
 TAIL_REGEX = f"(?:{_SPELLED})?{_STARTED}"
+# All characters that may be held: what is held lies within the run of them at the end of a text.
+_HELD_CHARS = "\"'`[:_ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 CHUNK_SCHEMA = "response_id string, seq bigint, chunk string, is_last boolean"
 _ALIGNED = "response_id string, seq bigint, text string"
@@ -131,8 +133,9 @@ def _numbered(chunks: DataFrame) -> DataFrame:
 def realign(chunks: DataFrame) -> DataFrame:
     """The same for a finished archive of chunks, without state.
 
-    What is held before a chunk only depends on the last 64 characters before it, so
-    each chunk looks back over 64 chunks that have text.  Empty chunks and gaps in
+    What is held before a chunk only depends on the last 64 characters before it, and of
+    these on the run at their end of characters that can be held.  Most chunks end such a run,
+    so few have to look back, over at most 64 chunks that have text.  Empty chunks and gaps in
     ``seq`` do not matter.  A long response is cut into stretches, each with the chunks
     around it as context, so that no task has to go through a whole response.  A
     response's last chunk releases what is held, whether it is marked as the last or the
@@ -147,19 +150,31 @@ def realign(chunks: DataFrame) -> DataFrame:
             F.when(place == 0, stretch - 1),
         )
     )
-    rows = _numbered(chunks).withColumn("stretch", F.explode(copies))
+    end = F.right("chunk", F.lit(MAX_TAIL))
+    rows = (
+        _numbered(chunks)
+        .withColumn("stretch", F.explode(copies))
+        .withColumn("run", F.right(end, F.length(end) - F.length(F.rtrim(end, F.lit(_HELD_CHARS)))))
+        .withColumn("ends", (F.length("run") < F.length(end)).cast("int"))
+    )
     in_order = Window.partitionBy("response_id", "stretch").orderBy("n")
-    tails = F.collect_list(F.right("chunk", F.lit(MAX_TAIL))).over(in_order.rowsBetween(-MAX_TAIL, -1))
+    # A run goes on until a chunk ends it; the chunks that a run before them reaches are together.
+    reached = (
+        rows.withColumn("last_run", F.lag("run").over(in_order))
+        .withColumn("together", F.coalesce(F.sum("ends").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("next", F.lead("n").over(in_order))
+    )
+    so_far = Window.partitionBy("response_id", "stretch", "together").orderBy("n").rowsBetween(1 - MAX_TAIL, 0)
     tail = rf"({TAIL_REGEX})\z"
 
-    def held(text: Column) -> Column:
-        return F.regexp_extract(F.right(text, F.lit(MAX_TAIL)), tail, 1)
+    def held(run: Column) -> Column:
+        return F.when(run == "", run).otherwise(F.regexp_extract(F.right(run, F.lit(MAX_TAIL)), tail, 1))
 
     joined = F.concat("held", "chunk")
-    kept = F.when(F.col("next").isNull(), F.lit("")).otherwise(held(F.concat("before", "chunk")))
+    run_after = F.when(F.col("ends") == 1, F.col("run")).otherwise(F.concat("before", "run"))
+    kept = F.when(F.col("next").isNull(), F.lit("")).otherwise(held(run_after))
     return (
-        rows.withColumn("before", F.right(F.array_join(tails, ""), F.lit(MAX_TAIL)))
-        .withColumn("next", F.lead("n").over(in_order))
+        reached.withColumn("before", F.right(F.array_join(F.collect_list("last_run").over(so_far), ""), F.lit(MAX_TAIL)))
         .filter(F.col("stretch") == stretch)
         .withColumn("held", held(F.col("before")))
         .select("response_id", "seq", F.substr(joined, F.lit(1), F.length(joined) - F.length(kept)).alias("text"))

@@ -116,3 +116,12 @@ def test_private_use_characters_change_nothing(spark):
     assert '"\\u0041TG"' in got
     long = '{"v": "' + "x\\n" * 200_000 + '[TG:A:1]"}'
     assert run(spark, restore_json, [long], {"[TG:A:1]": "z"})[0].endswith('z"}')
+
+
+def test_a_category_is_looked_for_only_where_it_is_spelled(spark):
+    mapping = {"[TG:IP:1]": "TG_IPX_1", "[TG:IPX:1]": "x", "[TG:EMAIL:1]": "TG:IP:1"}
+    texts = ["\"TG:IP:1\" and 'TG:IP:2", "see `TG_EMAIL_1`", "TGIP:1 [TG:EMAIL_1", "TG:IPX_1,TG_IP:1"]
+    assert run(spark, restore_fuzzy, texts, mapping) == ["x and 'TG:IP:2", "see x", "TGIP:1 [x", "x,x"]
+    found = restore_fuzzy(F.col("t"), F.col("k"), F.col("v"))
+    plan = spark.createDataFrame([("a", ["[TG:IP:1]"], ["v"])], "t string, k array<string>, v array<string>").select(found)
+    assert "contains(" in plan._jdf.queryExecution().analyzed().toString().lower()

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -168,3 +169,29 @@ def test_redaction_runs_on_streams(spark, tmp_path):
     stream = stream_table(spark, str(tmp_path / "in"), "id int, text string")
     run_available(stream.select("id", redact("text")["text"].alias("t")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).select(F.col("t")).first()[0] == "[TG:EMAIL:1]"
+
+
+def test_only_runs_that_can_be_held_are_looked_back_over(spark):
+    chunks = spark.createDataFrame(chunk_rows("r", ["The IP is [TG:IP:", "1", "] and ", "[T"], ended=False), SCHEMA)
+    plan = ops.realign(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    back = [line for line in plan.splitlines() if "collect_list" in line and "Window" in line]
+    assert back and all("together" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in back)
+    assert by_seq(ops.realign(chunks).collect()) == [(0, "The IP is "), (2, "[TG:IP:1] and "), (3, "[T")]
+
+
+def test_realigned_batch_is_the_stream_at_every_run_length(spark):
+    text = "[TG:IP:1]" + "A" * 70 + '"TG_IP_1" ' + "`TG:EMAIL:12" + " é[" + "T" * 66 + "[TG:A" + "1" * 5
+    rows = [r for size in (1, 2, 3, 7, 63, 64, 65) for r in chunk_rows(f"r{size}", [text[i : i + size] for i in range(0, len(text), size)], False)]
+    got = {}
+    for r in ops.realign(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r["response_id"], []).append((r["seq"], r["text"]))
+    for response, pieces in got.items():
+        held, want = "", []
+        own = [r for r in rows if r[0] == response]
+        for _, seq, chunk, _ in own:
+            whole = held + chunk
+            last = seq == own[-1][1]
+            held = "" if last else re.search(ops.TAIL_REGEX + r"\Z", whole[-ops.MAX_TAIL :]).group()
+            if whole[: len(whole) - len(held)]:
+                want.append((seq, whole[: len(whole) - len(held)]))
+        assert sorted(pieces) == want, response
