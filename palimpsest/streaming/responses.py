@@ -56,7 +56,7 @@ class _Restorer(StatefulProcessor):
         self.tail = re.compile(f"{TAIL_REGEX}\\Z")
         self.spelled = re.compile(_SPELLED)
 
-    def _entries(self, text: str, known: dict) -> tuple[list[str], list[str]]:
+    def _entries(self, text: str, known: dict, stored: bool) -> tuple[list[str], list[str]]:
         """What the mapping has for the text, and for the values that this brings in, in the mapping's order."""
         found, asked = {}, [text]
         while asked:
@@ -65,21 +65,26 @@ class _Restorer(StatefulProcessor):
                 if token in found:
                     continue
                 if token not in known:
-                    known[token] = self.mapping.getValue((token,)) if self.mapping.containsKey((token,)) else None
+                    there = stored and self.mapping.containsKey((token,))
+                    known[token] = self.mapping.getValue((token,)) if there else None
                 if known[token] is not None:
                     found[token] = known[token]
                     asked.append(known[token][0])
         tokens = sorted(found, key=lambda t: found[t][1])
         return tokens, [found[t][0] for t in tokens]
 
-    def _rows(self, key, pieces: list[tuple[int, str]], mapped: bool, tail: tuple[int, str] = (0, "")) -> pd.DataFrame:
-        known: dict = {}
+    def _rows(
+        self, key, pieces: list[tuple[int, str]], mapped: bool, tail: tuple[int, str] = (0, ""), known: dict | None = None, stored: bool = True
+    ) -> pd.DataFrame:
+        """``known`` are entries at hand; the others are in the state, if any are (``stored``)."""
+        known = {} if known is None else known
         parts = [(seq, 0, text) for seq, text in pieces] + [(tail[0], 1, tail[1])]
-        rows = [(key[0], *p, *(self._entries(p[2], known) if mapped else ([], []))) for p in parts if p[2]]
+        rows = [(key[0], *p, *(self._entries(p[2], known, stored) if mapped else ([], []))) for p in parts if p[2]]
         return pd.DataFrame(rows, columns=["response_id", "seq", "part", "text", "tokens", "values"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
         if key[0] is None:
             # The clock, and chunks of no response, which have no mapping.
             loose = batch[batch["chunk"].notna()]
@@ -87,18 +92,23 @@ class _Restorer(StatefulProcessor):
             return
         held, last_seq, mapped, at, timed = self.open.get() if self.open.exists() else ("", -1, False, 0, False)
         at = max(at, int(batch["ms"].max()))
-        for tokens, values in zip(*(batch.loc[batch["kind"] == "mapping", c] for c in ("tokens", "values"))):
+        # A response without a mapping so far has no entries, and need not be asked for them.
+        stored, known, kinds = mapped, {}, batch["kind"].tolist()
+        for kind, tokens, values in zip(kinds, batch["tokens"].tolist(), batch["values"].tolist()):
+            if kind != "mapping":
+                continue
             for i, (token, value) in enumerate(zip(tokens, values)):
-                if not self.mapping.containsKey((token,)):
+                if token not in known and not (stored and self.mapping.containsKey((token,))):
                     self.mapping.updateValue((token,), (value, i))
+                    known[token] = (value, i)
             mapped = True
         ready: list[tuple[int, str]] = []
         if mapped and self.waiting.exists():
             ready += [(seq, text) for seq, text in self.waiting.get()]
             self.waiting.clear()
         wait: list[tuple[int, str]] = []
-        chunks = batch[batch["kind"] == "chunk"].sort_values("seq", kind="stable")
-        for seq, chunk, is_last in zip(chunks["seq"], chunks["chunk"], chunks["is_last"]):
+        arrived = zip(kinds, batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist())
+        for _, seq, chunk, is_last in sorted((x for x in arrived if x[0] == "chunk"), key=lambda x: x[1]):
             seq, chunk = int(seq), chunk or ""
             if seq < last_seq:
                 # What comes late passes on its own: what is held neither joins it nor is lost.
@@ -114,7 +124,8 @@ class _Restorer(StatefulProcessor):
             # One timer a response; when it strikes it looks whether the response was silent.
             self.handle.registerTimer(at + self.idle_ms)
         self.open.update((held, last_seq, mapped, at, True))
-        yield self._rows(key, ready, mapped)
+        if ready:
+            yield self._rows(key, ready, mapped, known=known, stored=stored)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, last_seq, mapped, at, _ = self.open.get()
