@@ -72,12 +72,16 @@ class _Part:
         return self.data[self.starts[lo] : self.ends[hi - 1]].tobytes()
 
 
-def _parts(kind: Kind, column: pa.Array) -> Iterator[_Part]:
-    """Units of the texts; words are parted by one space each, whatever parted them before."""
+def _parts(kind: Kind, column: pa.Array, hashed: bool = True) -> Iterator[_Part]:
+    """Units of the texts; words are parted by one space each, whatever parted them before.
+
+    The units' numbers are left out where only their places are asked for (``hashed``).
+    """
+    none = np.zeros(0, dtype=np.uint64)
     for first, end, data, offsets in text_parts(column):
         if kind.words:
             starts, ends, at = words_of(data, offsets)
-            units = word_hashes(data, starts, ends)
+            units = word_hashes(data, starts, ends) if hashed else none
             keep = np.zeros(len(data) + 1, dtype=bool)
             depth = np.zeros(len(data) + 1, dtype=np.int8)
             np.add.at(depth, starts, 1)
@@ -90,7 +94,7 @@ def _parts(kind: Kind, column: pa.Array) -> Iterator[_Part]:
             yield _Part(first, end - first, spaced, place[starts], place[starts] + (ends - starts), at, units)
         else:
             n = np.arange(len(data), dtype=np.int64)
-            yield _Part(first, end - first, data, n, n + 1, offsets, data.astype(np.uint64) + np.uint64(1))
+            yield _Part(first, end - first, data, n, n + 1, offsets, data.astype(np.uint64) + np.uint64(1) if hashed else none)
 
 
 def _hashes(units: np.ndarray, length: int) -> np.ndarray:
@@ -370,29 +374,34 @@ def _resolve(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return work
 
 
+def _joined(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches that runs cover, in order; runs that overlap or touch are one stretch."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    apart = np.flatnonzero(starts[1:] > ends[:-1])
+    return list(zip(starts[np.append(0, apart + 1)].tolist(), ends[np.append(apart, len(ends) - 1)].tolist()))
+
+
 def _removed(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of each document, and what is left: words joined by one space, or bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(kind, batch.column("text")):
+            for part in _parts(kind, batch.column("text"), hashed=False):
                 n = np.diff(part.at)
+                runs = batch.column("runs").slice(part.first, part.rows)
+                edges = np.append(0, np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                starts, sizes = (runs.flatten().field(c).to_numpy() for c in ("start", "n"))
                 removed, spans, kept = [], [], []
                 for row in range(part.rows):
                     lo, hi = int(part.at[row]), int(part.at[row + 1])
-                    runs = batch.column("runs")[part.first + row].as_py()
-                    if runs:
-                        depth = np.zeros(hi - lo + 1, dtype=np.int64)
-                        np.add.at(depth, [r["start"] for r in runs], 1)
-                        np.add.at(depth, [r["start"] + r["n"] for r in runs], -1)
-                        gone = np.cumsum(depth)[:-1] > 0
-                        spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))
-                        removed.append(int(gone.sum()))
-                        left = np.flatnonzero(~gone)
-                        if kind.words:
-                            kept.append(b" ".join(part.body(lo + i, lo + i + 1) for i in left.tolist()))
-                        else:
-                            kept.append(part.data[lo:hi][left].tobytes())
+                    own = slice(edges[row], edges[row + 1])
+                    if own.start < own.stop:
+                        gone = _joined(starts[own], starts[own] + sizes[own])
+                        spans.append(len(gone))
+                        removed.append(sum(end - first for first, end in gone))
+                        left = zip([0] + [end for _, end in gone], [first for first, _ in gone] + [hi - lo])
+                        kept.append((b" " if kind.words else b"").join(part.body(lo + x, lo + y) for x, y in left if x < y))
                     else:
                         removed.append(0), spans.append(0)
                         kept.append(part.body(lo, hi) if hi > lo else b"")
