@@ -13,6 +13,8 @@ _SCAN_LIMIT = 32
 _SEARCH_STEPS = 32
 
 EMPTY_STRINGS = "array<string>"
+# Stands for what a text is split at.
+_CUT = "\ue004"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,6 +30,16 @@ def no_strings() -> Column:
     return F.array().cast(EMPTY_STRINGS)
 
 
+def split_at(text: Column, regex: str) -> Column:
+    """``split`` without a limit at a regex that matches no empty text.
+
+    ``split`` compiles its regex for every text, replacing does so once; a single character needs no regex.
+    A text that has this character already is split by the regex.
+    """
+    cut = lambda t: F.split(F.regexp_replace(t, F.lit(regex), F.lit(_CUT)), _CUT, -1)
+    return let(text, lambda t: F.when(F.contains(t, F.lit(_CUT)), F.split(t, regex, -1)).otherwise(cut(t)))
+
+
 def lookup_table(keys: Column, values: Column) -> Column:
     """The sorted table that :func:`with_lookup` searches; empty for few keys, which it scans.
 
@@ -76,7 +88,7 @@ def with_lookup(
             )
 
         def scan(key: Column) -> Column:
-            return F.get(F.filter(values, lambda _, i: F.get(keys, i) == key), F.lit(0))
+            return F.get(values, F.array_position(keys, key).cast("int") - 1)
 
         return F.when(size == 0, body(scan)).otherwise(body(search))
 

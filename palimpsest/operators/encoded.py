@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expr import let, no_strings, with_lookup
+from palimpsest.functions.expr import let, no_strings, split_at, with_lookup
 from palimpsest.functions.patterns import Pattern
 from palimpsest.functions.tokens import (
     TOKEN_REGEX, last_reserved, reserved_numbers, token, token_category, token_number, tokens_in,
@@ -87,7 +87,7 @@ def _units(text: Column) -> Column:
         pairs = F.zip_with(p["gaps"], p["runs"], lambda g, r: F.array(gap(g), F.when(r.isNull(), gap(none)).otherwise(unit(r))))
         return F.filter(F.flatten(pairs), lambda u: u["raw"].isNotNull() & (u["raw"] != ""))
 
-    parts = F.struct(F.split(text, _RUN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("runs"))
+    parts = F.struct(split_at(text, _RUN).alias("gaps"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("runs"))
     return let(parts, woven)
 
 
@@ -143,7 +143,7 @@ def _found(r: Column) -> Column:
             one = F.array(F.struct(lo.alias("lo"), hi.alias("hi"), piece["token"].alias("token")))
             return F.struct(hi.alias("at"), F.when(value.isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-        pieces = F.arrays_zip(F.split(r["text"], TOKEN_REGEX, -1).alias("gap"), tokens_in(r["text"]).alias("token"))
+        pieces = F.arrays_zip(split_at(r["text"], TOKEN_REGEX).alias("gap"), tokens_in(r["text"]).alias("token"))
         return F.aggregate(pieces, start, add, lambda acc: acc["found"])
 
     whole = F.transform(r["values"], lambda v: restore(v, r["tokens"], r["values"]))

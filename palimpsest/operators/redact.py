@@ -26,7 +26,7 @@ from palimpsest.functions.dialect import split_on_group, to_java
 from palimpsest.functions.expr import let, no_strings, with_lookup
 from palimpsest.functions.literals import literal_trie, prefixes
 from palimpsest.functions.patterns import Pattern, default_patterns
-from palimpsest.functions.tokens import RESERVED, last_reserved, reserved_numbers, token
+from palimpsest.functions.tokens import RESERVED, TOKEN_PREFIX, last_reserved, reserved_numbers, token
 
 # A private-use character stands on both sides of a match while a text is being
 # rewritten, so a split at it gives text, value, text, ..., text.  Texts that have
@@ -154,42 +154,74 @@ def _step(state: Column, number: Column, patterns: Sequence[Pattern], reserved:
     name = F.element_at(F.array(*(F.lit(p.name) for p in patterns)), number)
     category = F.element_at(F.array(*(F.lit(p.category) for p in patterns)), number)
 
+    def used() -> Column:
+        own = let(
+            F.concat(F.lit(TOKEN_PREFIX), category, F.lit(":")),
+            lambda prefix: F.size(F.filter(state["tokens"], lambda t: F.startswith(t, prefix))),
+        )
+        return own + last_reserved(reserved, category)
+
+    def after(text: Column, values: Column, tokens: Column, n: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            values.alias("values"),
+            tokens.alias("tokens"),
+            F.concat(state["matches"], F.array(F.struct(name.alias("pattern"), n.alias("n")))).alias("matches"),
+        )
+
     def rewritten(pieces: Column) -> Column:
         # a group that took part with nothing in it is neither replaced nor counted
         found = F.filter(pieces, lambda x, i: (i % 2 == 1) & (x != ""))
-        own = F.filter(state["tokens"], lambda t: F.startswith(t, F.concat(F.lit("[TG:"), category, F.lit(":"))))
-        used = F.size(own) + last_reserved(reserved, category)
 
         def assembled(fresh: Column) -> Column:
             values = F.concat(state["values"], fresh)
-            tokens = F.concat(state["tokens"], F.transform(fresh, lambda _, i: token(category, used + i + 1)))
+            numbered = let(used(), lambda last: F.transform(fresh, lambda _, i: token(category, last + i + 1)))
+            tokens = F.when(F.size(fresh) == 0, state["tokens"]).otherwise(F.concat(state["tokens"], numbered))
             return let(
                 F.struct(values.alias("values"), tokens.alias("tokens")),
-                lambda m: F.struct(
+                lambda m: after(
                     with_lookup(
                         m["values"],
                         m["tokens"],
                         lambda find: F.array_join(
                             F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & (x != ""), find(x)).otherwise(x)), ""
                         ),
-                    ).alias("text"),
-                    m["values"].alias("values"),
-                    m["tokens"].alias("tokens"),
-                    F.concat(
-                        state["matches"],
-                        F.array(F.struct(name.alias("pattern"), F.size(found).alias("n"))),
-                    ).alias("matches"),
+                    ),
+                    m["values"],
+                    m["tokens"],
+                    F.size(found),
                 ),
             )
 
         return let(F.array_except(found, state["values"]), assembled)
 
+    def one_match(pieces: Column) -> Column:
+        """The same for a single match, by far the most frequent number: nothing is looked up piece by piece."""
+        value = F.get(pieces, F.lit(1))
+
+        def with_token(own: Column) -> Column:
+            return F.concat(F.get(pieces, F.lit(0)), own, F.get(pieces, F.lit(2)))
+
+        def at_place(at: Column) -> Column:
+            known = after(with_token(F.get(state["tokens"], at - 1)), state["values"], state["tokens"], F.lit(1))
+            fresh = let(
+                token(category, used() + 1),
+                lambda own: after(
+                    with_token(own), F.concat(state["values"], F.array(value)), F.concat(state["tokens"], F.array(own)), F.lit(1)
+                ),
+            )
+            return F.when(at > 0, known).otherwise(fresh)
+
+        return let(F.array_position(state["values"], value).cast("int"), at_place)
+
     return let(
         _mark(state["text"], number, patterns),
         lambda marked: F.when(marked.isNull(), state).otherwise(
             let(
                 F.split(marked, _MARK, -1),
-                lambda pieces: F.when(F.size(pieces) == 1, state).otherwise(rewritten(pieces)),
+                lambda pieces: F.when(F.size(pieces) == 1, state)
+                .when((F.size(pieces) == 3) & (F.get(pieces, F.lit(1)) != ""), one_match(pieces))
+                .otherwise(rewritten(pieces)),
             )
         ),
     )

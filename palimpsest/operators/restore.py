@@ -16,7 +16,7 @@ from string import ascii_uppercase
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.expr import let, with_lookup
+from palimpsest.functions.expr import let, split_at, with_lookup
 from palimpsest.functions.tokens import TOKEN_REGEX, has_token, token_category, tokens_in
 
 # Rounds for values that embed tokens which embed tokens ..., in any order.  What is
@@ -30,7 +30,7 @@ _QUOTE = "[\"'`]?"
 
 def _replace_tokens(text: Column, find) -> Column:
     """Replace each known token once; values are not looked into."""
-    gaps = F.split(text, TOKEN_REGEX, -1)
+    gaps = split_at(text, TOKEN_REGEX)
     return let(
         F.struct(gaps.alias("gaps"), tokens_in(text).alias("toks")),
         lambda p: F.array_join(

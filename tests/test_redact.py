@@ -309,3 +309,20 @@ def test_custom_patterns_in_re2_syntax(spark):
     for refused in ("[[:digits:]]+", "(?P<a_b>x)"):
         with pytest.raises(ValueError):
             custom_pattern("ids", refused, "ID")
+
+
+def test_one_match_gets_what_several_get(spark):
+    """A single match has a way of its own: a known value keeps its token, a new one is numbered after all that are there."""
+    ip = patterns_named(["ipv4_private", "ipv4"])
+    word = custom_pattern("word", r"\bhost (10\.0\.0\.\d|\w+)", "IP", group=1)
+    texts = ["host 10.0.0.1", "10.0.0.1 host a", "host a [TG:IP:7]", "10.0.0.1 10.0.0.2 host b", "host b host b 10.0.0.1", "a  host b "]
+    got = redact_texts(spark, texts, [*ip, word])
+    assert [r["text"] for r in got] == [
+        "host [TG:IP:1]", "[TG:IP:1] host [TG:IP:2]", "host [TG:IP:8] [TG:IP:7]", "[TG:IP:1] [TG:IP:2] host [TG:IP:3]",
+        "host [TG:IP:2] host [TG:IP:2] [TG:IP:1]", "a  host [TG:IP:1] ",
+    ]
+    assert [counts(r) for r in got][3:5] == [{"ipv4_private": 2, "word": 1}, {"ipv4_private": 1, "word": 2}]
+    assert [list(r["values"]) for r in got][3:] == [["10.0.0.1", "10.0.0.2", "b"], ["10.0.0.1", "b"], ["b"]]
+    twice = [custom_pattern("a", r"\bx(\d)", "A", group=1), custom_pattern("b", r"\by(\d)", "B", group=1)]
+    (again,) = redact_texts(spark, ["x1 y1"], twice)
+    assert again["text"] == "x[TG:A:1] y[TG:A:1]" and counts(again) == {"a": 1, "b": 1}

@@ -125,3 +125,16 @@ def test_a_category_is_looked_for_only_where_it_is_spelled(spark):
     found = restore_fuzzy(F.col("t"), F.col("k"), F.col("v"))
     plan = spark.createDataFrame([("a", ["[TG:IP:1]"], ["v"])], "t string, k array<string>, v array<string>").select(found)
     assert "contains(" in plan._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_texts_are_split_as_by_the_regex(spark):
+    from palimpsest.functions.expr import split_at
+    from palimpsest.functions.tokens import TOKEN_REGEX
+
+    texts = [None, "", "a", "[TG:A:1]", "[TG:A:1][TG:B:2]", "x[TG:A:1]\n", "\ue004", "\ue004[TG:A:1] \ue004", "[TG:A:1", "é[TG:A:1]$1\\"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = rows.select(split_at(F.col("t"), TOKEN_REGEX).alias("a"), F.split("t", TOKEN_REGEX, -1).alias("b"))
+    assert all(r["a"] == r["b"] for r in pairs.collect())
+    # only a text that has the mark already is split by the regex, which is compiled for each text
+    plan = rows.select(split_at(F.col("t"), TOKEN_REGEX))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
