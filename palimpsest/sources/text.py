@@ -50,13 +50,15 @@ def spread(df: DataFrame, most: int | None = None) -> DataFrame:
 
     ``most`` is for tables of narrow rows that texts are worked out of: a split of a file has
     millions of them, far more than a task should work on.  They are dealt out so that a task
-    gets ``most`` rows, however many there are.
+    gets ``most`` rows, however many there are and however unevenly they lie in the splits.
     """
     if df.isStreaming:
         return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    if most is not None:
-        wanted = max(wanted, -(-df.count() // most))
+    rows = 0 if most is None else df.count()
+    if most is not None and rows > most:
+        # the number of splits says nothing about the rows of the largest
+        return df.repartition(max(wanted, -(-rows // most)))
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 

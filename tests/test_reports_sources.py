@@ -148,6 +148,13 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     assert spread(rows, most=1000).rdd.getNumPartitions() >= 4 and spread(rows.limit(0), most=50).count() == 0
 
 
+def test_spread_bounds_the_rows_of_a_task_of_uneven_splits(spark):
+    uneven = spark.range(0, 1000, 1, 1).union(spark.range(0, 0, 1, 40)).union(spark.range(1000, 1040, 1, 40))
+    dealt = spread(uneven, most=50)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 100 and dealt.distinct().count() == 1040
+
+
 def test_spread_and_working_folder(spark, sf_dir):
     small = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert spread(small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
