@@ -11,8 +11,8 @@ by anchor: equal windows always meet in one shard, which an index then searches.
 4. ``_removed``: runs of covered units per document, and what is left.
 
 Hot anchors: equal pieces within a batch are combined before the exchange, so a key
-has few rows for each batch; anchors that nevertheless come from many batches, or whose
-different pieces together would fill a shard, are dealt out window by window, by the
+has few rows for each batch, however many documents have it; anchors whose different
+pieces of all batches together would fill a shard are dealt out window by window, by the
 hash of the whole window.
 """
 
@@ -33,8 +33,8 @@ from palimpsest.session import Workspace
 
 #: Windows of a piece, at most; longer runs (of periodic text) are several pieces.
 RUN = 256
-#: An anchor that comes from more batches than this is dealt out window by window.
-HOT = 64
+#: Bytes of pieces that are made and handed on at a time; a single longer piece is one step.
+BODIES = 1 << 22
 _NULL_ID = -(1 << 63)
 
 #: Given the shard's units, and where its windows start, the class of every window:
@@ -222,7 +222,8 @@ def _repeated(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         # Known ones were marked where they were found.
         marked = again & (~known | (salt != 0))
         units = np.add.reduceat(table.column("units").to_numpy(), edges[:-1])
-        hot = edges[:-1][(size > HOT) | (units > kind.shard_units)]
+        # Each row stands for a window of units at least, so a key that is not hot has few rows as well.
+        hot = edges[:-1][units > kind.shard_units]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([d[marked], d[hot]])),
@@ -236,17 +237,18 @@ def _repeated(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _pieces(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(v, salt, d, th, start, n, inner, body): pieces; without a body, windows known to stand earlier."""
+    """(v, salt, d, th, start, n, inner, body): pieces; without a body, windows known to stand earlier.
+
+    Equal pieces of a batch are found by their hashes and compared in the text, so that only the bodies
+    that are handed on are made, ``BODIES`` at a time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column("d").to_numpy(), batch.column("th").to_numpy()
-            rows: list[np.ndarray] = []
-            starts: list[np.ndarray] = []
-            counts: list[np.ndarray] = []
-            keys: list[np.ndarray] = []
-            inners: list[np.ndarray] = []
-            bodies: list[bytes] = []
+            found: list[tuple[np.ndarray, ...]] = []
+            pages: list[bytes] = []
+            length = 0
             for part in _parts(kind, batch.column("text")):
                 row, first, count, v, twice = _runs(kind, part)
                 marks = batch.column("marks").slice(part.first, part.rows)
@@ -262,37 +264,48 @@ def _pieces(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 single = np.repeat(first[warm], count[warm]) + (
                     np.arange(count[warm].sum()) - np.repeat(np.cumsum(count[warm]) - count[warm], count[warm])
                 )
+                if not len(cold) and not len(single):
+                    continue
                 whole = _hashes(part.units, kind.window)[single] if len(single) else v[:0]
                 r = np.concatenate([row[cold], np.repeat(row[warm], count[warm])])
                 f = np.concatenate([first[cold], single])
                 c = np.concatenate([count[cold], np.ones(len(single), dtype=np.int64)])
-                rows.append(part.first + r)
-                starts.append(f - part.at[r])
-                counts.append(c)
-                inners.append(np.concatenate([twice[cold], np.zeros(len(single), dtype=bool)]))
-                keys.append(np.concatenate([v[cold], whole]))
-                bodies += [part.body(lo, lo + n + kind.window - 1) for lo, n in zip(f.tolist(), c.tolist())]
-            if not bodies:
+                spans = _spans(part.units, first[cold], count[cold] + (kind.window - 1))
+                inner = np.concatenate([twice[cold], np.zeros(len(single), dtype=bool)])
+                lo, hi = length + part.starts[f], length + part.ends[f + c + kind.window - 2]
+                found.append((part.first + r, f - part.at[r], c, np.concatenate([v[cold], whole]), np.concatenate([spans, whole]), inner, lo, hi))
+                pages.append(part.data.tobytes())
+                length += len(part.data)
+            if not found:
                 continue
-            row, start, count, key, inner = map(np.concatenate, (rows, starts, counts, keys, inners))
+            row, start, count, key, span, inner, lo, hi = map(np.concatenate, zip(*found))
+            text = b"".join(pages)
+            del found, pages
             d, th = ids[row], hashes[row]
-            order = np.lexsort((start, th, d))
-            seen: set[bytes] = set()
+            # Pieces with one hash, the earliest first; one that is not the same bytes after all has a body of its own.
+            order = np.lexsort((start, th, d, span))
+            fresh = np.append(True, span[order][1:] != span[order][:-1])
+            leader = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
             later = np.zeros(len(order), dtype=bool)
-            for i in order.tolist():
-                if bodies[i] in seen:
-                    later[i] = True
-                else:
-                    seen.add(bodies[i])
+            again, of = order[~fresh], leader[~fresh]
+            for a in range(0, len(again), 1 << 16):
+                some, first = again[a : a + (1 << 16)], of[a : a + (1 << 16)]
+                pairs = zip(lo[some].tolist(), hi[some].tolist(), lo[first].tolist(), hi[first].tolist())
+                later[some] = [text[i:j] == text[x:y] for i, j, x, y in pairs]
             salt = np.where(later, mix(d.view(np.uint64) + start.astype(np.uint64)).view(np.int64) | 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)), pa.array(salt), pa.array(d), pa.array(th),
-                    pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64)),
-                    pa.array(inner), pa.array([None if x else b for x, b in zip(later.tolist(), bodies)], pa.binary()),
-                ],
-                names=["v", "salt", "d", "th", "start", "n", "inner", "body"],
-            )
+            # A row without a body counts as well, so that no step has too many of them.
+            step = np.cumsum(np.where(later, 0, hi - lo) + 64) // BODIES
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                bodies = [None if x else text[y:z] for x, y, z in zip(later[a:b].tolist(), lo[a:b].tolist(), hi[a:b].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key[a:b].view(np.int64)), pa.array(salt[a:b]), pa.array(d[a:b]), pa.array(th[a:b]),
+                        pa.array(start[a:b].astype(np.int64)), pa.array(count[a:b].astype(np.int64)),
+                        pa.array(inner[a:b]), pa.array(bodies, pa.binary()),
+                    ],
+                    names=["v", "salt", "d", "th", "start", "n", "inner", "body"],
+                )
 
     return work
 
@@ -332,7 +345,13 @@ def _resolve(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         same = same[order]
         later = (same >= 0) & np.append(False, same[1:] == same[:-1])
         hit = order[later]
-        return covered(wd[hit], wth[hit], wstart[hit], np.ones(len(hit), dtype=np.int64))
+        # Windows that overlap or touch are one stretch: else there is a row for every unit.
+        hit = hit[np.lexsort((wstart[hit], wth[hit], wd[hit]))]
+        d, th, start = wd[hit], wth[hit], wstart[hit]
+        apart = (d[1:] != d[:-1]) | (th[1:] != th[:-1]) | (start[1:] - start[:-1] > kind.window)
+        edges = np.flatnonzero(np.concatenate([[True], apart, [True]])) if len(hit) else np.zeros(1, dtype=np.int64)
+        first, last = edges[:-1], edges[1:] - 1
+        return covered(d[first], th[first], start[first], start[last] - start[first] + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple[int, int, int, int, bytes]] = []
