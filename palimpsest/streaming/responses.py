@@ -3,7 +3,9 @@
 Chunks and mappings meet in keyed state, in whatever order they come: a response holds its own
 mapping, entry by entry, the start of a token at its end, and the pieces with tokens for which
 no mapping has come yet.  So a micro-batch reads no mapping but those of its own responses, and
-of these no entry but those its chunks ask for.
+of these no entry but those its chunks ask for.  Each call to the state and each row costs as much as
+many characters: a response's chunks that follow one another in a file come as one row, and
+the state is not asked for what it cannot have.
 
 Whatever is held goes on when a response has been silent for a time, by the events' own stamps.
 A clock, a stream of stamps, moves the time on when no response does: after the last event of a
@@ -16,15 +18,17 @@ import datetime as dt
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from palimpsest.operators.restore import restore_fuzzy
 from palimpsest.session import settings
-from palimpsest.streaming.chunks import MAX_TAIL, TAIL_REGEX
+from palimpsest.streaming.chunks import _HELD_CHARS, MAX_TAIL, TAIL_REGEX
 from palimpsest.streaming.scopes import STATE_STORE
 
 CHUNKS = "response_id string, seq bigint, chunk string, is_last boolean, at timestamp"
@@ -36,13 +40,40 @@ IDLE = dt.timedelta(minutes=10)
 #: How much later than others, by its stamp, an event may come without its response being taken for silent.
 DELAY = dt.timedelta(0)
 
+#: Entries of a mapping, and characters of them, that are kept with what is known of the response;
+#: beyond that each is an entry of the state by itself, and only those asked for are read.
+FEW, FEW_CHARS = 32, 4096
+_OPEN = "held string, last_seq bigint, mapped boolean, at bigint, timed boolean, tokens array<string>, values array<string>, ords array<int>, more boolean"
+
 # A token, or a spelling of one that is restored as well.
 _SPELLED = r"TG[:_]([A-Z]+)[:_]([0-9]+)"
 _PIECES = "response_id string, seq bigint, part int, text string, tokens array<string>, values array<string>"
+_Piece = Row("response_id", "seq", "part", "text", "tokens", "values")
+_TOGETHER = "response_id string, seqs array<bigint>, chunks array<string>, lasts array<boolean>, micros bigint"
 RESTORED = "response_id string, seq bigint, part int, text string"
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the chunks of a response that follow one another in a batch, with the latest of their stamps."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        response, seq, chunk, last, micros = batch.columns
+        code = response.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        offsets = pa.array(np.append(first, len(code)), pa.int32())
+        none = np.iinfo(np.int64).min
+        latest = np.maximum.reduceat(micros.fill_null(none).to_numpy(), first)
+        lists = [pa.ListArray.from_arrays(offsets, column) for column in (seq, chunk, last)]
+        yield pa.RecordBatch.from_arrays(
+            [response.take(pa.array(first)), *lists, pa.array(latest, mask=latest == none)],
+            names=["response_id", "seqs", "chunks", "lasts", "micros"],
+        )
+
+
 class _Restorer(StatefulProcessor):
+    """Takes frames of single events."""
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
@@ -51,7 +82,7 @@ class _Restorer(StatefulProcessor):
 
         self.handle = handle
         self.mapping = handle.getMapState("mapping", "token string", "value string, ord int")
-        self.open = handle.getValueState("open", "held string, last_seq bigint, mapped boolean, at bigint, timed boolean")
+        self.open = handle.getValueState("open", _OPEN)
         self.waiting = handle.getListState("waiting", "seq bigint, text string")
         self.tail = re.compile(f"{TAIL_REGEX}\\Z")
         self.spelled = re.compile(_SPELLED)
@@ -60,7 +91,8 @@ class _Restorer(StatefulProcessor):
         """What the mapping has for the text, and for the values that this brings in, in the mapping's order."""
         found, asked = {}, [text]
         while asked:
-            for category, number in self.spelled.findall(asked.pop()):
+            asking = asked.pop()
+            for category, number in self.spelled.findall(asking) if "TG" in asking else ():
                 token = f"[TG:{category}:{number}]"
                 if token in found:
                     continue
@@ -73,49 +105,52 @@ class _Restorer(StatefulProcessor):
         tokens = sorted(found, key=lambda t: found[t][1])
         return tokens, [found[t][0] for t in tokens]
 
-    def _rows(
-        self, key, pieces: list[tuple[int, str]], mapped: bool, tail: tuple[int, str] = (0, ""), known: dict | None = None, stored: bool = True
-    ) -> pd.DataFrame:
+    def _held(self, text: str) -> str:
+        """The start of a token at the end, which lies in the run there of characters that can be held."""
+        end = text[-MAX_TAIL:]
+        run = end[len(end.rstrip(_HELD_CHARS)) :]
+        return self.tail.search(run).group() if run else ""
+
+    def _rows(self, key, pieces: list[tuple[int, str]], mapped: bool, tail: tuple[int, str], known: dict, stored: bool) -> list[Row]:
         """``known`` are entries at hand; the others are in the state, if any are (``stored``)."""
-        known = {} if known is None else known
         parts = [(seq, 0, text) for seq, text in pieces] + [(tail[0], 1, tail[1])]
-        rows = [(key[0], *p, *(self._entries(p[2], known, stored) if mapped else ([], []))) for p in parts if p[2]]
-        return pd.DataFrame(rows, columns=["response_id", "seq", "part", "text", "tokens", "values"])
+        return [_Piece(key[0], *p, *(self._entries(p[2], known, stored) if mapped else ([], []))) for p in parts if p[2]]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+    def _worked(self, key, chunks: list[tuple[int, str, bool]], mappings: list[tuple[list[str], list[str]]], ms: int | None) -> list[Row]:
+        """The pieces that a response's events of a micro-batch, the latest at ``ms``, make ready."""
         if key[0] is None:
             # The clock, and chunks of no response, which have no mapping.
-            loose = batch[batch["chunk"].notna()]
-            yield self._rows(key, list(zip(loose["seq"], loose["chunk"])), False)
-            return
-        held, last_seq, mapped, at, timed = self.open.get() if self.open.exists() else ("", -1, False, 0, False)
-        at = max(at, int(batch["ms"].max()))
-        # A response without a mapping so far has no entries, and need not be asked for them.
-        stored, known, kinds = mapped, {}, batch["kind"].tolist()
-        for kind, tokens, values in zip(kinds, batch["tokens"].tolist(), batch["values"].tolist()):
-            if kind != "mapping":
-                continue
+            return self._rows(key, [(seq, chunk) for seq, chunk, _ in chunks], False, (0, ""), {}, False)
+        before = tuple(self.open.get() or ())
+        held, last_seq, had, at, timed, *entries, stored = before or ("", -1, False, 0, False, [], [], [], False)
+        at = at if ms is None else max(at, ms)
+        few = {t: (v, i) for t, v, i in zip(*entries)}
+        # Without entries of their own the state need not be asked for them.
+        fresh: dict[str, tuple[str, int]] = {}
+        for tokens, values in mappings:
             for i, (token, value) in enumerate(zip(tokens, values)):
-                if token not in known and not (stored and self.mapping.containsKey((token,))):
-                    self.mapping.updateValue((token,), (value, i))
-                    known[token] = (value, i)
-            mapped = True
+                if token not in few and token not in fresh and not (stored and self.mapping.containsKey((token,))):
+                    fresh[token] = (value, i)
+        mapped, known, more = had or bool(mappings), few | fresh, stored
+        if len(known) <= FEW and sum(len(t) + len(v or "") for t, (v, _) in known.items()) <= FEW_CHARS:
+            few |= fresh
+        else:
+            for token, entry in fresh.items():
+                self.mapping.updateValue((token,), entry)
+            more = more or bool(fresh)
         ready: list[tuple[int, str]] = []
-        if mapped and self.waiting.exists():
+        # Pieces wait from a batch before until the first mapping comes.
+        if before and mapped and not had and self.waiting.exists():
             ready += [(seq, text) for seq, text in self.waiting.get()]
             self.waiting.clear()
         wait: list[tuple[int, str]] = []
-        arrived = zip(kinds, batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist())
-        for _, seq, chunk, is_last in sorted((x for x in arrived if x[0] == "chunk"), key=lambda x: x[1]):
-            seq, chunk = int(seq), chunk or ""
+        for seq, chunk, is_last in sorted(chunks, key=lambda x: x[0]):
             if seq < last_seq:
                 # What comes late passes on its own: what is held neither joins it nor is lost.
                 text = chunk
             else:
                 text, last_seq = held + chunk, seq
-                held = "" if is_last else self.tail.search(text[-MAX_TAIL:]).group()
+                held = "" if is_last else self._held(text)
                 text = text[: len(text) - len(held)]
             (ready if mapped or "TG" not in text else wait).append((seq, text))
         if wait:
@@ -123,26 +158,58 @@ class _Restorer(StatefulProcessor):
         if not timed:
             # One timer a response; when it strikes it looks whether the response was silent.
             self.handle.registerTimer(at + self.idle_ms)
-        self.open.update((held, last_seq, mapped, at, True))
-        if ready:
-            yield self._rows(key, ready, mapped, known=known, stored=stored)
+        self.open.update((held, last_seq, mapped, at, True, list(few), [v for v, _ in few.values()], [i for _, i in few.values()], more))
+        return self._rows(key, ready, mapped, (0, ""), known, stored)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, last_seq, mapped, at, _ = self.open.get()
+    def _expired(self, key, timerValues) -> list[Row]:
+        held, last_seq, mapped, at, _, *entries, more = self.open.get()
         if at + self.idle_ms > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(at + self.idle_ms)
-            yield self._rows(key, [], False)
-            return
-        left = [(seq, text) for seq, text in self.waiting.get()] if self.waiting.exists() else []
-        out = self._rows(key, left, mapped, (last_seq, held))
-        for state in (self.waiting, self.mapping, self.open):
-            state.clear()
-        yield out
+            return []
+        # Only a response without a mapping has pieces that wait.
+        left = [] if mapped else [(seq, text) for seq, text in self.waiting.get()]
+        out = self._rows(key, left, mapped, (last_seq, held), {t: (v, i) for t, v, i in zip(*entries)}, more)
+        if left:
+            self.waiting.clear()
+        if more:
+            self.mapping.clear()
+        self.open.clear()
+        return out
+
+    def _frame(self, rows: list[Row]) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in rows], columns=["response_id", "seq", "part", "text", "tokens", "values"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = [e for frame in rows for e in frame.itertuples(index=False)]
+        chunks = [(int(e.seq), e.chunk or "", e.is_last) for e in events if e.kind == "chunk"]
+        mappings = [(e.tokens, e.values) for e in events if e.kind == "mapping"]
+        yield self._frame(self._worked(key, chunks, mappings, max(int(e.ms) for e in events)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._expired(key, timerValues))
 
     def close(self) -> None:
         pass
 
 
+class _RowRestorer(_Restorer):
+    """Takes rows of chunks that came together, and of mappings; for few rows a frame costs more than the work."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        chunks, mappings, latest = [], [], None
+        for row in rows:
+            if row.kind == "chunk":
+                chunks += zip(row.seqs, row.chunks, row.lasts)
+            elif row.kind == "mapping":
+                mappings.append((row.tokens, row["values"]))
+            if row.ms is not None:
+                latest = row.ms if latest is None else max(latest, row.ms)
+        yield from self._worked(key, chunks, mappings, latest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._expired(key, timerValues)
+
+
 # The process that keeps a stream's state gets the processor as it is, and need not find this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,23 +241,26 @@ def restore_responses_stream(
     """
     none = F.lit(None)
     strings = none.cast("array<string>")
-    events = chunks.select(
-        "response_id", F.lit("chunk").alias("kind"), F.coalesce("seq", F.lit(-1).cast("bigint")).alias("seq"),
-        F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("is_last", F.lit(False)).alias("is_last"),
-        strings.alias("tokens"), strings.alias("values"), "at",
+    together = chunks.select(
+        "response_id", F.coalesce("seq", F.lit(-1).cast("bigint")), F.coalesce("chunk", F.lit("")),
+        F.coalesce("is_last", F.lit(False)), F.unix_micros("at"),
+    ).mapInArrow(_together, _TOGETHER)
+    events = together.select(
+        "response_id", F.lit("chunk").alias("kind"), "seqs", "chunks", "lasts",
+        strings.alias("tokens"), strings.alias("values"), F.timestamp_micros("micros").alias("at"),
     ).unionByName(
         mappings.filter("request_id IS NOT NULL").select(
-            F.col("request_id").alias("response_id"), F.lit("mapping").alias("kind"), F.lit(0).cast("bigint").alias("seq"),
-            none.cast("string").alias("chunk"), F.lit(False).alias("is_last"), "tokens", "values", "at",
-        )
+            F.col("request_id").alias("response_id"), F.lit("mapping").alias("kind"), "tokens", "values", "at",
+        ),
+        allowMissingColumns=True,
     )
     if clock is not None:
-        events = events.unionByName(clock.select("at", F.lit("clock").alias("kind"), F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("is_last")), allowMissingColumns=True)
+        events = events.unionByName(clock.select("at", F.lit("clock").alias("kind")), allowMissingColumns=True)
     stamped = events.withWatermark("at", f"{int(delay.total_seconds() * 1000)} milliseconds")
     # The stamp itself does not go on: an event behind the watermark is late, not lost.
-    plain = stamped.select("response_id", "kind", "seq", "chunk", "is_last", "tokens", "values", F.unix_millis("at").alias("ms"))
-    pieces = plain.groupBy("response_id").transformWithStateInPandas(
-        _Restorer(int(idle.total_seconds() * 1000)), outputStructType=_PIECES, outputMode="Append", timeMode="EventTime"
+    plain = stamped.select("response_id", "kind", "seqs", "chunks", "lasts", "tokens", "values", F.unix_millis("at").alias("ms"))
+    pieces = plain.groupBy("response_id").transformWithState(
+        _RowRestorer(int(idle.total_seconds() * 1000)), outputStructType=_PIECES, outputMode="Append", timeMode="EventTime"
     )
     text, tokens = F.col("text"), F.col("tokens")
     return pieces.select(
