@@ -88,7 +88,7 @@ def window_classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
     return found
 
 
-KIND = Kind(words=True, window=WINDOW, gram=6, shard_units=400_000, index=window_classes)
+KIND = Kind(words=True, window=WINDOW, gram=6, shard_units=800_000, index=window_classes)
 
 
 def drop_repeated_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -44,7 +44,10 @@ Index = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
 @dataclass(frozen=True)
 class Kind:
-    """What a unit is, how many make a window and a gram, and how shards are searched."""
+    """What a unit is, how many make a window and a gram, and how shards are searched.
+
+    ``shard_units`` is what a shard holds at most: half of it from several anchors, all of it from one.
+    """
 
     words: bool
     window: int
@@ -377,10 +380,13 @@ def _resolve(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     elif body is not None:
                         distinct[body] = i
                 if len(distinct) > 1 or any(inner[i] for i in distinct.values()):
-                    for body, i in distinct.items():
-                        shard.append((int(d[i]), int(th[i]), int(start[i]), int(n[i]), body))
-                        held += int(n[i]) + kind.window
-                    if held > kind.shard_units:
+                    own = sum(int(n[i]) + kind.window for i in distinct.values())
+                    if shard and held + own > kind.shard_units:
+                        yield search(shard)
+                        shard, held = [], 0
+                    shard += [(int(d[i]), int(th[i]), int(start[i]), int(n[i]), body) for body, i in distinct.items()]
+                    held += own
+                    if held > kind.shard_units // 2:
                         yield search(shard)
                         shard, held = [], 0
             if equal:

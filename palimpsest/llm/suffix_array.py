@@ -92,7 +92,7 @@ def window_classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
     return found[starts]
 
 
-KIND = Kind(words=False, window=WINDOW, gram=24, shard_units=500_000, index=window_classes)
+KIND = Kind(words=False, window=WINDOW, gram=24, shard_units=1_000_000, index=window_classes)
 
 
 def drop_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -102,3 +102,22 @@ def test_what_a_shard_finds_are_stretches_and_not_rows_for_every_unit():
     (batch,) = pa.table(rows).to_batches()
     found = _one_table(repeats._resolve(kind)(iter([batch]))).to_pylist()
     assert found == [{"d": 2, "th": 0, "start": 51, "n": len(passage)}]
+
+
+def test_a_shard_holds_no_more_than_its_units():
+    """Several anchors' pieces fill half a shard; one that needs more of it has a shard of its own."""
+    rng = random.Random(13)
+    sizes: list[int] = []
+
+    def index(text, starts, window):
+        sizes.append(len(text))
+        return suffix_array.window_classes(text, starts, window)
+
+    kind = dataclasses.replace(suffix_array.KIND, shard_units=4000, index=index)
+    rows = []
+    for v, pieces in enumerate([8, 28, 8, 8, 3]):
+        passage = _prose(rng, 40)[:100]
+        rows += [{"v": v, "salt": 0, "d": len(rows) + i, "th": 0, "start": 0, "n": 21, "inner": False, "body": f"{10 + i}{passage}{_prose(rng, 9)[:18]}".encode()} for i in range(pieces)]
+    (batch,) = pa.Table.from_pylist(rows).to_batches()
+    found = _one_table(repeats._resolve(kind)(iter([batch])))
+    assert found.num_rows == sum(n - 1 for n in (8, 28, 8, 8, 3)) and max(sizes) <= kind.shard_units and len(sizes) == 3
